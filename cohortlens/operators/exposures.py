@@ -36,21 +36,53 @@ def _by_count(name: str = NAME, n: str = "n_prescriptions") -> list[Column]:
 def top_exposures(df: DataFrame, k: int, approx: bool = False) -> DataFrame:
     """The ``k`` most frequent names with counts, mean dose, share inside, rate per entity.
 
-    The distinct count first groups by (name, entity), so a very frequent name is
-    spread over its entities before its one total row is formed.
+    Rows are first counted per (name, entity), so a very frequent name is spread over
+    its entities. The grand total comes from the same pass, as one more group that
+    sorts first, and meets the others when only ``k + 1`` rows are left.
     """
+    totals = _totals_approx(df) if approx else _totals_exact(df)
+    leading = totals.orderBy(F.desc("_all"), *_by_count()).limit(k + 1)
+    whole = F.max(F.when(F.col("_all") == 1, F.col("n_prescriptions"))).over(Window.partitionBy())
+    ranked = leading.withColumn("_total", whole).where(F.col("_all") == 0)
+    n = F.col("n_prescriptions")
+    return ranked.select(
+        NAME,
+        n,
+        "n_admissions",
+        F.round(F.col("_dose_sum") / F.col("_doses"), 2).alias("mean_dose"),
+        F.round(100 * F.col("_inside") / n, 1).alias("pct_in_icu"),
+        F.round(n / F.col("n_admissions"), 2).alias("per_admission"),
+        percent(n, F.col("_total")).alias("pct_of_total"),
+    )
+
+
+def _totals_exact(df: DataFrame) -> DataFrame:
     dose = number_from_text(DOSE)
-    n, entities = F.count("*"), _distinct(ENTITY, approx=approx)
-    per_name = df.groupBy(NAME).agg(
-        n.alias("n_prescriptions"),
-        entities.alias("n_admissions"),
-        F.round(F.avg(dose), 2).alias("mean_dose"),
-        F.round(100 * F.avg(INSIDE), 1).alias("pct_in_icu"),
-        F.round(n / entities, 2).alias("per_admission"),
+    pairs = df.groupBy(NAME, ENTITY).agg(
+        F.count("*").alias("_n"),
+        F.sum(dose).alias("_dose_sum"),
+        F.count(dose).alias("_doses"),
+        F.sum(INSIDE).alias("_inside"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("_dose_sum", "_doses", "_inside")]
+    return pairs.groupingSets([[F.col(NAME)], []], NAME).agg(
+        F.grouping(NAME).alias("_all"),
+        F.sum("_n").alias("n_prescriptions"),
+        F.count(ENTITY).alias("n_admissions"),
+        *sums,
+    )
+
+
+def _totals_approx(df: DataFrame) -> DataFrame:
+    source = df.select(NAME, ENTITY, INSIDE, number_from_text(DOSE).alias("_dose"))
+    return source.groupingSets([[F.col(NAME)], []], NAME).agg(
+        F.grouping(NAME).alias("_all"),
+        F.count("*").alias("n_prescriptions"),
+        F.approx_count_distinct(ENTITY).alias("n_admissions"),
+        F.sum("_dose").alias("_dose_sum"),
+        F.count("_dose").alias("_doses"),
+        F.sum(INSIDE).alias("_inside"),
     )
-    total = per_name.agg(F.sum("n_prescriptions")).scalar()
-    top = per_name.orderBy(*_by_count()).limit(k)
-    return top.withColumn("pct_of_total", percent(F.col("n_prescriptions"), total))
 
 
 def exposure_detail(df: DataFrame, k: int) -> DataFrame:
@@ -136,14 +168,13 @@ def _weighted_mean() -> Column:
 
 def dose_by_unit(df: DataFrame, k: int, width: float = 1.0) -> DataFrame:
     """Number, mean and median of the known doses per name and unit, top ``k`` names."""
-    doses = _top_doses(df, k)
     keys = [NAME, UNIT]
-    known = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
-    means = doses.groupBy(*keys).agg(known.alias("n"), _weighted_mean().alias("mean_dose"))
+    doses = _top_doses(df, k).where(F.col("value").isNotNull())
+    means = doses.groupBy(*keys).agg(F.sum("n").alias("n"), _weighted_mean().alias("mean_dose"))
     medians = quantiles(doses, keys, {"median_dose": 0.5}, width)
-    both = means.where(F.col("n").isNotNull()).unionByName(medians, True)
     merged = [F.max("n").alias("n")]
     merged += [F.round(F.max(c), 2).alias(c) for c in ("mean_dose", "median_dose")]
+    both = means.unionByName(medians, True)
     return both.groupBy(*keys).agg(*merged).orderBy(*_name_then_count())
 
 

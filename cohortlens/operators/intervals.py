@@ -29,6 +29,7 @@ def flag_in_interval(
     end: str,
     flag: str = "in_interval",
     method: str = "days",
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """Add a 0/1 column: does ``at`` lie in some interval of its key, bounds included?
 
@@ -37,12 +38,16 @@ def flag_in_interval(
     ``method="days"`` joins on key *and* calendar day, so a key that holds a large
     part of all rows is spread over its days. ``method="exists"`` is the plain
     EXISTS subquery: fewer shuffles, but all rows of a key meet in one task.
+
+    ``points`` may name a frame that is cheaper to read than ``events`` and holds at
+    least its (key, at) pairs; it only tells which days are asked for.
     """
     if method == "exists":
         return _flag_by_exists(events, intervals, key, at, start, end, flag)
     if method != "days":
         raise ValueError(f"unknown method {method!r}")
-    return _flag_by_day(events, intervals, key, at, start, end, flag)
+    lookup = _cover_by_day(events if points is None else points, intervals, key, at, start, end)
+    return _flag_by_day(events, lookup, key, at, flag)
 
 
 def _flag_by_exists(events, intervals, key, at, start, end, flag) -> DataFrame:
@@ -58,8 +63,7 @@ def _day(at: Column | str) -> Column:
     return (F.col(at) if isinstance(at, str) else at).cast("date")
 
 
-def _flag_by_day(events, intervals, key, at, start, end, flag) -> DataFrame:
-    lookup = _cover_by_day(events, intervals, key, at, start, end)
+def _flag_by_day(events, lookup, key, at, flag) -> DataFrame:
     since_earlier = F.col(at) <= F.col("_reach_before")
     same_day = F.exists(
         "_spans", lambda span: F.col(at).between(span["start"], span["reach"])
@@ -70,8 +74,8 @@ def _flag_by_day(events, intervals, key, at, start, end, flag) -> DataFrame:
     return joined.select(*events.columns, F.when(hit, 1).otherwise(0).alias(flag))
 
 
-def _cover_by_day(events, intervals, key, at, start, end) -> DataFrame:
-    """Per key and day with an event: the intervals that can contain it.
+def _cover_by_day(points, intervals, key, at, start, end) -> DataFrame:
+    """Per key and asked day: the intervals that can contain it.
 
     An interval that started on an earlier day contains the event if the latest
     end among those reaches it, so one running maximum (``_reach_before``) stands
@@ -86,8 +90,8 @@ def _cover_by_day(events, intervals, key, at, start, end) -> DataFrame:
         .select(key, _day("_start").alias("_day"), "_start", "_reach")
     )
     nothing = F.lit(None).cast(intervals.schema[start].dataType)
-    event_days = (
-        events.where(F.col(at).isNotNull())
+    asked_days = (
+        points.where(F.col(at).isNotNull())
         .select(key, _day(at).alias("_day"))
         .distinct()
         .withColumns({"_start": nothing, "_reach": nothing})
@@ -96,7 +100,7 @@ def _cover_by_day(events, intervals, key, at, start, end) -> DataFrame:
         F.col("_start").isNotNull(), F.struct(F.col("_start").alias("start"), F.col("_reach").alias("reach"))
     )
     per_day = (
-        starts.unionByName(event_days)
+        starts.unionByName(asked_days)
         .groupBy(key, "_day")
         .agg(F.max("_reach").alias("_day_reach"), F.collect_list(span).alias("_spans"))
     )

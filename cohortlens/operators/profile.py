@@ -4,28 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import level_rank
 from .quantiles import QUARTILES, quantiles, value_counts
 
+#: number of partial sums that :func:`with_total` brings together
+SLOTS = 64
+
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(100 * part / whole, digits)
 
 
+def with_total(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Attach the sum of ``n`` over all rows as ``_total``.
+
+    Rows are first summed per slot, so the one-task step sees ``SLOTS`` rows however
+    many keys there are, and only those are broadcast.
+    """
+    slotted = counts.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)))
+    per_slot = slotted.groupBy("_slot").agg(F.sum(n).alias("_part"))
+    everything = Window.partitionBy()
+    totals = per_slot.select("_slot", F.sum("_part").over(everything).alias("_total"))
+    return slotted.join(F.broadcast(totals), "_slot").drop("_slot")
+
+
 def frequency(
     df: DataFrame, col: str, levels: Sequence[str] | None = None, by_count: bool = False
 ) -> DataFrame:
     """``col, n, pct`` per value; the percent is of all rows, missing values included.
 
     Sorted by count (ties by value), else by level order, else by value; missing
-    last. The total is a scalar subquery over the counted rows, so even a column
-    with very many values is never gathered in one task.
+    last.
     """
-    counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    result = counts.select(col, "n", percent(F.col("n"), total).alias("pct"))
+    counts = with_total(df.groupBy(col).agg(F.count("*").alias("n")), col)
+    result = counts.select(col, "n", percent(F.col("n"), F.col("_total")).alias("pct"))
     order = [F.col(col).asc_nulls_last()]
     if by_count:
         order.insert(0, F.desc("n"))
@@ -43,24 +57,24 @@ def numeric_profile(
     bounded sketch in the same pass.
     """
     value = F.col(col).cast("double")
-    names = list(QUARTILES)
+    stats = {
+        "min": F.min(value),
+        "max": F.max(value),
+        "mean": F.round(F.avg(value), digits),
+        "sd": F.round(F.stddev_samp(value), digits),
+        "n": F.count(value),
+        "n_missing": F.count_if(value.isNull()),
+    }
+    columns = [stat.alias(name) for name, stat in stats.items()]
     if exact:
-        found = quantiles(value_counts(df, [], [col]), [], width=width)
-        quartiles = found.select(F.array(*names)).scalar()
+        quartiles = quantiles(value_counts(df, [], [col]), [], width=width)
+        merged = df.agg(*columns).unionByName(quartiles, True)
+        profile = merged.agg(*[F.max(c).alias(c) for c in merged.columns])
     else:
-        quartiles = F.percentile_approx(value, list(QUARTILES.values()), 10_000)
-    stats = df.agg(
-        F.min(value).alias("min"),
-        *([] if exact else [quartiles.alias("_quartiles")]),
-        F.max(value).alias("max"),
-        F.round(F.avg(value), digits).alias("mean"),
-        F.round(F.stddev_samp(value), digits).alias("sd"),
-        F.count(value).alias("n"),
-        F.count_if(value.isNull()).alias("n_missing"),
-    )
-    parts = quartiles if exact else F.col("_quartiles")
-    quartile = [parts[i].alias(name) for i, name in enumerate(names)]
-    return stats.select("min", *quartile, "max", "mean", "sd", "n", "n_missing")
+        sketch = F.percentile_approx(value, list(QUARTILES.values()), 10_000)
+        profile = df.agg(*columns, sketch.alias("_sketch"))
+        profile = profile.withColumns({q: F.col("_sketch")[i] for i, q in enumerate(QUARTILES)})
+    return profile.select("min", *QUARTILES, "max", "mean", "sd", "n", "n_missing")
 
 
 def missing_profile(

@@ -17,17 +17,14 @@ QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
 def value_counts(df: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """``by..., measure, value, n``: how often each value of each measure occurs.
+    """``by..., measure, value, n``: how often each known value of each measure occurs.
 
-    Missing values are counted too, under a NULL value. One pass over ``df``.
+    One pass over ``df``; missing values and NaN are left out.
     """
     wide = df.select(*by, *[F.col(m).cast("double").alias(m) for m in measures])
-    keys = [F.col(c) for c in by]
-    return (
-        wide.unpivot(keys, list(measures), "measure", "value")
-        .groupBy(*by, "measure", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    long = wide.unpivot([F.col(c) for c in by], list(measures), "measure", "value")
+    known = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return known.groupBy(*by, "measure", "value").agg(F.count("*").alias("n"))
 
 
 def _ranks(probability: float, total: Column) -> tuple[Column, Column, Column]:
@@ -48,16 +45,14 @@ def quantiles(
 ) -> DataFrame:
     """Interpolated quantiles of ``value`` weighted by ``n``, one row per ``by`` group.
 
-    ``counts`` has the columns ``by..., value, n``. Groups without a value give no
-    row. ``width`` is the histogram slice: it decides how the work is split, never
-    the result. A group's histogram has (range / width) rows at most.
+    ``counts`` has the columns ``by..., value, n`` without missing values; a group
+    that does not occur in it gives no row. ``width`` is the histogram slice: it
+    decides how the work is split, never the result. A group's histogram has
+    (range / width) rows at most.
     """
     by = list(by)
-    # the weight, not the value, is tested: a filter on the value would slip below
-    # the caller's aggregation and keep Spark from sharing it between branches
-    weight = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
-    valued = counts.select(*by, "value", weight.alias("_n")).where(F.col("_n") > 0)
-    sliced = valued.withColumn("_slice", F.floor(F.col("value") / F.lit(float(width))))
+    slice_of = F.floor(F.col("value") / F.lit(float(width)))
+    sliced = counts.select(*by, "value", F.col("n").alias("_n"), slice_of.alias("_slice"))
 
     group = Window.partitionBy(*by)
     ordered = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -31,11 +31,13 @@ def outcomes_by(
     """
     if not exact:
         return _approximate(df, strata, measures, flag, keep_null)
-    rolled = _roll_up(value_counts(df, list(strata.values()), [*measures, flag]), strata, keep_null)
-    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    # every row has the measure _row, so the counts of known values also count rows
+    counted = df.withColumn("_row", F.lit(1))
+    counts = value_counts(counted, list(strata.values()), [*measures, flag, "_row"])
+    rolled = _roll_up(counts, strata, keep_null)
+    mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
     per_measure = rolled.groupBy(*STRATUM, "measure").agg(
-        F.sum("n").alias("_rows"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum(known)).alias("_mean"),
+        F.sum("n").alias("_known"), mean.alias("_mean")
     )
     spread = quantiles(rolled, [*STRATUM, "measure"], width=width)
     return _one_row_per_stratum(per_measure.unionByName(spread, True), measures, flag)
@@ -84,7 +86,7 @@ def _approximate(
 
 def _one_row_per_stratum(long: DataFrame, measures: Sequence[str], flag: str) -> DataFrame:
     of = lambda measure, column: F.max(F.when(F.col("measure") == measure, F.col(column)))
-    wide = [of(flag, "_rows").alias("n")]
+    wide = [of("_row", "_known").alias("n")]
     wide += [of(m, q).alias(f"{m}_{q}") for m in measures for q in QUARTILES]
     wide.append(F.round(100 * of(flag, "_mean"), 1).alias(f"{flag}_pct"))
     return long.groupBy(*STRATUM).agg(*wide)

@@ -23,6 +23,15 @@ def build_exposures(
     given = tables.prescriptions.join(cases, "hadm_id", "left_semi").select(
         "hadm_id", "drug", "dose_val_rx", "dose_unit_rx", "startdate"
     )
+    # all prescriptions serve as points: cheaper than finding the cases a second time
     return flag_in_interval(
-        given, tables.icustays, "hadm_id", "startdate", "intime", "outtime", "in_icu", method
+        given,
+        tables.icustays,
+        "hadm_id",
+        "startdate",
+        "intime",
+        "outtime",
+        "in_icu",
+        method,
+        points=tables.prescriptions,
     )
