@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 SECONDS_PER_DAY = 86400
+MICROS = 1_000_000
+#: one year in calendar numbers, whose digits are yyyymmdd times a day's microseconds
+YEAR_STEP = 10_000 * SECONDS_PER_DAY * MICROS
 
 
 def _col(c: Column | str) -> Column:
@@ -28,14 +31,11 @@ def elapsed_days(start: Column | str, end: Column | str) -> Column:
     return F.when(end >= start, days)
 
 
-def _place_in_year(at: Column) -> Column:
-    midnight = at.cast("date").cast("timestamp_ntz")
-    return F.struct(F.month(at), F.dayofmonth(at), at - midnight)
-
-
-def _whole_years(start: Column, end: Column) -> Column:
-    not_reached = (_place_in_year(end) < _place_in_year(start)).cast("long")
-    return F.year(end).cast("long") - F.year(start) - not_reached
+def _calendar_number(at: Column) -> Column:
+    """A number that grows with time and by the same step for every calendar year."""
+    date = (F.year(at) * 100 + F.month(at)) * 100 + F.dayofmonth(at)
+    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.date_part(F.lit("SECOND"), at)
+    return date.cast("long") * (SECONDS_PER_DAY * MICROS) + (seconds * MICROS).cast("long")
 
 
 def full_years(dob: Column | str, at: Column | str, cap: int | None = None) -> Column:
@@ -44,6 +44,6 @@ def full_years(dob: Column | str, at: Column | str, cap: int | None = None) -> C
     A value above ``cap`` becomes ``cap``; a missing one stays missing (``least``
     would turn it into the cap).
     """
-    dob, at = _col(dob), _col(at)
-    years = F.when(at >= dob, _whole_years(dob, at)).when(at < dob, -_whole_years(at, dob))
+    passed = _calendar_number(_col(at)) - _calendar_number(_col(dob))
+    years = F.call_function("div", passed, F.lit(YEAR_STEP))
     return years if cap is None else F.when(years > cap, F.lit(cap).cast("long")).otherwise(years)

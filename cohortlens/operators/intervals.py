@@ -87,26 +87,18 @@ def _cover_by_day(points, intervals, key, at, start, end) -> DataFrame:
         intervals.where(F.col(end) >= F.col(start))
         .groupBy(key, F.col(start).alias("_start"))
         .agg(F.max(end).alias("_reach"))
-        .select(key, _day("_start").alias("_day"), "_start", "_reach")
+        .withColumn("_day", _day("_start"))
     )
-    nothing = F.lit(None).cast(intervals.schema[start].dataType)
-    asked_days = (
-        points.where(F.col(at).isNotNull())
-        .select(key, _day(at).alias("_day"))
-        .distinct()
-        .withColumns({"_start": nothing, "_reach": nothing})
-    )
-    span = F.when(
-        F.col("_start").isNotNull(), F.struct(F.col("_start").alias("start"), F.col("_reach").alias("reach"))
-    )
-    per_day = (
-        starts.unionByName(asked_days)
-        .groupBy(key, "_day")
-        .agg(F.max("_reach").alias("_day_reach"), F.collect_list(span).alias("_spans"))
+    span = F.struct(F.col("_start").alias("start"), F.col("_reach").alias("reach"))
+    started = starts.groupBy(key, "_day").agg(
+        F.max("_reach").alias("_day_reach"), F.collect_list(span).alias("_spans")
     )
+    asked = points.where(F.col(at).isNotNull()).select(key, _day(at).alias("_day")).distinct()
+    # both sides are already partitioned by key and day, and unique in it
+    per_day = asked.join(started, [key, "_day"], "full")
     earlier = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     return (
         per_day.withColumn("_reach_before", F.max("_day_reach").over(earlier))
-        .where(F.col("_reach_before").isNotNull() | (F.size("_spans") > 0))
+        .where(F.col("_reach_before").isNotNull() | F.col("_spans").isNotNull())
         .select(key, "_day", "_reach_before", "_spans")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.labels import level_rank
 from .quantiles import QUARTILES, quantiles, value_counts
 
-#: number of partial sums that :func:`with_total` brings together
+#: number of partial sums that :func:`with_total` brings together, a power of two
 SLOTS = 64
 
 
@@ -23,7 +23,7 @@ def with_total(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     Rows are first summed per slot, so the one-task step sees ``SLOTS`` rows however
     many keys there are, and only those are broadcast.
     """
-    slotted = counts.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)))
+    slotted = counts.withColumn("_slot", F.xxhash64(key).bitwiseAND(SLOTS - 1))
     per_slot = slotted.groupBy("_slot").agg(F.sum(n).alias("_part"))
     everything = Window.partitionBy()
     totals = per_slot.select("_slot", F.sum("_part").over(everything).alias("_total"))

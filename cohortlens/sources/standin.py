@@ -26,6 +26,20 @@ OTHER_CODE = "4019"
 UNITS = {0: "mL", 1: "UNIT", 2: None}
 OTHER_UNIT = "mg"
 
+# The columns in use, declared so that no file is opened before the query runs.
+GIVEN = {
+    "customer": "c_custkey bigint",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz,"
+        " o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_returnflag string"
+    ),
+    "part": "p_partkey bigint, p_name string",
+}
+
 
 def _by_remainder(number: Column, texts: dict[int, str | None], other: str | None) -> Column:
     chain = F
@@ -40,8 +54,10 @@ def _plus(at: Column, unit: str, amount: Column) -> Column:
 
 
 def standin_tables(spark: SparkSession, folder: str) -> ClinicalTables:
-    read = lambda name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    customer, orders, lineitem, part = map(read, ("customer", "orders", "lineitem", "part"))
+    root = folder.rstrip("/")
+    customer, orders, lineitem, part = (
+        spark.read.schema(columns).parquet(f"{root}/{name}.parquet") for name, columns in GIVEN.items()
+    )
     return ClinicalTables(
         patients=_patients(customer),
         admissions=_admissions(orders),
