@@ -1,0 +1,65 @@
+"""A hand-written fixture with a row for each trap in the data."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import SparkSession
+
+from cohortlens.schemas import SCHEMAS, ClinicalTables
+
+
+def at(text: str | None) -> datetime | None:
+    return datetime.fromisoformat(text) if text else None
+
+
+PATIENTS = [
+    (1, "F", at("1950-06-15")),
+    (2, "M", at("1850-01-01")),
+    (3, "M", None),
+    (4, "U", at("2000-02-29")),
+]
+ADMISSIONS = [
+    (1, 10, at("2020-06-14 23:00"), at("2020-06-20 11:00"), "WHITE", "EMERGENCY", 0),
+    (1, 11, at("2020-06-15 00:00"), at("2020-06-14 00:00"), "HISPANIC/WHITE", "ELECTIVE", 0),
+    (2, 12, at("2020-01-01 00:00"), at("2020-01-01 00:00"), "BLACK/HISPANIC", "URGENT", 1),
+    (3, 13, at("2020-03-01 00:00"), at("2020-03-04 00:00"), None, "EMERGENCY", 0),
+    (4, 14, at("2021-02-28 00:00"), at("2021-03-02 06:00"), "caucasian", "EMERGENCY", 1),
+    (99, 15, at("2020-01-01 00:00"), at("2020-01-02 00:00"), "WHITE", "EMERGENCY", 0),
+    (4, 16, at("2010-05-05 00:00"), None, "asian - thai", "EMERGENCY", 0),
+]
+DIAGNOSES = [
+    (10, 1, "4280"),
+    (10, 2, "42832"),
+    (10, 3, "25000"),
+    (11, 1, "25000"),
+    (12, 1, "24900"),
+    (12, 5, "428"),
+    (13, 4, "4280"),
+    (14, 1, "14280"),
+    (14, 2, None),
+]
+STAYS = [
+    (10, at("2020-06-15 00:00"), at("2020-06-16 12:00")),
+    (10, at("2020-06-17 00:00"), at("2020-06-16 18:00")),
+    (12, at("2020-01-01 00:00"), at("2020-01-01 00:00")),
+    (13, at("2020-03-02 00:00"), at("2020-03-01 00:00")),
+    (14, at("2021-02-28 00:00"), None),
+]
+PRESCRIPTIONS = [
+    (10, "furosemide", "20", "mg", at("2020-06-15 00:00")),
+    (10, "furosemide", "40", "mg", at("2020-06-16 12:00")),
+    (10, "furosemide", "5", "mL", at("2020-06-20 00:00")),
+    (12, "furosemide", "1-2", None, at("2020-01-01 00:00")),
+    (13, "acetaminophen-codeine", None, "tab", None),
+    (13, "acetaminophen-codeine", "1", None, at("2020-03-01 12:00")),
+    (11, "furosemide", "10", "mg", at("2020-06-15 00:00")),
+]
+
+
+def edge_tables(spark: SparkSession) -> ClinicalTables:
+    data = (PATIENTS, ADMISSIONS, DIAGNOSES, STAYS, PRESCRIPTIONS)
+    names = ("patients", "admissions", "diagnoses_icd", "icustays", "prescriptions")
+    return ClinicalTables(
+        **{name: spark.createDataFrame(rows, SCHEMAS[name]) for name, rows in zip(names, data)}
+    )

@@ -1,0 +1,237 @@
+"""Known answers on the hand-written fixture."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens import operators as op
+from cohortlens import plans
+from cohortlens.config import DEFAULT
+from cohortlens.plans.report import DEATH, MEASURES
+from edge import edge_tables
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return edge_tables(spark)
+
+
+@pytest.fixture(scope="module")
+def labeled(tables):
+    return plans.label_cohort(plans.build_cohort(tables))
+
+
+@pytest.fixture(scope="module")
+def exposures(tables):
+    return plans.build_exposures(tables, plans.build_cohort(tables))
+
+
+COHORT = [
+    # key, case, status, gender, age, age group, ethnicity, hospital days, icu days, died
+    (10, 1, 1, "F", 69, "60+", "White", 5.5, 1.25, 0),
+    (11, 0, 0, "F", 70, "60+", "White", None, None, 0),
+    (12, 1, 1, "M", 89, "60+", "Black", 0.0, 0.0, 1),
+    (13, 1, 0, "M", None, "60+", "Other/Unknown", 3.0, None, 0),
+    (14, 0, 0, None, 20, "18-59", "Asian", 2.25, None, 1),
+    (16, 0, 0, None, 10, "0-17", "Asian", None, None, 0),
+]
+
+
+def test_cohort(labeled, rows):
+    got = rows(
+        labeled.orderBy("hadm_id").select(
+            "hadm_id",
+            "heart_failure",
+            "secondary_diabetes",
+            "gender",
+            "age",
+            "age_group",
+            "ethnicity_group",
+            *MEASURES,
+            DEATH,
+        )
+    )
+    assert got == COHORT
+
+
+def test_null_age_can_stay_null(tables, rows):
+    config = replace(DEFAULT, null_age="null")
+    labeled = plans.label_cohort(plans.build_cohort(tables, config), config)
+    assert rows(labeled.where("hadm_id = 13").select("age_group")) == [(None,)]
+    assert rows(labeled.where("hadm_id = 12").select("age_group")) == [("60+",)]
+
+
+def test_patterns_are_an_argument(tables, rows):
+    config = replace(DEFAULT, ethnicity_patterns=(("%CAUCASIAN%", "White"), *DEFAULT.ethnicity_patterns))
+    cohort = plans.build_cohort(tables, config)
+    assert rows(cohort.where("hadm_id = 14").select("ethnicity_group")) == [("White",)]
+
+
+def test_split_covers_the_cohort(labeled):
+    cases, others = plans.split_cohort(labeled)
+    assert (cases.count(), others.count(), labeled.count()) == (3, 3, 6)
+
+
+@pytest.mark.parametrize("method", ["days", "exists"])
+def test_exposures(tables, rows, method):
+    exposures = plans.build_exposures(tables, plans.build_cohort(tables), method=method)
+    keys = ["hadm_id", "drug", "dose_val_rx", "dose_unit_rx"]
+    got = {r[:4]: r[4] for r in rows(exposures.select(*keys, "in_icu"))}
+    assert got == {
+        (10, "furosemide", "20", "mg"): 1,
+        (10, "furosemide", "40", "mg"): 1,
+        (10, "furosemide", "5", "mL"): 0,
+        (12, "furosemide", "1-2", None): 1,
+        (13, "acetaminophen-codeine", None, "tab"): 0,
+        (13, "acetaminophen-codeine", "1", None): 0,
+    }
+
+
+def test_exposure_table(exposures, rows):
+    got = rows(plans.top_exposures_report(exposures, 5).orderBy(F.desc("n_prescriptions")))
+    assert got == [
+        ("Furosemide", 4, 2, 21.67, 30.0, 75.0, 2.0, "MG"),
+        ("Acetaminophen-Codeine", 2, 1, 1.0, None, 0.0, 2.0, "TAB"),
+    ]
+
+
+def test_top_exposures_and_detail(exposures, rows):
+    top = op.top_exposures(exposures, 1)
+    assert rows(top) == [("furosemide", 4, 2, 21.67, 75.0, 2.0, 66.7)]
+    approx = op.top_exposures(exposures, 1, approx=True)
+    assert rows(approx) == rows(top)
+    assert rows(op.exposure_detail(exposures, 2)) == [
+        ("furosemide", 4, 2, 75.0, 2.0),
+        ("acetaminophen-codeine", 2, 1, 0.0, 2.0),
+    ]
+
+
+def test_dose_tables(exposures, rows):
+    assert rows(op.dose_by_unit(exposures, 5)) == [
+        ("acetaminophen-codeine", None, 1, 1.0, 1.0),
+        ("furosemide", "mg", 2, 30.0, 30.0),
+        ("furosemide", "mL", 1, 5.0, 5.0),
+    ]
+    assert rows(op.dose_units_used(exposures, 5)) == [
+        ("acetaminophen-codeine", "tab", 1, None),
+        ("acetaminophen-codeine", None, 1, 1.0),
+        ("furosemide", "mg", 2, 30.0),
+        ("furosemide", "mL", 1, 5.0),
+        ("furosemide", None, 1, None),
+    ]
+
+
+def test_name_without_any_dose_is_left_out(exposures, rows):
+    bare = exposures.withColumn("dose_val_rx", F.when(F.col("drug") == "furosemide", F.col("dose_val_rx")))
+    assert {r[0] for r in rows(op.dose_units_used(bare, 5))} == {"furosemide"}
+
+
+def test_setting_split_and_overview(exposures, rows):
+    assert rows(op.setting_split(exposures, 5)) == [
+        ("acetaminophen-codeine", 0, 2, 0.0),
+        ("furosemide", 3, 1, 75.0),
+    ]
+    assert rows(op.exposure_overview(exposures)) == [(6, 3, 2)]
+
+
+def test_missing_name_counts_only_when_asked(exposures, rows):
+    holes = exposures.withColumn("drug", F.when(F.col("hadm_id") != 13, F.col("drug")))
+    assert rows(op.exposure_overview(holes)) == [(6, 3, 1)]
+    assert rows(op.exposure_overview(holes, count_null=True)) == [(6, 3, 2)]
+    assert rows(op.exposure_overview(holes, approx=True)) == [(6, 3, 1)]
+    # a missing name is a group like any other, in ranking, units and doses
+    assert rows(op.top_exposures(holes, 2).select("drug", "n_prescriptions")) == [("furosemide", 4), (None, 2)]
+    assert (None, None, 1, 1.0, 1.0) in rows(op.dose_by_unit(holes, 2))
+    report = rows(plans.top_exposures_report(holes, 2).select("drug", "n_prescriptions", "dominant_unit"))
+    assert (None, 2, "TAB") in report
+
+
+def test_missing_start_date_is_counted(exposures, rows):
+    got = rows(op.missing_profile(exposures).orderBy("variable"))
+    assert got == [("dose_unit_rx", 2, 33.3), ("dose_val_rx", 1, 16.7), ("startdate", 1, 16.7)]
+
+
+def test_outcomes(labeled, rows):
+    cases, _ = plans.split_cohort(labeled)
+    table = plans.outcomes(cases)
+    old = table.where("stratum = '60+'").select(
+        "n", *[f"hospital_los_days_{q}" for q in ("q25", "median", "q75")], "icu_los_days_median", f"{DEATH}_pct"
+    )
+    assert rows(old) == [(3, 1.5, 3.0, 4.25, 0.625, 33.3)]
+    # a stratum whose stays are all missing keeps its row
+    other = table.where("stratum = 'Other/Unknown'").select("n", "icu_los_days_median")
+    assert rows(other) == [(1, None)]
+
+
+def test_null_strata_are_dropped_unless_kept(labeled, rows):
+    _, others = plans.split_cohort(labeled)
+    strata = {"Gender": "gender"}
+    keep = op.outcomes_by(others, strata, MEASURES, DEATH, keep_null=True)
+    drop = op.outcomes_by(others, strata, MEASURES, DEATH)
+    assert sorted(rows(keep.select("stratum", "n")), key=str) == [("F", 1), (None, 2)]
+    assert rows(drop.select("stratum", "n")) == [("F", 1)]
+
+
+def test_approximate_outcomes_have_the_same_shape(labeled, rows):
+    cases, _ = plans.split_cohort(labeled)
+    exact, approx = plans.outcomes(cases), plans.outcomes(cases, exact=False)
+    assert exact.columns == approx.columns
+    shown = ["stratifier", "stratum", "n", f"{DEATH}_pct"]
+    assert sorted(rows(exact.select(*shown))) == sorted(rows(approx.select(*shown)))
+
+
+def test_presented_outcomes(labeled, rows):
+    cases, _ = plans.split_cohort(labeled)
+    shown = plans.present_outcomes(plans.outcomes(cases))
+    got = rows(shown)
+    assert got[0] == ("Age", "60+", "3.0 (1.5–4.2)", "0.6 (0.3–0.9)", "33.3")
+    assert [r[:2] for r in got] == [
+        ("Age", "60+"),
+        ("Gender", "F"),
+        ("Gender", "M"),
+        ("Diabetes status", "No secondary diabetes"),
+        ("Diabetes status", "Secondary diabetes"),
+        ("Ethnicity", "Black"),
+        ("Ethnicity", "Other/Unknown"),
+        ("Ethnicity", "White"),
+    ]
+    assert got[6] == ("Ethnicity", "Other/Unknown", "3.0 (3.0–3.0)", None, "0.0")
+    assert shown.schema["hospital_los"].metadata["label"] == "Hospital LOS, days (median [IQR])"
+
+
+def test_demographics(labeled, rows):
+    cases, _ = plans.split_cohort(labeled)
+    table = plans.demographics(cases)
+    got = {(r["variable"], r["level"]): r for r in table.collect()}
+    young = got["age_group", "0-17"]
+    assert (young["n_without"], young["pct_without"], young["n_with"], young["pct_with"]) == (0, 0.0, 0, 0.0)
+    old = got["age_group", "60+"]
+    assert (old["n_without"], old["n_with"], old["total_without"], old["total_with"]) == (1, 2, 1, 2)
+    assert got["gender", "F"]["pct_with"] == 50.0
+    assert ("ethnicity_group", "Asian") not in got
+
+
+def test_demographics_leaves_missing_values_out_of_the_percent(labeled, rows):
+    _, others = plans.split_cohort(labeled)
+    got = {(r["variable"], r["level"]): r for r in plans.demographics(others).collect()}
+    female = got["gender", "F"]
+    assert (female["n_without"], female["pct_without"], female["total_without"]) == (1, 100.0, 3)
+    assert (female["n_with"], female["pct_with"], female["total_with"]) == (0, None, 0)
+
+
+def test_presented_demographics(labeled, rows):
+    cases, _ = plans.split_cohort(labeled)
+    got = rows(plans.present_demographics(plans.demographics(cases)))
+    titles = ("**No secondary diabetes** (N=1)", "**Secondary diabetes** (N=2)")
+    assert got[0] == ("Age group", "0-17", "0 (0.0%)", titles[0], "0 (0.0%)", titles[1])
+    assert got[2][:3] == ("Age group", "60+", "1 (100.0%)")
+    assert [r[0] for r in got] == sorted((r[0] for r in got), key=["Age group", "Gender", "Ethnicity", "Admission type"].index)
+
+
+def test_presented_exposures(exposures, rows):
+    shown = plans.present_exposures(plans.top_exposures_report(exposures, 5))
+    assert rows(shown)[0] == ("Furosemide", 4, 21.67, 75.0, 2.0, "MG")
+    assert shown.schema["drug"].metadata["label"] == "Medication"
