@@ -88,9 +88,9 @@ def freeze_report(
     """
     root = folder.rstrip("/")
     keep = lambda df, name: thaw(spark, freeze(df, f"{root}/{name}"))
-    cohort = keep(label_cohort(build_cohort(tables, config), config), "cohort")
-    exposures = keep(build_exposures(tables, cohort, config), "exposures_all")
-    frozen = {"cohort": cohort, "exposures_all": exposures}
+    cohort = keep(label_cohort(build_cohort(tables, config), config), "cohort_rows")
+    exposures = keep(build_exposures(tables, cohort, config), "exposure_rows")
+    frozen = {"cohort_rows": cohort, "exposure_rows": exposures}
     for name, table in report_tables(cohort, exposures, config, k).items():
         frozen[name] = keep(table, name)
     return frozen

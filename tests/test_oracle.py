@@ -1,0 +1,74 @@
+"""Every named query against its SQL counterpart in DuckDB."""
+
+from __future__ import annotations
+
+import math
+import os
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+
+FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for path in Path(FOLDER).glob("*.parquet"):
+        connection.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return connection
+
+
+def table(columns, rows):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    plain = lambda v: None if isinstance(v, float) and math.isnan(v) else v
+    return sorted((tuple(plain(row[i]) for i in order) for row in rows), key=repr)
+
+
+SPARK_TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
+
+@pytest.mark.parametrize("name", contract.queries())
+def test_query_equals_its_sql(spark, duck, name):
+    got = contract.queries()[name](spark, FOLDER)
+    want = duck.sql(contract.oracle_sql()[name])
+    types = {c: SPARK_TYPES[str(t)] for c, t in zip(want.columns, want.types)}
+    assert dict(got.dtypes) == types
+    assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
+
+
+def test_every_query_has_an_oracle():
+    assert set(contract.queries()) == set(contract.oracle_sql())
+
+
+def test_entry_is_the_outcome_table(spark):
+    got = contract.entry(spark)
+    assert got.columns[:3] == ["stratifier", "stratum", "n"]
+    assert got.count() == 12
+
+
+def test_invariants(spark):
+    """Row counts and sums that hold whatever the data."""
+    from cohortlens.catalog import Study
+
+    study = Study(spark, FOLDER)
+    tables, cohort = study.tables, study.cohort
+    known = tables.admissions.join(tables.patients, "subject_id", "left_semi").count()
+    assert cohort.count() == known == cohort.select("hadm_id").distinct().count()
+    cases = study.cases.count()
+    assert cases + study.controls.count() == known
+    given = tables.prescriptions.join(study.cases, "hadm_id", "left_semi").count()
+    assert study.exposures.count() == given
+    shares = contract.queries()["freq_ethnicity"](spark, FOLDER).collect()
+    assert sum(r["n"] for r in shares) == cases
+    ages = [r for r in contract.queries()["outcomes_stratified"](spark, FOLDER).collect() if r["stratifier"] == "Age"]
+    assert sum(r["n"] for r in ages) == cases
