@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.durations import SECONDS_PER_DAY, elapsed_seconds
 
+NO_DAY = "0001-01-01"
+
 
 def total_interval_days(
     intervals: DataFrame, key: str, start: str, end: str, name: str = "total_days"
@@ -29,25 +31,24 @@ def flag_in_interval(
     end: str,
     flag: str = "in_interval",
     method: str = "days",
-    points: DataFrame | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Add a 0/1 column: does ``at`` lie in some interval of its key, bounds included?
 
-    Rows are never multiplied; a missing time or bound never matches.
+    Rows are never multiplied; a missing time or bound never matches. With ``only``,
+    a frame of keys, events of other keys are dropped.
 
     ``method="days"`` joins on key *and* calendar day, so a key that holds a large
-    part of all rows is spread over its days. ``method="exists"`` is the plain
-    EXISTS subquery: fewer shuffles, but all rows of a key meet in one task.
-
-    ``points`` may name a frame that is cheaper to read than ``events`` and holds at
-    least its (key, at) pairs; it only tells which days are asked for.
+    part of all rows is spread over its days, and events are shuffled once.
+    ``method="exists"`` is the plain EXISTS subquery: a shorter plan, but all rows of
+    a key meet in one task and are compared pair by pair.
     """
     if method == "exists":
-        return _flag_by_exists(events, intervals, key, at, start, end, flag)
+        kept = events if only is None else events.join(only.select(key), key, "left_semi")
+        return _flag_by_exists(kept, intervals, key, at, start, end, flag)
     if method != "days":
         raise ValueError(f"unknown method {method!r}")
-    lookup = _cover_by_day(events if points is None else points, intervals, key, at, start, end)
-    return _flag_by_day(events, lookup, key, at, flag)
+    return _flag_by_day(events, intervals, key, at, start, end, flag, only)
 
 
 def _flag_by_exists(events, intervals, key, at, start, end, flag) -> DataFrame:
@@ -59,23 +60,27 @@ def _flag_by_exists(events, intervals, key, at, start, end, flag) -> DataFrame:
     return event.select("*", F.when(found, 1).otherwise(0).alias(flag))
 
 
-def _day(at: Column | str) -> Column:
-    return (F.col(at) if isinstance(at, str) else at).cast("date")
+def _day(at: str) -> Column:
+    """Calendar day; events without a time share one that no comparison can satisfy."""
+    return F.coalesce(F.col(at).cast("date"), F.lit(NO_DAY).cast("date"))
 
 
-def _flag_by_day(events, lookup, key, at, flag) -> DataFrame:
+def _flag_by_day(events, intervals, key, at, start, end, flag, only) -> DataFrame:
+    lookup = _cover_by_day(events, intervals, key, at, start, end)
+    if only is None:
+        lookup, how = lookup.where(F.col("_reach_before").isNotNull() | F.col("_spans").isNotNull()), "left"
+    else:
+        # the few rows per key are filtered, not the events; these then join inner
+        lookup, how = lookup.join(only.select(key), key, "left_semi"), "inner"
     since_earlier = F.col(at) <= F.col("_reach_before")
-    same_day = F.exists(
-        "_spans", lambda span: F.col(at).between(span["start"], span["reach"])
-    )
+    same_day = F.exists("_spans", lambda span: F.col(at).between(span["start"], span["reach"]))
     hit = F.coalesce(since_earlier, F.lit(False)) | F.coalesce(same_day, F.lit(False))
-    dated = events.withColumn("_day", _day(at))
-    joined = dated.join(lookup, [key, "_day"], "left")
+    joined = events.withColumn("_day", _day(at)).join(lookup, [key, "_day"], how)
     return joined.select(*events.columns, F.when(hit, 1).otherwise(0).alias(flag))
 
 
-def _cover_by_day(points, intervals, key, at, start, end) -> DataFrame:
-    """Per key and asked day: the intervals that can contain it.
+def _cover_by_day(events, intervals, key, at, start, end) -> DataFrame:
+    """Per key and day with an event: the intervals that can contain it.
 
     An interval that started on an earlier day contains the event if the latest
     end among those reaches it, so one running maximum (``_reach_before``) stands
@@ -93,12 +98,10 @@ def _cover_by_day(points, intervals, key, at, start, end) -> DataFrame:
     started = starts.groupBy(key, "_day").agg(
         F.max("_reach").alias("_day_reach"), F.collect_list(span).alias("_spans")
     )
-    asked = points.where(F.col(at).isNotNull()).select(key, _day(at).alias("_day")).distinct()
+    asked = events.select(key, _day(at).alias("_day")).distinct()
     # both sides are already partitioned by key and day, and unique in it
     per_day = asked.join(started, [key, "_day"], "full")
     earlier = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        per_day.withColumn("_reach_before", F.max("_day_reach").over(earlier))
-        .where(F.col("_reach_before").isNotNull() | F.col("_spans").isNotNull())
-        .select(key, "_day", "_reach_before", "_spans")
+    return per_day.select(
+        key, "_day", F.max("_day_reach").over(earlier).alias("_reach_before"), "_spans"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 from collections import Counter, defaultdict
@@ -52,16 +53,42 @@ def test_flag_in_interval_matches_brute_force(spark, method):
         assert found[i] == int(inside), (i, k, t)
 
 
-def test_flag_in_interval_takes_other_points_and_spans_years(spark):
-    stays = spark.createDataFrame([(1, ORIGIN, datetime(2150, 1, 1))], "k int, a timestamp_ntz, b timestamp_ntz")
-    facts = spark.createDataFrame(
-        [(1, datetime(2100, 5, 5)), (1, datetime(2150, 1, 2)), (2, ORIGIN)], "k int, t timestamp_ntz"
-    )
-    points = facts.unionAll(facts).withColumn("more", F.lit(1))
-    got = op.flag_in_interval(facts, stays, "k", "t", "a", "b", points=points).orderBy("k", "t")
-    assert [r["in_interval"] for r in got.collect()] == [1, 0, 0]
+@pytest.mark.parametrize("method", ["days", "exists"])
+def test_flag_in_interval_for_some_keys(spark, method):
+    far = datetime(2150, 1, 1)
+    stays = spark.createDataFrame([(1, ORIGIN, far), (2, ORIGIN, far)], "k int, a timestamp_ntz, b timestamp_ntz")
+    facts = [(1, datetime(2100, 5, 5)), (1, datetime(2150, 1, 2)), (1, None), (2, ORIGIN), (3, ORIGIN), (4, None)]
+    facts += [(None, ORIGIN)]
+    frame = spark.createDataFrame(facts * 2, "k int, t timestamp_ntz")
+    keys = spark.createDataFrame([(1,), (3,), (9,)], "k int")
+    got = op.flag_in_interval(frame, stays, "k", "t", "a", "b", method=method, only=keys)
+    want = [(1, facts[0][1], 1), (1, facts[1][1], 0), (1, None, 0), (3, ORIGIN, 0)] * 2
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_one_key_with_a_third_of_everything(spark):
+    """Hundreds of millions of pairs within one key, were they compared pair by pair."""
+    first = F.lit(ORIGIN).cast("timestamp_ntz")
+    moment = lambda n, step: first + F.make_dt_interval(mins=(n * step % 500_000).cast("int"))
+    key = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 1000).alias("k")
+    facts = spark.range(150_000).select("id", key, moment(F.col("id"), 7).alias("t"))
+    stays = spark.range(15_000).select(key, moment(F.col("id"), 11).alias("a"))
+    stays = stays.withColumn("b", F.col("a") + F.expr("interval 3 minutes"))
+    got = op.flag_in_interval(facts, stays, "k", "t", "a", "b").toPandas()
+    assert len(got) == 150_000
+    places = defaultdict(list)
+    for k, a, b in stays.collect():
+        places[k].append((a, b))
+    starts = {k: sorted(v) for k, v in places.items()}
+    for k, t, flag in got.sample(3000, random_state=1)[["k", "t", "in_interval"]].itertuples(index=False):
+        i = bisect.bisect_right(starts.get(k, []), (t.to_pydatetime(), datetime.max))
+        near = starts.get(k, [])[max(0, i - 8) : i]
+        assert flag == int(any(a <= t <= b for a, b in near)), (k, t, near)
+
+
+def test_unknown_method():
     with pytest.raises(ValueError):
-        op.flag_in_interval(facts, stays, "k", "t", "a", "b", method="other")
+        op.flag_in_interval(None, None, "k", "t", "a", "b", method="other")
 
 
 def test_total_interval_days(spark):

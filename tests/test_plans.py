@@ -79,7 +79,7 @@ def test_exists_variant_is_an_existence_join(plan_of):
 def test_interval_lookup_joins_on_key_and_day(plan_of):
     plan = plan_of("exposures")
     assert "ExistenceJoin" not in plan
-    assert re.search(r"SortMergeJoin \[hadm_id#\d+L, _day#\d+\], \[hadm_id#\d+L, _day#\d+\], LeftOuter", plan)
+    assert re.search(r"SortMergeJoin \[hadm_id#\d+L, _day#\d+\], \[hadm_id#\d+L, _day#\d+\], Inner", plan)
 
 
 def test_outcomes_roll_up_counts_in_one_expand(plan_of):
