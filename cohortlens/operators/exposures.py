@@ -112,17 +112,17 @@ def _first_per_key(df: DataFrame, key: str, value: str, n: str) -> DataFrame:
 def unit_totals(df: DataFrame) -> DataFrame:
     """Totals per name and per (name, unit) from one pass with GROUPING SETS.
 
-    ``_per_unit`` is 1 on rows of a (name, unit) pair and 0 on rows of a name.
+    ``per_unit`` is 1 on rows of a (name, unit) pair and 0 on rows of a name.
     """
     pair, name = [F.col(NAME), F.col(UNIT)], [F.col(NAME)]
     dose = number_from_text(DOSE)
     source = df.select(NAME, UNIT, ENTITY, INSIDE, dose.alias("_dose"))
     return source.groupingSets([pair, name], NAME, UNIT).agg(
-        (1 - F.grouping(UNIT)).alias("_per_unit"),
+        (1 - F.grouping(UNIT)).alias("per_unit"),
         F.count("*").alias("n_prescriptions"),
         F.count_distinct(ENTITY).alias("n_admissions"),
-        F.avg("_dose").alias("_mean_dose"),
-        F.avg(INSIDE).alias("_inside"),
+        F.avg("_dose").alias("mean_dose"),
+        F.avg(INSIDE).alias("share_inside"),
     )
 
 
@@ -130,29 +130,35 @@ def exposures_with_units(df: DataFrame, k: int) -> DataFrame:
     """The top ``k`` names with their dominant unit.
 
     ``mean_dose`` is over all units; ``mean_dose_dominant_unit`` only over exposures
-    in the dominant unit.
+    in the dominant unit. The totals are brought to one row per name by aggregation
+    rather than a self-join, which would read the exposures twice.
     """
-    totals = unit_totals(df)
-    top = totals.where(F.col("_per_unit") == 0).orderBy(*_by_count()).limit(k)
-    units = _first_per_key(totals.where(F.col("_per_unit") == 1), NAME, UNIT, "n_prescriptions")
-    top, units = top.alias("t"), units.alias("u")
-    same_name = F.col(f"t.{NAME}").eqNullSafe(F.col(f"u.{NAME}"))
-    return top.join(units, same_name, "left").select(
-        F.col(f"t.{NAME}").alias(NAME),
-        F.col("t.n_prescriptions").alias("n_prescriptions"),
-        F.col("t.n_admissions").alias("n_admissions"),
-        F.round("t._mean_dose", 2).alias("mean_dose"),
-        F.round("u._mean_dose", 2).alias("mean_dose_dominant_unit"),
-        F.round(100 * F.col("t._inside"), 1).alias("pct_in_icu"),
-        F.round(F.col("t.n_prescriptions") / F.col("t.n_admissions"), 2).alias("per_admission"),
-        F.col(f"u.{UNIT}").alias("dominant_unit"),
+    of_name, of_unit = F.col("per_unit") == 0, F.col("per_unit") == 1
+    unit, n = F.col(UNIT), F.col("n_prescriptions")
+    # most frequent first, equal counts by unit, a missing unit last
+    order = F.when(of_unit, F.struct(-n, unit.isNull(), unit))
+    dominant = F.min_by(F.struct(unit.alias("unit"), F.col("mean_dose").alias("mean")), order)
+    own = lambda c: F.max(F.when(of_name, F.col(c))).alias(c)
+    totals = ["n_prescriptions", "n_admissions", "mean_dose", "share_inside"]
+    per_name = unit_totals(df).groupBy(NAME).agg(*map(own, totals), dominant.alias("_top"))
+    return per_name.orderBy(*_by_count()).limit(k).select(
+        NAME,
+        "n_prescriptions",
+        "n_admissions",
+        F.round("mean_dose", 2).alias("mean_dose"),
+        F.round("_top.mean", 2).alias("mean_dose_dominant_unit"),
+        F.round(100 * F.col("share_inside"), 1).alias("pct_in_icu"),
+        F.round(n / F.col("n_admissions"), 2).alias("per_admission"),
+        F.col("_top.unit").alias("dominant_unit"),
     )
 
 
 def _top_doses(df: DataFrame, k: int) -> DataFrame:
     """``drug, unit, value, n``: dose counts of the ``k`` most frequent names.
 
-    Names are ranked on the counts, so the exposures themselves are read once.
+    Names are ranked on the counts, so the exposures themselves are read once. The
+    counts of missing doses stay in, because dropping them in one user of the counts
+    and not in the other would keep Spark from sharing the work.
     """
     counts = df.groupBy(NAME, UNIT, number_from_text(DOSE).alias("value")).agg(F.count("*").alias("n"))
     top = counts.groupBy(NAME).agg(F.sum("n").alias("n_prescriptions")).orderBy(*_by_count()).limit(k)
@@ -161,21 +167,23 @@ def _top_doses(df: DataFrame, k: int) -> DataFrame:
     return counts.join(top, same_name, "left_semi").select(NAME, UNIT, "value", "n")
 
 
-def _weighted_mean() -> Column:
-    known = F.when(F.col("value").isNotNull(), F.col("n"))
-    return F.sum(F.col("value") * F.col("n")) / F.sum(known)
+def _weighted(value: Column) -> tuple[Column, Column]:
+    """Number and mean of the known values, given how often each occurs."""
+    known = F.sum(F.when(value.isNotNull(), F.col("n")))
+    return known, F.sum(value * F.col("n")) / known
 
 
 def dose_by_unit(df: DataFrame, k: int, width: float = 1.0) -> DataFrame:
     """Number, mean and median of the known doses per name and unit, top ``k`` names."""
     keys = [NAME, UNIT]
-    doses = _top_doses(df, k).where(F.col("value").isNotNull())
-    means = doses.groupBy(*keys).agg(F.sum("n").alias("n"), _weighted_mean().alias("mean_dose"))
+    doses = _top_doses(df, k)
+    known, mean = _weighted(F.col("value"))
+    means = doses.groupBy(*keys).agg(known.alias("n"), mean.alias("mean_dose"))
     medians = quantiles(doses, keys, {"median_dose": 0.5}, width)
     merged = [F.max("n").alias("n")]
     merged += [F.round(F.max(c), 2).alias(c) for c in ("mean_dose", "median_dose")]
-    both = means.unionByName(medians, True)
-    return both.groupBy(*keys).agg(*merged).orderBy(*_name_then_count())
+    both = means.unionByName(medians, True).groupBy(*keys).agg(*merged)
+    return both.where(F.col("n").isNotNull()).orderBy(*_name_then_count())
 
 
 def _name_then_count() -> list[Column]:
@@ -187,8 +195,9 @@ def dose_units_used(df: DataFrame, k: int) -> DataFrame:
 
     Rows without a dose count too, but a name with no dose at all is left out.
     """
+    _, mean = _weighted(F.col("value"))
     per_unit = _top_doses(df, k).groupBy(NAME, UNIT).agg(
-        F.sum("n").alias("n"), F.round(_weighted_mean(), 2).alias("mean_dose")
+        F.sum("n").alias("n"), F.round(mean, 2).alias("mean_dose")
     )
     with_any = F.max("mean_dose").over(Window.partitionBy(NAME))
     kept = per_unit.withColumn("_any", with_any).where(F.col("_any").isNotNull()).drop("_any")

@@ -45,14 +45,15 @@ def quantiles(
 ) -> DataFrame:
     """Interpolated quantiles of ``value`` weighted by ``n``, one row per ``by`` group.
 
-    ``counts`` has the columns ``by..., value, n`` without missing values; a group
-    that does not occur in it gives no row. ``width`` is the histogram slice: it
+    ``counts`` has the columns ``by..., value, n``; missing values weigh nothing, and
+    a group without a value gives no row. ``width`` is the histogram slice: it
     decides how the work is split, never the result. A group's histogram has
     (range / width) rows at most.
     """
     by = list(by)
+    weight = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
     slice_of = F.floor(F.col("value") / F.lit(float(width)))
-    sliced = counts.select(*by, "value", F.col("n").alias("_n"), slice_of.alias("_slice"))
+    sliced = counts.select(*by, "value", weight.alias("_n"), slice_of.alias("_slice"))
 
     group = Window.partitionBy(*by)
     ordered = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -98,3 +98,27 @@ def test_top_k_is_not_a_full_sort(plan_of):
 def test_first_per_key_limits_before_the_shuffle(plan_of):
     plan = plan_of("dominant_unit")
     assert re.search(r"WindowGroupLimit .* Partial", plan)
+
+
+def final_plan(spark, name):
+    frame = QUERIES[name](Study(spark, FOLDER))
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize(
+    ("name", "column"),
+    [
+        ("top_exposures", "l_quantity"),
+        ("top_exposures_report", "l_quantity"),
+        ("dose_by_unit", "l_quantity"),
+        ("dose_units_used", "l_quantity"),
+        ("outcomes_stratified", "o_orderstatus"),
+        ("los_profile", "c_custkey"),
+        ("freq_ethnicity", "l_linenumber"),
+    ],
+)
+def test_rows_are_read_once(spark, name, column):
+    """Branches of a query share one evaluation of the rows: the column is scanned once."""
+    scans = re.findall(r"FileScan parquet \[(.*?)\]", final_plan(spark, name))
+    assert sum(column in scan for scan in scans) == 1
