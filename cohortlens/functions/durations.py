@@ -34,16 +34,20 @@ def elapsed_days(start: Column | str, end: Column | str) -> Column:
 def _calendar_number(at: Column) -> Column:
     """A number that grows with time and by the same step for every calendar year."""
     date = (F.year(at) * 100 + F.month(at)) * 100 + F.dayofmonth(at)
-    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.date_part(F.lit("SECOND"), at)
-    return date.cast("long") * (SECONDS_PER_DAY * MICROS) + (seconds * MICROS).cast("long")
+    midnight = at.cast("date").cast("timestamp_ntz")
+    micros = F.floor(elapsed_seconds(midnight, at).cast("double") * MICROS + 0.5)
+    return date.cast("long") * (SECONDS_PER_DAY * MICROS) + micros
 
 
 def full_years(dob: Column | str, at: Column | str, cap: int | None = None) -> Column:
     """Completed years from ``dob`` to ``at``, truncated towards zero.
 
-    A value above ``cap`` becomes ``cap``; a missing one stays missing (``least``
-    would turn it into the cap).
+    A value above ``cap`` becomes ``cap``; a missing one stays missing.
     """
-    passed = _calendar_number(_col(at)) - _calendar_number(_col(dob))
+    dob, at = _col(dob), _col(at)
+    passed = _calendar_number(at) - _calendar_number(dob)
     years = F.call_function("div", passed, F.lit(YEAR_STEP))
-    return years if cap is None else F.when(years > cap, F.lit(cap).cast("long")).otherwise(years)
+    if cap is None:
+        return years
+    # least() skips NULL and would turn a missing age into the cap
+    return F.when(dob.isNotNull() & at.isNotNull(), F.least(years, F.lit(cap).cast("long")))

@@ -12,10 +12,12 @@ from .report import (
     report_tables,
     top_exposures_report,
 )
+from .views import create_views
 
 __all__ = [
     "build_cohort",
     "build_exposures",
+    "create_views",
     "demographics",
     "freeze_report",
     "label_cohort",

@@ -106,3 +106,29 @@ def test_bucketed_tables_join_without_shuffling_them(spark, tables):
         assert joined.count() == 6
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_views_answer_sql(spark, tables, rows):
+    plans.create_views(tables)
+    plans.create_views(tables)
+    got = rows(
+        spark.sql(
+            "SELECT heart_failure, count(*) AS n, "
+            "round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS pct "
+            "FROM cohort GROUP BY heart_failure ORDER BY 1"
+        )
+    )
+    assert [(flag, n, float(pct)) for flag, n, pct in got] == [(0, 3, 50.0), (1, 3, 50.0)]
+    checks = spark.sql(
+        "SELECT count(*), count(DISTINCT hadm_id), count(DISTINCT drug), sum(in_icu) FROM exposures"
+    )
+    assert rows(checks) == [(6, 3, 2, 3)]
+
+
+def test_report_job_prints_its_tables(spark, tmp_path, capsys):
+    from cohortlens.__main__ import main
+
+    main(["--tables", "/root/testdata/sf0.001", "--out", f"{tmp_path}/report", "--stand-in", "--top", "3"])
+    printed = capsys.readouterr().out
+    assert "Outcomes of cases" in printed and "No secondary diabetes" in printed
+    assert thaw(spark, f"{tmp_path}/report/exposures").count() == 3
