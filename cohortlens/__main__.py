@@ -1,4 +1,4 @@
-"""Run the whole report: ``spark-submit ... -m cohortlens --tables DIR --out DIR``.
+"""Run the whole report: ``python -m cohortlens --tables DIR --out DIR``.
 
 Reads the five tables, writes cohort, exposures and the four report tables as
 parquet, and prints the tables in their text form.
