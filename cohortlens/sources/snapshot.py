@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +18,22 @@ def thaw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def snapshot_folder(spark: SparkSession, label: str = "snapshot") -> str:
-    """A new, unused folder name below the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    Executors must all reach it, so a temporary folder of this machine serves only
-    when the session names none, as in tests.
+    ``spark.checkpoint.dir`` names it; where that is unset, the warehouse serves. A
+    warehouse on the disk of one machine is refused unless the session is local too.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="cohortlens-")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+    if not local and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_snapshots"
+
+
+def snapshot_folder(spark: SparkSession, label: str = "snapshot") -> str:
+    """A new, unused folder name below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
