@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources import freeze, snapshot_folder, thaw
@@ -59,3 +60,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (one column ``doc_id``).
+
+    Only rows that a bit filter of the ids lets pass are shuffled for the exact join;
+    all others are kept where they are. Rows without an id are kept.
+    """
+    bits = shared(docs.sparkSession, bit_filter(ids, "doc_id"))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, keys.to_numpy(dtype=np.int64)))
+
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))
+    suspects = docs.where(maybe(key)).alias("d").join(ids.alias("gone"), F.col(f"d.{doc_id}") == F.col("gone.doc_id"), "left_anti")
+    return docs.where(~maybe(key)).union(suspects)
