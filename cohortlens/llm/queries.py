@@ -102,10 +102,10 @@ ORACLES = {
         FROM sized GROUP BY conv_id""",
     "op7_topk": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
           FROM embeddings
           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (
           SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
@@ -115,20 +115,20 @@ ORACLES = {
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(regexp_split_to_array(
                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                   '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
           FROM documents),
         s AS (
           SELECT DISTINCT doc_id, unnest(CASE
-                   WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), i -> list_slice(ws, i, i + 4))
+                   WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: list_slice(ws, i, i + 4))
                    WHEN len(ws) > 0 THEN [ws] END) AS shingle
           FROM w),
         n AS (SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
         p AS (
-          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
           FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
         l AS (
           SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-          WHERE 100 * both >= 80 * (x.n + y.n - both)),
+          WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
         e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
         SELECT n.doc_id, n.n AS n_shingles, min(r.seen) AS component_id

@@ -37,7 +37,7 @@ def template_tokens(text: str) -> Column:
     s = F.regexp_replace(s, rf"(?<![\p{{L}}\p{{Nd}}{INSIDE}])(\p{{Nd}}[\p{{Nd}}{INSIDE}]*)", f" {SLOT}n$1 ")
     s = F.regexp_replace(s, rf"({SLOT}n\S+\s+)({'|'.join(UNITS)})(?![\p{{L}}\p{{Nd}}])", f"$1{SLOT}u$2")
     s = F.trim(F.regexp_replace(F.lower(s), rf"[^\p{{L}}\p{{M}}\p{{Nd}}{SLOT}{INSIDE}]+", " "))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
+    return F.array_remove(F.split(s, " "), "")
 
 
 def _is_slot(token: Column) -> Column:
@@ -61,13 +61,17 @@ def _windows(hashes: str) -> Column:
 
 
 def _exploded(df: DataFrame, row: str, text: str, prefix: str) -> DataFrame:
-    """One row per window: id, place, hash, number of windows, and the text's tokens."""
+    """One row per window: id, place, hash, number of windows, and the text's tokens.
+
+    The outer form of explode keeps Spark from testing the windows for emptiness below,
+    which would work them out twice; a text without any gives a null that joins nothing.
+    """
     rows = df.select(F.col(row).cast("long").alias(f"{prefix}_id"), template_tokens(text).alias(f"{prefix}_tokens"))
     rows = rows.withColumn("hashes", _token_hashes(f"{prefix}_tokens"))
     rows = rows.withColumn("windows", _windows("hashes"))
     return rows.select(
         f"{prefix}_id", f"{prefix}_tokens", F.size("windows").alias(f"{prefix}_windows"),
-        F.posexplode("windows").alias(f"{prefix}_at", "window"),
+        F.posexplode_outer("windows").alias(f"{prefix}_at", "window"),
     )
 
 
@@ -88,6 +92,7 @@ def contaminated(
     Other columns are ignored.
     """
     items = _exploded(benchmark, item_id, "text", "item")
+    items = items.where("window is not null")
     # equal windows of rows that repeat an item id would only multiply the matches
     items = items.select("item_id", "item_windows", "item_at", "window", _slots("item_tokens", "item_at").alias("item_slots"))
     items = items.groupBy("item_id", "window", "item_at").agg(
