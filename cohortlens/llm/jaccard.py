@@ -16,6 +16,10 @@ lies near that border do both, so that partners of either kind meet.
 Rows that share a key are not paired with each other all at once: the first set of a
 key is compared with the others, found links are merged, and only keys with several
 components go on, with more leaders each round, until no pair is left to compare.
+
+Only pairs that a bitmap of parities leaves possible are verified: every bit in which
+two bitmaps differ needs an element that only one set has. Of those a set is first
+verified against one partner; pairs that are in one component by then need no more.
 """
 
 from __future__ import annotations
@@ -30,12 +34,14 @@ from .common import bit_filter, mixed, passes, shared, written
 from .components import components
 from .shingles import SHINGLE, set_signature, shingle_sets
 
-SETS = "doc_id long, n int, sig long"
+SETS = "doc_id long, n int, sig long, bits binary"
 #: A token is frequent from this number of sets on, or more where they are too many to mark.
 FREQUENT = 16
 MOST_FREQUENT = 1 << 21
 #: A task reports a token to the frequency count from this number of its own sets on.
 LOCAL = 3
+#: Bits of the parity bitmap of a set.
+BITS = 512
 #: Sets above this size index frequent tokens alone.
 PAIRED_SIZE = 256
 
@@ -45,17 +51,24 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(text: str, k: int):
+def _parities(tokens: np.ndarray) -> bytes:
+    """Per bit: is the number of tokens with that remainder odd?"""
+    counts = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), set_signature(s)) for s in shingle_sets(batch.column(1), k)]
+            found = [(len(s), set_signature(s), _parities(s)) for s in shingle_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([n for n, _ in found], pa.int32()),
-                    pa.array([sig for _, sig in found], pa.int64()),
+                    pa.array([f[0] for f in found], pa.int32()),
+                    pa.array([f[1] for f in found], pa.int64()),
+                    pa.array([f[2] for f in found], pa.binary()),
                 ],
-                ["doc_id", "n", "sig"],
+                ["doc_id", "n", "sig", "bits"],
             )
 
     return run
@@ -187,6 +200,24 @@ def _linked(percent: int):
     return run
 
 
+def _possible(percent: int):
+    """Pairs whose overlap can still be large enough, going by sizes and bitmaps."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                one, other = (
+                    np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), dtype=np.uint8).reshape(-1, BITS // 8) for c in ("xa", "xb")
+                )
+                apart = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+                total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+                most = (total - apart) // 2
+                keep = 100 * most >= percent * (total - most)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) of signatures that are similar enough."""
     spark = texts.sparkSession
@@ -211,9 +242,13 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
     met = bit_filter(written(counts.where("n > 1").select("key"), "keys"), "key")
     index = texts.mapInArrow(_index(k, percent, often, shared(spark, met)), "key long, sig long, n int")
     held = written(index.groupBy("key", "sig").agg(F.max("n").alias("n")), "postings")
-    ids = written(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "ids")
-    links, leaders = None, 1
-    placed = None
+    ids = written(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits")), "ids")
+    links, placed, leaders = None, None, 1
+
+    def merged(found: DataFrame):
+        both = found if links is None else written(links.union(found), "links")
+        return both, components(both)
+
     while True:
         if placed is not None:
             held = held.join(placed, held["sig"] == placed["node"], "left").select(
@@ -225,23 +260,31 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         open_keys = open_keys.where("low < high").select("key", "first")
         if leaders == 1:  # without a window, so that a hot key is aggregated before it moves
             held = written(held.join(open_keys, "key"), "postings")
-            chosen = held.where("sig = first")
-            rest = held.where("sig > first")
+            chosen, rest = held.where("sig = first"), held.where("sig > first")
         else:
             held = held.join(open_keys, "key", "left_semi")
             by_sig = Window.partitionBy("key").orderBy("sig")
             held = written(held.withColumn("place", F.row_number().over(by_sig)), "postings")
-            chosen = held.where(F.col("place") <= leaders)
-            rest = held
+            chosen, rest = held.where(F.col("place") <= leaders), held
         if held.isEmpty():
             break
         one = chosen.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         other = rest.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         pairs = one.join(other, "key").where("a < b and ra <> rb")
-        pairs = pairs.where(f"100L * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        found = _verified(texts, written(pairs, "pairs"), ids, k, percent)
-        links = found if links is None else written(links.union(found), "links")
-        placed = components(links)
+        pairs = pairs.where(f"100L * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(ids.select(F.col("sig").alias(side), F.col("bits").alias(f"x{side}")), side)
+        pairs = written(pairs.mapInArrow(_possible(percent), "a long, b long"), "pairs")
+        # one partner for each set first; after that only what is still apart
+        tried = pairs.groupBy("b").agg(F.min("a").alias("a"))
+        links, placed = merged(_verified(texts, tried, ids, k, percent))
+        left = pairs.join(tried, ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            place = placed.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+            left = left.join(place, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+        left = written(left.where("ra <> rb").select("a", "b"), "pairs")
+        if not left.isEmpty():
+            links, placed = merged(_verified(texts, left, ids, k, percent))
         held = (held.where("sig > first") if leaders == 1 else held.where(F.col("place") > leaders)).select("key", "sig", "n")
         leaders *= 64
     return placed if placed is not None else spark.createDataFrame([], "node long, root long")
@@ -261,7 +304,7 @@ def near_duplicate_components(
     are told apart by a 64-bit signature and tokens by 64-bit hashes.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = written(texts.mapInArrow(_sets("text", k), SETS), "sets")
+    sets = written(texts.mapInArrow(_sets(k), SETS), "sets")
     placed = similar_links(texts, sets, k, percent)
     own = sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     own = own.join(placed, own["sig"] == placed["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
