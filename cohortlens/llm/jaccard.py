@@ -40,8 +40,8 @@ FREQUENT = 16
 MOST_FREQUENT = 1 << 21
 #: A task reports a token to the frequency count from this number of its own sets on.
 LOCAL = 3
-#: Bits of the parity bitmap of a set.
-BITS = 512
+#: Bits of the parity bitmap of a set: at least these, and as many as it has tokens.
+LEAST_BITS = 512
 #: Sets above this size index frequent tokens alone.
 PAIRED_SIZE = 256
 
@@ -53,7 +53,8 @@ def _prefix(n: int, percent: int) -> int:
 
 def _parities(tokens: np.ndarray) -> bytes:
     """Per bit: is the number of tokens with that remainder odd?"""
-    counts = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+    bits = max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length() if len(tokens) else 0)
+    counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
@@ -200,16 +201,23 @@ def _linked(percent: int):
     return run
 
 
+def _differing(one: bytes, other: bytes) -> int:
+    """Bits in which two bitmaps differ; the halves of a longer one are folded together."""
+    x, y = np.frombuffer(one, dtype=np.uint8), np.frombuffer(other, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _possible(percent: int):
     """Pairs whose overlap can still be large enough, going by sizes and bitmaps."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                one, other = (
-                    np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), dtype=np.uint8).reshape(-1, BITS // 8) for c in ("xa", "xb")
-                )
-                apart = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+                apart = np.array([_differing(x.as_py(), y.as_py()) for x, y in zip(batch.column("xa"), batch.column("xb"))])
                 total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
                 most = (total - apart) // 2
                 keep = 100 * most >= percent * (total - most)
