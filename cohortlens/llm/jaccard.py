@@ -294,7 +294,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         if not left.isEmpty():
             links, placed = merged(_verified(texts, left, ids, k, percent))
         held = (held.where("sig > first") if leaders == 1 else held.where(F.col("place") > leaders)).select("key", "sig", "n")
-        leaders *= 64
+        leaders *= 4
     return placed if placed is not None else spark.createDataFrame([], "node long, root long")
 
 
