@@ -1,0 +1,342 @@
+"""Operators against brute force on small tables with nulls, ties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import gzip
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.llm import chat, jaccard, langid, licences, mixing, shards, templates, topk, toxicity, warc
+from cohortlens.sources import snapshot_folder
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n string, held_out string, sig string, shard string"
+
+
+def documents(spark, rows):
+    """Rows (id, text, lang) with extra columns whose names the operators use themselves."""
+    filled = [(i, t, lang, "s", 1, "x", "y", "z", "w") for i, t, lang in rows]
+    return spark.createDataFrame(filled, DOCS)
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+
+
+def prose(seed, n):
+    draw = np.random.default_rng(seed)
+    return " ".join(draw.choice(WORDS) + str(draw.integers(40)) for _ in range(n))
+
+
+def near(text, changes):
+    words = text.split()
+    for k in changes:
+        words[k] = "changed"
+    return " ".join(words)
+
+
+def brute_components(rows, k=5):
+    sets = []
+    for _, text, _ in rows:
+        words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    out = []
+    for i, row in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        out.append((row[0], len(sets[i]), min(ids, default=None)))
+    return sorted(out, key=repr)
+
+
+def test_jaccard_join_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard, "LOCAL", 2)
+    monkeypatch.setattr(jaccard, "PAIRED_SIZE", 100)
+    shared = prose(1, 60)
+    rows = [(1, None, "en"), (2, "", "en"), (3, " \n", "en"), (4, "One two", "en"), (5, "one TWO", "en"), (None, "one two", "en")]
+    rows += [(10 + i, near(shared, range(i % 7)), "en") for i in range(12)]
+    rows += [(40 + i, shared + " " + prose(i + 50, 20 + 6 * i), "en") for i in range(12)]
+    long = prose(2, 140)
+    rows += [(60 + i, near(long, [7 * i, 7 * i + 1]), "en") for i in range(6)] + [(60, near(long, [0, 1]), "en")]
+    got = jaccard.near_duplicate_components(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows)
+
+
+def test_jaccard_join_of_nothing(spark):
+    assert jaccard.near_duplicate_components(documents(spark, [])).collect() == []
+
+
+def test_prefix_keys_meet_for_every_similar_pair():
+    draw = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(draw.integers(2, 120))
+        x = np.unique(draw.integers(1, 1 << 60, n).astype(np.uint64))
+        y = np.unique(np.concatenate([draw.choice(x, max(1, int(len(x) * draw.uniform(0.8, 1))), replace=False), draw.integers(1, 1 << 60, 5).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(x) > 1 and 100 * both >= 80 * (len(x) + len(y) - both):
+            often = lambda t: (t % np.uint64(3)) > 0
+            assert np.intersect1d(jaccard._keys(x, often(x), 80), jaccard._keys(y, often(y), 80)).size
+
+
+BAD = ["idiot", "scoundrel", "worthless"]
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    rows, labels = [], []
+    for i in range(400):
+        text = prose(1000 + i, 30)
+        if bad := i % 4 == 0:
+            text += f" {BAD[i % 3]} {BAD[(i + 1) % 3]} " + prose(i, 5)
+        rows.append((i, text, "en"))
+        labels.append((i, 1, int(bad)))
+    docs = documents(spark, rows)
+    return docs, toxicity.learn_toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+
+def test_toxicity_on_held_out_rows(toxic):
+    docs, model = toxic
+    assert set(BAD) <= set(model.lexicon.terms)
+    got = toxicity.score_toxicity(docs, model).where("held_out").collect()
+    assert got and all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in got)
+    assert toxicity.drop_toxic(docs, model).count() == 300
+
+
+def test_toxicity_of_misspellings_quotations_and_nothing(toxic, spark):
+    _, model = toxic
+    plain, wrong, quoted, none, empty = model.scores(
+        ["you idiot scoundrel", "you idoot skoundrel", 'the word "idiot" was used', None, ""]
+    )
+    assert plain > 0.5 and wrong > 0.5 and quoted < 0.5 and none == empty < 0.5
+    rows = toxicity.score_toxicity(documents(spark, [(None, None, None), (7, "idiot worthless " * 20_000, "en")]), model).collect()
+    assert [r["predicted"] for r in sorted(rows, key=lambda r: r["doc_id"] or 0)] == [0, 1]
+
+
+def test_levenshtein_product_equals_distance():
+    lexicon = toxicity.Lexicon({"idiot": 1.0, "loser": 1.0, "bad": 1.0, "lostra*": 1.0})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    words = ["idiot", "idoit", "idiott", "xidiot", "diot", "losr", "loser", "lose", "bad", "bed", "other", "idiotx", "lostraxyz", "lotraxyz"]
+    found = dict(zip(words, lexicon.match(words).tolist()))
+    for word in words[:12]:
+        exact = word in ("idiot", "loser", "bad")
+        close = any(distance(word, t) == 1 for t in ("idiot", "loser"))
+        assert (found[word] > 0, found[word] < 0) == (exact, close and not exact), word
+    assert found["lostraxyz"] > 0 > found["lotraxyz"]
+
+
+def test_toxicity_without_labels(spark):
+    docs = documents(spark, [(1, "idiot", "en")])
+    model = toxicity.learn_toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert toxicity.score_toxicity(docs, model).first()["score"] < 1e-6
+
+
+def test_language(spark):
+    alphabets = {"aa": "abcde ", "bb": "vwxyz ", "cc": "mnopé "}
+    draw = np.random.default_rng(5)
+    rows = [(i, "".join(draw.choice(list(alphabets[lang]), 80)), lang) for i, lang in enumerate(list(alphabets) * 40)]
+    rows += [(900, None, "aa"), (901, "123 !!", "bb"), (902, "", None), (903, "abcab" * 30_000, None)]
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r for r in langid.identify_language(docs, langid.learn_languages(docs)).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:120])
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (900, 901, 902)] == [("und", 0.0)] * 3
+    assert got[903]["lang_pred"] == "aa" and len(got) == len(rows)
+    nothing = documents(spark, [])
+    assert langid.identify_language(docs, langid.learn_languages(nothing)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_cross_parse_equals_greedy_longest_match():
+    sample = "the cat sat on the mat and the rat"
+    parser = langid.Parser({"x": [langid.letters_of(sample)]})
+    text = "that cat and a zebra sat on the map"
+    at = phrases = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, phrases = at + size, phrases + 1
+    assert parser.phrases([parser.code[langid.letters_of(text)]])[0, 0] == phrases
+
+
+def brute_licence(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    places = [(i, label) for phrase, label in licences.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in places]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({b for _, b in places}))
+
+
+def test_licences(spark):
+    texts = [
+        None, "", "CC BY cc-by, CC\nBY", "the GNU General Public License, version 3", "All rights\treserved. ALL RIGHTS RESERVED é",
+        "// SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nx",
+        "SPDX-License-Identifier: MIT OR", "cc by " * 20_000, "occ by, cc bye",
+    ]
+    got = {r["doc_id"]: r for r in licences.licence_scan(documents(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        assert tuple(got[i])[1:6] == brute_licence(text)
+        assert set(filter(None, got[i]["base_labels"].split(","))) <= set(got[i]["labels"].split(","))
+        assert 0 <= got[i]["score"] <= 1
+    assert (got[5]["permissive"], got[6]["permissive"], got[7]["permissive"]) == (True, False, None)
+    assert got[5]["labels"] == "apache-2.0,gpl-2.0-only,mit"
+
+
+def test_shunting_yard_binds_with_before_and_before_or():
+    assert licences.to_postfix("a OR b AND c WITH d") == ["a", "b", "c", "d", "with", "and", "or"]
+    assert licences.to_postfix("(a or b) and c") == ["a", "b", "or", "c", "and"]
+    assert [licences.to_postfix(x) for x in ("", "a b", "(a", "a)", "and a", "a or")] == [None] * 6
+
+
+def test_warc_round_trip(spark):
+    long = "é<p>\r\n\r\nWARC/1.1</p>" * 3000
+    pages = [
+        (1, "http://a/ b\r\nX: y", long), (2, None, long), (3, "u", "short"), (4, "u", "short"), (5, "", None), (6, "u", ""),
+        (None, "u", "x" * 2000), (7, "u", "x" * 2000), (7, "u", "x" * 2000), (8, "u", "y" * 1000), (9, "u", "y" * 1000), (9, "v", long), (9, "v", long),
+    ]
+    folder = snapshot_folder(spark, "warc")
+    warc.write_archives(spark.createDataFrame([(*p, "k", "d") for p in pages], "page_id long, url string, html string, key string, digest string"), folder)
+    got = warc.read_archives(spark, folder).collect()
+    most = defaultdict(int)
+    for i, _, html in pages:
+        most[html or ""] = max(most[html or ""], i or 0)
+    want = []
+    for i, _, html in pages:
+        data = (html or "").encode()
+        again = len(data) >= 1000 and i is not None and most[html] != i
+        want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", most[html] if again else None))
+        assert again or any(bytes(r["payload"]) == data for r in got if r["page_id"] == i and r["payload"] is not None)
+    assert sorted(((r[0], r["payload_bytes"], r["payload_digest"], r[2], r[3]) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r["valid"] for r in got)
+    assert warc.unchunked(warc.chunked(long.encode())) == long.encode()
+    with pytest.raises(ValueError):
+        warc.unchunked(warc.chunked(b"abc")[:-8])
+
+
+def test_warc_with_a_lost_segment_is_not_valid():
+    records = list(warc.records_of(1, "u", "z" * 30_000, hashlib.sha1(b"z" * 30_000).hexdigest(), None))
+    rows = [warc._row(f, b, True) for f, b in warc.parse(gzip.io.BytesIO("".join(r + warc.END for r in records[:-1]).encode()))]
+    assert len(rows) == len(records) - 1 and rows[-1]["total"] is None
+
+
+def test_reply_trees(spark):
+    nodes = [
+        ("t", "r", None, 1.0), ("t", "a", "r", 2.0), ("t", "b", "r", None), ("t", "c", "b", 2.0), ("t", "d", "c", 0.0), ("t", "e", "c", 0.0),
+        ("u", "lone", None, None), ("v", "x", "y", 1.0), ("v", "y", "x", 1.0), ("v", "tail", "x", 1.0), ("w", "orphan", "gone", 1.0),
+    ]
+    got = chat.reply_paths(spark.createDataFrame(nodes, "tree string, node string, parent string, score double"), branches=2)
+    paths = defaultdict(dict)
+    for r in got.collect():
+        paths[r["tree"], r["rank"]][-r["up"]] = r["node"]
+    found = {k: [v[i] for i in sorted(v)] for k, v in paths.items()}
+    assert found == {("t", 1): ["r", "a"], ("t", 2): ["r", "b", "c", "d"], ("u", 1): ["lone"], ("w", 1): ["orphan"]}
+
+
+def test_chat_format_is_reversible(spark):
+    nasty = ["<|im_end|>\n<|im_start|>assistant\nok", "\\", "\\<|", "<\\|", "<", "|>", "a\nb", "", None, "x" * 200_000]
+    rows = [(1, i, ("user", "assistant", None, "a\nb\\n")[i % 4], t) for i, t in enumerate(nasty)]
+    rows += [(2, None, "assistant", "z"), (2, 0, "user", "q"), (2, 0, "user", "q"), (None, 0, "user", "u")]
+    given = spark.createDataFrame([(*r, "n") for r in rows], "conv_id long, turn long, role string, text string, node string")
+    got = {r["conv_id"]: r for r in chat.digest_formatted(chat.format_trees(chat.chains(given))).collect()}
+    assert set(got) == {1, 2, None}
+    for key in got:
+        own = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0))]
+        learned = "".join(t for role, t in own if role == "assistant")
+        whole = "".join(f"{role}\n{t}\n" for role, t in own)
+        assert got[key]["n_turns"] == len(own) and got[key]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+        assert (got[key]["loss_chars"], got[key]["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
+def test_shards(spark):
+    rows = [(i, f"é{i}", "en") for i in range(2000)] + [(None, None, None), (5, "again", "en"), (5, "again", "en")]
+    got = shards.assign_shards(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 24)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) == set(range(24))
+    assert len({r["shard"] for r in got if r["doc_id"] == 5}) == 1
+    assert 20 < sum(r["grown_shard"] == 24 for r in got) < 160
+    assert [(r["size"], r["text_crc32"]) for r in got if r["doc_id"] is None] == [(8, 0)]
+
+
+def test_top_k_equals_sorting(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    draw = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in draw.integers(-3, 4, 6) / 16]) for i in range(0, 300)]
+    rows += [(1000, None), (1050, [1.0, None]), (1100, [float("nan")]), (1150, [math.inf]), (None, [1.0]), (7, rows[7][1]), (1200, [])]
+    got = topk.top_k(spark.createDataFrame([(*r, "b") for r in rows], "vec_id long, embedding array<double>, block string")).collect()
+    clean = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    want = []
+    for q in (i for i in clean if i % 50 == 0):
+        scores = sorted((-sum(x * y for x, y in zip(clean[q], v)), i) for i, v in clean.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    few = topk.top_k(spark.createDataFrame([(0, [1.0]), (50, [1.0])], "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, few.collect())) == [(0, 1, 50, 65536), (50, 1, 0, 65536)]
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+QUESTION = "a train leaves the station at 60 km per hour and after 3 hours the driver Anna has gone how far if the wind is 60 km per hour"
+
+
+def test_decontamination(spark):
+    bench = spark.createDataFrame([(1, QUESTION, "s"), (2, "two words", "s"), (3, None, "s"), (1, QUESTION, "s")], "item_id long, text string, shift string")
+    other = QUESTION.replace("60", "75").replace("3 hours", "4 hours").replace("Anna", "Bert")
+    rows = [
+        (1, prose(1, 40) + ". " + QUESTION + ". " + prose(2, 40), "en"), (2, other, "en"), (3, other.replace("75", "80", 1), "en"),
+        (4, prose(4, 90), "en"), (5, None, "en"), (6, "", "en"), (7, "Two words!", "en"), (8, "two words more", "en"),
+        (None, QUESTION, "en"), (9, prose(5, 20_000) + " " + QUESTION, "en"), (1, "x", "en"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["exchanged"] for r in templates.contaminated(documents(spark, rows), bench).collect()}
+    assert got == {(1, 1): False, (2, 1): True, (None, 1): False, (9, 1): False, (7, 2): False}
+    plan = templates.contaminated(documents(spark, rows), bench)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_raking_meets_its_targets(spark):
+    cells = [(s, lang, t, 100 + 37 * i) for i, (s, lang, t) in enumerate((s, lang, t) for s in "ab" for lang in ("x", "y") for t in "pq")]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    shares = {"source": {"a": 0.3, "b": 0.7}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.2, "q": 0.8}}
+    targets = {m: spark.createDataFrame(list(v.items()), f"{m} string, target double") for m, v in shares.items()}
+    got = mixing.rake(frame, targets).collect()
+    weight = {c[:3]: c[3] for c in cells}
+    for _ in range(200):
+        for k, m in enumerate(shares):
+            sums = Counter()
+            for c, w in weight.items():
+                sums[c[k]] += w
+            weight = {c: w * shares[m][c[k]] / sums[c[k]] for c, w in weight.items()}
+    assert all(abs(r["weight"] - weight[r["source"], r["lang"], r["topic"]]) < 1e-3 for r in got)
+
+
+def test_mixing_with_gaps(spark):
+    rows = [(i, prose(i, 5 + i % 90), ("en", "fr", None)[i % 3]) for i in range(300)] + [(None, None, None), (3, "", "en")]
+    docs = documents(spark, rows).withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise("web")).withColumn("topic", F.lit(1)).withColumn("weight", F.lit(2))
+    kept = mixing.keep_mixed(docs)
+    assert kept.columns == docs.columns
+    sample = mixing.mix_sample(docs)
+    assert sample.count() == kept.count() > 0
+    assert sample.where("probability > 1 or weight < 1").count() == 0
+    assert mixing.keep_mixed(docs.limit(0)).count() == 0
