@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     }
     for title, table in shown.items():
         print(title)
-        table.show(100, truncate=False)
+        table.show(max(1, table.count()), truncate=False)
 
 
 if __name__ == "__main__":

@@ -51,7 +51,7 @@ def top_exposures(df: DataFrame, k: int, approx: bool = False) -> DataFrame:
         "n_admissions",
         F.round(F.col("_dose_sum") / F.col("_doses"), 2).alias("mean_dose"),
         F.round(100 * F.col("_inside") / n, 1).alias("pct_in_icu"),
-        F.round(n / F.col("n_admissions"), 2).alias("per_admission"),
+        F.round(F.try_divide(n, F.col("n_admissions")), 2).alias("per_admission"),
         percent(n, F.col("_total")).alias("pct_of_total"),
     )
 
@@ -148,7 +148,7 @@ def exposures_with_units(df: DataFrame, k: int) -> DataFrame:
         F.round("mean_dose", 2).alias("mean_dose"),
         F.round("_top.mean", 2).alias("mean_dose_dominant_unit"),
         F.round(100 * F.col("share_inside"), 1).alias("pct_in_icu"),
-        F.round(n / F.col("n_admissions"), 2).alias("per_admission"),
+        F.round(F.try_divide(n, F.col("n_admissions")), 2).alias("per_admission"),
         F.col("_top.unit").alias("dominant_unit"),
     )
 

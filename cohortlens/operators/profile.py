@@ -48,15 +48,20 @@ def frequency(
     return result.orderBy(*order)
 
 
+def _present(df: DataFrame, col: str) -> Column:
+    """The column, with NaN as NULL."""
+    return F.nanvl(F.col(col), F.lit(None)) if dict(df.dtypes).get(col) in ("double", "float") else F.col(col)
+
+
 def numeric_profile(
     df: DataFrame, col: str, exact: bool = True, width: float = 1.0, digits: int = 2
 ) -> DataFrame:
     """One row: min, q25, median, q75, max, mean, sd, n, n_missing of a column.
 
-    ``n`` counts the values present. ``exact=False`` takes the quartiles from a
-    bounded sketch in the same pass.
+    ``n`` counts the values present; NaN counts as missing. ``exact=False`` takes the
+    quartiles from a bounded sketch in the same pass.
     """
-    value = F.col(col).cast("double")
+    value = _present(df, col).cast("double")
     stats = {
         "min": F.min(value),
         "max": F.max(value),
@@ -80,10 +85,10 @@ def numeric_profile(
 def missing_profile(
     df: DataFrame, cols: Sequence[str] | None = None, only_missing: bool = True
 ) -> DataFrame:
-    """``variable, n_missing, pct`` from one pass over all columns."""
+    """``variable, n_missing, pct`` from one pass over all columns; NaN counts as missing."""
     cols = list(cols or df.columns)
     counted = df.agg(
-        F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]
+        F.count("*").alias("_rows"), *[F.count_if(_present(df, c).isNull()).alias(c) for c in cols]
     )
     long = counted.unpivot(["_rows"], cols, "variable", "n_missing")
     result = long.select(

@@ -45,12 +45,20 @@ EXPOSURE_LABELS = {
 }
 MEASURES = ("hospital_los_days", "icu_los_days")
 DEATH = "hospital_expire_flag"
+# Column suffixes of the first two status groups; further ones are numbered.
 STATUS_SUFFIXES = ("without", "with")
 
 
+def status_suffixes(config: CohortConfig) -> dict[str, str]:
+    """Column suffix of every status label."""
+    labels = list(config.status_labels.values())
+    numbered = (f"s{i}" for i in range(len(STATUS_SUFFIXES), len(labels)))
+    return dict(zip(labels, [*STATUS_SUFFIXES[: len(labels)], *numbered], strict=True))
+
+
 def demographics(labeled: DataFrame, config: CohortConfig = DEFAULT) -> DataFrame:
     """Age group, gender, ethnicity and admission type by comorbidity status."""
-    by_levels = dict(zip(config.status_labels.values(), STATUS_SUFFIXES))
+    by_levels = status_suffixes(config)
     levels = {"age_group": config.age_groups, "gender": config.genders}
     return crosstab(labeled, list(VARIABLE_LABELS), "diabetes_status", by_levels, levels)
 
@@ -108,9 +116,7 @@ def _titled(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
 
 def present_demographics(table: DataFrame, config: CohortConfig = DEFAULT) -> DataFrame:
     """``n (p%)`` per status group, rows in printed order, group sizes in the titles."""
-    header = {
-        suffix: f"**{label}**" for label, suffix in zip(config.status_labels.values(), STATUS_SUFFIXES)
-    }
+    header = {suffix: f"**{label}**" for label, suffix in status_suffixes(config).items()}
     order = [
         level_rank("variable", list(VARIABLE_LABELS)).asc_nulls_last(),
         F.col("position").asc_nulls_last(),

@@ -211,3 +211,20 @@ def test_range_checks(spark):
         "min_d": -1.0, "max_d": 2.0, "mean_d": 0.3, "negative_d": 1, "with_d": 1, "without_d": 2,
         "min_age": 5, "max_age": 89, "at_cap_age": 2,
     }
+
+
+def test_nan_is_missing(spark):
+    """NaN counts as missing in profiles, as NULL does."""
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "x double")
+    row = op.numeric_profile(df, "x").first()
+    assert (row["min"], row["median"], row["max"], row["mean"], row["n"], row["n_missing"]) == (1.0, 2.0, 3.0, 2.0, 2, 2)
+    assert op.missing_profile(df).first()["n_missing"] == 2
+
+
+def test_every_status_label_gets_its_columns():
+    from types import SimpleNamespace
+
+    from cohortlens.plans.report import status_suffixes
+
+    config = SimpleNamespace(status_labels={0: "none", 1: "some", 2: "unknown"})
+    assert status_suffixes(config) == {"none": "without", "some": "with", "unknown": "s2"}

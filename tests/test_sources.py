@@ -78,11 +78,16 @@ def test_freeze_and_thaw(spark, rows, tmp_path):
 
 def test_snapshot_folder_is_new_and_shared(spark):
     named = SimpleNamespace(conf={"spark.checkpoint.dir": "/shared/folder/"})
+    alone = {"spark.sql.warehouse.dir": "file:/disk/of/this/machine"}
+    cluster = SimpleNamespace(conf=alone, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        snapshot_folder(cluster)
     first, second = snapshot_folder(named, "a"), snapshot_folder(named, "a")
     assert first != second
     assert first.startswith("/shared/folder/a-")
-    # a session that names no folder gets one of its own
-    assert Path(snapshot_folder(spark)).parent.is_dir()
+    # a local session that names no folder uses its warehouse
+    local = SimpleNamespace(conf=alone, sparkContext=SimpleNamespace(master="local[8]"))
+    assert snapshot_folder(local).startswith(alone["spark.sql.warehouse.dir"])
 
 
 def test_frozen_report_equals_the_lazy_one(spark, tables, tmp_path):
