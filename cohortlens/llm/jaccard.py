@@ -16,6 +16,11 @@ lies near that border do both, so that partners of either kind meet.
 Rows that share a key are not paired with each other all at once: the first set of a
 key is compared with the others, found links are merged, and only keys with several
 components go on, with more leaders each round, until no pair is left to compare.
+Sets with the smallest share of rare tokens lead: a text that many near copies were
+made from has no tokens of its own, so it links them all in the first round.
+
+A key stands for the first common token (or the first two), so no more than the tokens
+from there on can be common. Pairs whose sizes ask for more are never made.
 
 Only pairs that a bitmap of parities leaves possible are verified: every bit in which
 two bitmaps differ needs an element that only one set has. Of those a set is first
@@ -35,6 +40,7 @@ from .components import components
 from .shingles import SHINGLE, set_signature, shingle_sets
 
 SETS = "doc_id long, n int, sig long, bits binary"
+INDEX = "key long, sig long, n int, tail int, rank long"
 #: A token is frequent from this number of sets on, or more where they are too many to mark.
 FREQUENT = 16
 MOST_FREQUENT = 1 << 21
@@ -112,12 +118,14 @@ def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
     return bit_filter(counted.where(F.col("n") >= least), "token")
 
 
-def _keys(tokens: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of one set, given which of its tokens are frequent."""
+def _keys(tokens: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set, given which of its tokens are frequent, and how many tokens
+    a partner can share at most if the key is where the two sets first meet."""
     order = np.concatenate([tokens[~often], tokens[often]])
     n, rare = len(order), int((~often).sum())
     p = _prefix(n, percent)
-    parts = [order[: min(p, rare)]]
+    at = np.arange(min(p, rare))
+    parts, tails = [order[at]], [n - at]
     if rare < p:
         if n <= PAIRED_SIZE:
             extended = order[: min(n, p + 1)]
@@ -125,38 +133,52 @@ def _keys(tokens: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
             keep = (i >= rare) & (i < p)
             i, j = i[keep], j[keep]
             parts.append(mixed(extended[i] * np.uint64(SHINGLE[5]) + extended[j] * np.uint64(SHINGLE[6])))
+            tails.append(n - j + 1)
         if 100 * n > PAIRED_SIZE * percent:
-            parts.append(order[rare:p])
-    return np.concatenate(parts)
+            at = np.arange(rare, p)
+            parts.append(order[at])
+            tails.append(n - at)
+    return np.concatenate(parts), np.concatenate(tails)
+
+
+def _rank(rare: int, n: int, sig: int) -> int:
+    """Order of leaders: the share of rare tokens, then the signature; 63 bits."""
+    return (1000 * rare // n) << 53 | (sig & ((1 << 64) - 1)) >> 11
 
 
 def _index(k: int, percent: int, often, wanted=None):
-    """Rows key, sig, n; with ``wanted``, a bit filter, only keys that pass it."""
+    """Rows of ``INDEX``; with ``wanted``, a bit filter, only keys that pass it."""
 
     def run(batches):
         marks, only = often.value, wanted.value if wanted else None
         for batch in batches:
-            keys, sigs, sizes, held = [], [], [], 0
+            parts, held = [], 0
             for tokens, sig in _distinct_sets(batch, k):
-                own = _keys(tokens, passes(marks, tokens), percent)
+                frequent = passes(marks, tokens)
+                own, tails = _keys(tokens, frequent, percent)
                 if only is not None:
-                    own = own[passes(only, own)]
-                keys.append(own)
-                sigs.append(np.full(len(own), sig, dtype=np.int64))
-                sizes.append(np.full(len(own), len(tokens), dtype=np.int32))
+                    keep = passes(only, own)
+                    own, tails = own[keep], tails[keep]
+                parts.append((own, tails, sig, len(tokens), _rank(int((~frequent).sum()), len(tokens), sig)))
                 held += len(own)
                 if held > 1 << 19:
-                    yield _rows(keys, sigs, sizes)
-                    keys, sigs, sizes, held = [], [], [], 0
+                    yield _rows(parts)
+                    parts, held = [], 0
             if held:
-                yield _rows(keys, sigs, sizes)
+                yield _rows(parts)
 
     return run
 
 
-def _rows(keys, sigs, sizes) -> pa.RecordBatch:
-    columns = [np.concatenate(keys).view(np.int64), np.concatenate(sigs), np.concatenate(sizes)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "sig", "n"])
+def _rows(parts) -> pa.RecordBatch:
+    keys, tails, *of_set = zip(*parts)
+    times = [len(own) for own in keys]
+    sigs, sizes, ranks = (np.repeat(np.array(values, dtype=np.int64), times) for values in of_set)
+    columns = {
+        "key": np.concatenate(keys).view(np.int64), "sig": sigs, "n": sizes.astype(np.int32),
+        "tail": np.concatenate(tails).astype(np.int32), "rank": ranks,
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _key_counts(k: int, percent: int, often):
@@ -221,7 +243,7 @@ def _possible(percent: int):
                 total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
                 most = (total - apart) // 2
                 keep = 100 * most >= percent * (total - most)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+                yield batch.select(["a", "b", "rank"]).filter(pa.array(keep))
 
     return run
 
@@ -248,8 +270,8 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
     often = shared(spark, frequent_tokens(texts, k))
     counts = texts.mapInArrow(_key_counts(k, percent, often), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     met = bit_filter(written(counts.where("n > 1").select("key"), "keys"), "key")
-    index = texts.mapInArrow(_index(k, percent, often, shared(spark, met)), "key long, sig long, n int")
-    held = written(index.groupBy("key", "sig").agg(F.max("n").alias("n")), "postings")
+    index = texts.mapInArrow(_index(k, percent, often, shared(spark, met)), INDEX)
+    held = written(index.groupBy("key", "sig").agg(*[F.max(c).alias(c) for c in ("n", "tail", "rank")]), "postings")
     ids = written(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits")), "ids")
     links, placed, leaders = None, None, 1
 
@@ -260,40 +282,45 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
     while True:
         if placed is not None:
             held = held.join(placed, held["sig"] == placed["node"], "left").select(
-                "key", "sig", "n", F.coalesce("root", "sig").alias("root")
+                "key", "sig", "n", "tail", "rank", F.coalesce("root", "sig").alias("root")
             )
         else:
             held = held.withColumn("root", F.col("sig"))
-        open_keys = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("sig").alias("first"))
+        first = F.min_by("sig", "rank").alias("first")
+        open_keys = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), first)
         open_keys = open_keys.where("low < high").select("key", "first")
         if leaders == 1:  # without a window, so that a hot key is aggregated before it moves
             held = written(held.join(open_keys, "key"), "postings")
-            chosen, rest = held.where("sig = first"), held.where("sig > first")
+            held = held.withColumn("place", F.when(F.col("sig") == F.col("first"), 1).otherwise(2))
         else:
             held = held.join(open_keys, "key", "left_semi")
-            by_sig = Window.partitionBy("key").orderBy("sig")
-            held = written(held.withColumn("place", F.row_number().over(by_sig)), "postings")
-            chosen, rest = held.where(F.col("place") <= leaders), held
+            by_rank = Window.partitionBy("key").orderBy("rank", "sig")
+            held = written(held.withColumn("place", F.row_number().over(by_rank)), "postings")
         if held.isEmpty():
             break
-        one = chosen.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        other = rest.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        pairs = one.join(other, "key").where("a < b and ra <> rb")
-        pairs = pairs.where(f"100L * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
+        one, other = (
+            held.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sig", "n", "tail", "rank", "root", "place")])
+            for side in "ab"
+        )
+        pairs = one.where(F.col("place_a") <= leaders).join(other, "key")
+        pairs = pairs.where("place_a < place_b and root_a <> root_b")
+        pairs = pairs.where(f"100L * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        pairs = pairs.where(f"{100 + percent}L * least(tail_a, tail_b) >= {percent}L * (n_a + n_b)")
+        pairs = pairs.selectExpr("sig_a a", "sig_b b", "n_a na", "n_b nb", "rank_a rank").distinct()
         for side in ("a", "b"):
             pairs = pairs.join(ids.select(F.col("sig").alias(side), F.col("bits").alias(f"x{side}")), side)
-        pairs = written(pairs.mapInArrow(_possible(percent), "a long, b long"), "pairs")
+        pairs = written(pairs.mapInArrow(_possible(percent), "a long, b long, rank long"), "pairs")
         # one partner for each set first; after that only what is still apart
-        tried = pairs.groupBy("b").agg(F.min("a").alias("a"))
+        tried = written(pairs.groupBy("b").agg(F.min_by("a", "rank").alias("a")), "pairs")
         links, placed = merged(_verified(texts, tried, ids, k, percent))
-        left = pairs.join(tried, ["a", "b"], "left_anti")
+        left = pairs.select("a", "b").join(tried, ["a", "b"], "left_anti")
         for side in ("a", "b"):
             place = placed.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
             left = left.join(place, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
         left = written(left.where("ra <> rb").select("a", "b"), "pairs")
         if not left.isEmpty():
             links, placed = merged(_verified(texts, left, ids, k, percent))
-        held = (held.where("sig > first") if leaders == 1 else held.where(F.col("place") > leaders)).select("key", "sig", "n")
+        held = held.where(F.col("place") > leaders).select("key", "sig", "n", "tail", "rank")
         leaders *= 4
     return placed if placed is not None else spark.createDataFrame([], "node long, root long")
 
