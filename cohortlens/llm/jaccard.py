@@ -15,7 +15,8 @@ lies near that border do both, so that partners of either kind meet.
 
 Rows that share a key are not paired with each other all at once: the first set of a
 key is compared with the others, found links are merged, and only keys with several
-components go on, with more leaders each round, until no pair is left to compare.
+components go on, with more leaders each round, until no pair is left to compare. There
+the sets of a key's small components lead, so one large component is not gone through.
 Sets with the smallest share of rare tokens lead: a text that many near copies were
 made from has no tokens of its own, so it links them all in the first round.
 
@@ -294,8 +295,10 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
             held = held.withColumn("place", F.when(F.col("sig") == F.col("first"), 1).otherwise(2))
         else:
             held = held.join(open_keys, "key", "left_semi")
-            by_rank = Window.partitionBy("key").orderBy("rank", "sig")
-            held = written(held.withColumn("place", F.row_number().over(by_rank)), "postings")
+            # what is left to compare lies between components, so the small ones lead
+            held = held.withColumn("of_root", F.count("*").over(Window.partitionBy("key", "root")))
+            small_first = Window.partitionBy("key").orderBy("of_root", "rank", "sig")
+            held = written(held.withColumn("place", F.row_number().over(small_first)).drop("of_root"), "postings")
         if held.isEmpty():
             break
         one, other = (
@@ -306,7 +309,10 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         pairs = pairs.where("place_a < place_b and root_a <> root_b")
         pairs = pairs.where(f"100L * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         pairs = pairs.where(f"{100 + percent}L * least(tail_a, tail_b) >= {percent}L * (n_a + n_b)")
-        pairs = pairs.selectExpr("sig_a a", "sig_b b", "n_a na", "n_b nb", "rank_a rank").distinct()
+        # one orientation of a pair, whichever of the two led
+        ends = [f"struct(rank_{side} AS rank, sig_{side} AS sig, n_{side} AS n)" for side in "ab"]
+        pairs = pairs.selectExpr(f"least({', '.join(ends)}) x", f"greatest({', '.join(ends)}) y")
+        pairs = pairs.selectExpr("x.sig a", "y.sig b", "x.n na", "y.n nb", "x.rank rank").distinct()
         for side in ("a", "b"):
             pairs = pairs.join(ids.select(F.col("sig").alias(side), F.col("bits").alias(f"x{side}")), side)
         pairs = written(pairs.mapInArrow(_possible(percent), "a long, b long, rank long"), "pairs")
