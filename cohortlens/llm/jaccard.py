@@ -21,7 +21,8 @@ Sets with the smallest share of rare tokens lead: a text that many near copies w
 made from has no tokens of its own, so it links them all in the first round.
 
 A key stands for the first common token (or the first two), so no more than the tokens
-from there on can be common. Pairs whose sizes ask for more are never made.
+from there on can be common. Pairs whose sizes ask for more are never made, and a set
+leaves a key in which no set of another component is of a size that fits.
 
 Only pairs that a bitmap of parities leaves possible are verified: every bit in which
 two bitmaps differ needs an element that only one set has. Of those a set is first
@@ -30,6 +31,7 @@ verified against one partner; pairs that are in one component by then need no mo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -262,6 +264,22 @@ def _verified(texts: DataFrame, pairs: DataFrame, ids: DataFrame, k: int, percen
     return written(joined.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
 
 
+def _with_partners(held: DataFrame, percent: int) -> DataFrame:
+    """The postings that a set of another component may meet at their key.
+
+    ``tail`` leaves room for partners up to some size. Sizes of a key are looked at
+    instead of its sets: one row per key and size, so a hot key is aggregated first.
+    """
+    held = held.withColumn("room", F.expr(f"{100 + percent}L * tail div {percent} - n"))
+    sizes = held.groupBy("key", "n").agg(F.max("room").alias("room"), F.min("root").alias("low"), F.max("root").alias("high"))
+    reach = int(math.log(100 / percent) * 1_000_000) + 2  # rounded up: sizes just outside do no harm
+    near = Window.partitionBy("key").orderBy(F.floor(F.ln("n") * 1_000_000)).rangeBetween(-reach, reach)
+    bounds = {"least": F.min("n"), "most_room": F.max("room"), "lowest": F.min("low"), "highest": F.max("high")}
+    sizes = sizes.select("key", "n", *[value.over(near).alias(name) for name, value in bounds.items()])
+    sizes = sizes.where("lowest < highest and most_room >= n").select("key", "n", "least")
+    return held.join(sizes, ["key", "n"]).where("room >= least").select("key", "sig", "n", "tail", "rank", "root")
+
+
 def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Links ``a, b`` between signatures of different sets that span every component.
 
@@ -287,14 +305,13 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
             )
         else:
             held = held.withColumn("root", F.col("sig"))
-        first = F.min_by("sig", "rank").alias("first")
-        open_keys = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), first)
-        open_keys = open_keys.where("low < high").select("key", "first")
+        held = _with_partners(held, percent)
         if leaders == 1:  # without a window, so that a hot key is aggregated before it moves
-            held = written(held.join(open_keys, "key"), "postings")
+            held = written(held, "postings")
+            first = held.groupBy("key").agg(F.min_by("sig", "rank").alias("first"))
+            held = written(held.join(first, "key"), "postings")
             held = held.withColumn("place", F.when(F.col("sig") == F.col("first"), 1).otherwise(2))
         else:
-            held = held.join(open_keys, "key", "left_semi")
             # what is left to compare lies between components, so the small ones lead
             held = held.withColumn("of_root", F.count("*").over(Window.partitionBy("key", "root")))
             small_first = Window.partitionBy("key").orderBy("of_root", "rank", "sig")
@@ -327,7 +344,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         if not left.isEmpty():
             links, placed = merged(_verified(texts, left, ids, k, percent))
         held = held.where(F.col("place") > leaders).select("key", "sig", "n", "tail", "rank")
-        leaders *= 4
+        leaders *= 16
     return placed if placed is not None else spark.createDataFrame([], "node long, root long")
 
 
