@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 8
-#: Share of an item's windows that a document must hold.
-COVERAGE = 0.3
+#: Share of an item's windows that a document must hold, or tokens in a row, whatever the item's length.
+COVERAGE, RUN = 0.3, 13
+#: Items from this many tokens on are looked for inside longer texts; shorter ones are a document or nothing.
+SHORT = 3
 #: Benchmark windows up to this number are broadcast (16 MB or so); more are shuffled.
 BROADCAST_WINDOWS = 200_000
 # Units that follow a number.
@@ -48,35 +50,38 @@ def _token_hashes(tokens: str) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))
 
 
-def _windows(hashes: str) -> Column:
-    """Hashes of all windows; a shorter text is one window of its own length."""
+def _windows(hashes: str, widths: list[int]) -> Column:
+    """Places and hashes of all windows of ``WINDOW`` tokens and of each of ``widths``.
+
+    A text of fewer than ``SHORT`` tokens is one window of its own length.
+    """
     n = F.size(hashes)
-    one = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW)))
-    short = F.xxhash64(F.array_join(F.transform(hashes, lambda h: h.cast("string")), " "))
-    return (
-        F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), one))
-        .when(n > 0, F.array(short))
-        .otherwise(F.array().cast("array<bigint>"))
-    )
+    one = lambda width: lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, width)).alias("hash"))
+    none = F.array().cast("array<struct<at:int,hash:bigint>>")
+    cut = lambda width: F.when(n >= width, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), one(width))).otherwise(none)
+    whole = F.when((n > 0) & (n < SHORT), F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(hashes).alias("hash")))).otherwise(none)
+    return F.concat(whole, *(cut(width) for width in (WINDOW, *widths)))
 
 
-def _exploded(df: DataFrame, row: str, text: str, prefix: str) -> DataFrame:
-    """One row per window: id, place, hash, number of windows, and the text's tokens.
+def _tokens(df: DataFrame, row: str, text: str, prefix: str) -> DataFrame:
+    rows = df.select(F.col(row).cast("long").alias(f"{prefix}_id"), template_tokens(text).alias(f"{prefix}_tokens"))
+    return rows.withColumn("hashes", _token_hashes(f"{prefix}_tokens"))
+
+
+def _exploded(rows: DataFrame, prefix: str, widths: list[int]) -> DataFrame:
+    """One row per window: id, tokens of the text, place and hash.
 
     The outer form of explode keeps Spark from testing the windows for emptiness below,
     which would work them out twice; a text without any gives a null that joins nothing.
     """
-    rows = df.select(F.col(row).cast("long").alias(f"{prefix}_id"), template_tokens(text).alias(f"{prefix}_tokens"))
-    rows = rows.withColumn("hashes", _token_hashes(f"{prefix}_tokens"))
-    rows = rows.withColumn("windows", _windows("hashes"))
-    return rows.select(
-        f"{prefix}_id", f"{prefix}_tokens", F.size("windows").alias(f"{prefix}_windows"),
-        F.posexplode_outer("windows").alias(f"{prefix}_at", "window"),
-    )
+    rows = rows.select(f"{prefix}_id", f"{prefix}_tokens", F.explode_outer(_windows("hashes", widths)).alias("w"))
+    return rows.select(f"{prefix}_id", f"{prefix}_tokens", F.col("w.at").alias(f"{prefix}_at"), F.col("w.hash").alias("window"))
 
 
-def _slots(tokens: str, at: str) -> Column:
-    return F.filter(F.slice(tokens, F.col(at) + 1, WINDOW), _is_slot)
+def _run_starts(at: Column) -> Column:
+    """Places of the sorted ``at`` from which windows in a row make ``RUN`` tokens."""
+    more = RUN - WINDOW
+    return F.filter(at, lambda x, i: F.coalesce(F.get(at, i + more) == x + more, F.lit(False)))
 
 
 def contaminated(
@@ -84,38 +89,54 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id, item_id, windows, item_windows, coverage, exchanged``: documents that hold an item.
 
+    A document holds an item by ``COVERAGE`` of its windows or by ``RUN`` tokens in a row.
     ``windows`` counts the different windows of the item that the document holds at
-    places where the slots are consistent; ``exchanged`` tells that some slot has
-    another value. An item of fewer than ``WINDOW`` words is found only as a whole
-    document of as many words. Null and empty texts hold nothing and are in nothing.
-    Rows that repeat an id count as one document or item; a null id is one more id.
-    Other columns are ignored.
+    places where the slots are consistent, or that are a verbatim run; ``exchanged``
+    tells that some slot has another value. An item of fewer than ``WINDOW`` tokens is
+    one window, found inside longer texts too; one of fewer than ``SHORT`` is found only
+    as a whole document of as many words. Null and empty texts hold nothing and are in
+    nothing. Rows that repeat an id count as one document or item; a null id is one more
+    id. Other columns are ignored.
     """
-    items = _exploded(benchmark, item_id, "text", "item")
-    items = items.where("window is not null")
+    texts = _tokens(benchmark, item_id, "text", "item").withColumn("n", F.size("item_tokens"))
+    short = texts.where(F.col("n").between(SHORT, WINDOW - 1)).select("n").distinct()
+    widths = sorted(r["n"] for r in short.collect())
+    # an item has windows of one width only: its own where it is short
+    texts = texts.withColumn("width", F.least("n", F.lit(WINDOW)))
+    cut = F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - F.col("width"), F.lit(0))), lambda i: F.col("n") > 0)
+    items = texts.select(
+        "item_id", "width", (F.col("n") - F.col("width") + 1).alias("item_windows"), "item_tokens", "hashes", F.explode(cut).alias("item_at")
+    )
+    items = items.select(
+        "item_id", "width", "item_windows", "item_at", F.xxhash64(F.slice("hashes", F.col("item_at") + 1, F.col("width"))).alias("window"),
+        F.slice("item_tokens", F.col("item_at") + 1, F.col("width")).alias("item_part"),
+    )
     # equal windows of rows that repeat an item id would only multiply the matches
-    items = items.select("item_id", "item_windows", "item_at", "window", _slots("item_tokens", "item_at").alias("item_slots"))
     items = items.groupBy("item_id", "window", "item_at").agg(
-        F.max("item_windows").alias("item_windows"), F.max("item_slots").alias("item_slots")
+        F.max("item_windows").alias("item_windows"), F.max("width").alias("width"), F.max("item_part").alias("item_part")
     )
     if items.count() <= BROADCAST_WINDOWS:
         items = F.broadcast(items)
-    found = _exploded(docs, doc_id, text, "doc").join(items, "window")
-    slots = F.arrays_zip(F.col("item_slots").alias("item"), _slots("doc_tokens", "doc_at").alias("doc"))
+    found = _exploded(_tokens(docs, doc_id, text, "doc"), "doc", widths).join(items, "window")
+    part = F.slice("doc_tokens", F.col("doc_at") + 1, F.col("width"))
+    # one or two tokens are no match inside a longer text, whatever their hash says
+    found = found.where((F.col("width") >= SHORT) | (F.size("doc_tokens") == F.col("width")))
+    slots = F.filter(F.arrays_zip(F.col("item_part").alias("item"), part.alias("doc")), lambda x: _is_slot(x["item"]))
     hits = found.select(
         F.col("doc_id"), "item_id", "item_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"),
         slots.alias("slots"),
-    )
+    ).withColumn("same", F.forall("slots", lambda x: x["item"] == x["doc"]))
     # places per alignment of a document and an item, and the values of each slot there
     place = ["doc_id", "item_id", "shift"]
     per_slot = (
-        hits.select(*place, "item_windows", "item_at", F.explode_outer("slots").alias("slot"))
+        hits.select(*place, "item_windows", "item_at", "same", F.explode_outer("slots").alias("slot"))
         .groupBy(*place, F.col("slot.item").alias("value"))
         .agg(
             F.max("item_windows").alias("item_windows"),
             F.min("slot.doc").alias("least"),
             F.max("slot.doc").alias("most"),
             F.collect_set("item_at").alias("at"),
+            F.collect_set(F.when(F.col("same"), F.col("item_at"))).alias("same_at"),
         )
     )
     steady = (
@@ -124,18 +145,26 @@ def contaminated(
             F.max("item_windows").alias("item_windows"),
             F.max(F.coalesce(F.col("least") != F.col("most"), F.lit(False))).alias("contradicts"),
             F.max(F.coalesce(F.col("least") != F.col("value"), F.lit(False))).alias("exchanged"),
-            F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("same_at")))).alias("same_at"),
         )
-        .where(~F.col("contradicts"))
     )
-    per_window = steady.select("doc_id", "item_id", "item_windows", "exchanged", F.explode("at").alias("item_at"))
+    # of an alignment that contradicts itself only verbatim runs are left
+    in_runs = F.array_distinct(F.flatten(F.transform(_run_starts(F.col("same_at")), lambda x: F.sequence(x, x + (RUN - WINDOW)))))
+    steady = steady.select(
+        "doc_id", "item_id", "item_windows", (F.col("exchanged") & ~F.col("contradicts")).alias("exchanged"),
+        F.when(F.col("contradicts"), in_runs).otherwise(F.col("at")).alias("at"),
+    )
+    steady = steady.withColumn("run", F.size(_run_starts(F.col("at"))) > 0)
+    per_window = steady.select("doc_id", "item_id", "item_windows", "exchanged", "run", F.explode("at").alias("item_at"))
     per_window = per_window.groupBy("doc_id", "item_id", "item_at").agg(
-        F.max("item_windows").alias("item_windows"), F.min("exchanged").alias("exchanged")
+        F.max("item_windows").alias("item_windows"), F.min("exchanged").alias("exchanged"), F.max("run").alias("run")
     )
     out = per_window.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("windows"), F.max("item_windows").cast("long").alias("item_windows"), F.max("exchanged").alias("exchanged")
-    )
+        F.count("*").alias("windows"), F.max("item_windows").cast("long").alias("item_windows"), F.max("exchanged").alias("exchanged"),
+        F.max("run").alias("run"),
+    )
     coverage = F.col("windows") / F.col("item_windows")
-    return out.where(coverage >= COVERAGE).select(
+    return out.where((coverage >= COVERAGE) | F.col("run")).select(
         "doc_id", "item_id", "windows", "item_windows", coverage.alias("coverage"), "exchanged"
     )

@@ -318,6 +318,23 @@ def test_decontamination(spark):
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
 
 
+def test_decontamination_of_excerpts_and_short_items(spark):
+    words = [f"w{i}x".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(500)]
+    puzzle = "what number of apples are left if 60 of them and 60 more are eaten by the man who sells all the pears and plums of this town on one day"
+    bench = spark.createDataFrame(
+        [(1, " ".join(words[:59])), (2, " ".join(words)), (3, "Who wrote the novel Moby Dick?"), (4, "name the largest planet"), (5, puzzle), (6, "lonely")],
+        "item_id long, text string",
+    )
+    rows = [
+        (1, prose(1, 30) + " " + " ".join(words[20:40]) + " " + prose(2, 30), "en"), (2, "so " + " ".join(words[300:400]) + " too", "en"),
+        (3, "So who wrote the novel Moby Dick? He did.", "en"), (4, "please name the largest planet of all", "en"),
+        (5, " ".join(words[20:32]) + " " + prose(3, 5), "en"), (6, "name the largest", "en"), (7, "a lonely man", "en"), (8, "lonely", "en"),
+        (9, puzzle.replace("60", "7", 1).replace("plums", "figs"), "en"), (10, puzzle.replace("60", "7", 1).split(" who")[0], "en"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["exchanged"] for r in templates.contaminated(documents(spark, rows), bench).collect()}
+    assert got == {(1, 1): False, (1, 2): False, (2, 2): False, (3, 3): False, (4, 4): False, (8, 6): False, (9, 5): False}
+
+
 def test_raking_meets_its_targets(spark):
     cells = [(s, lang, t, 100 + 37 * i) for i, (s, lang, t) in enumerate((s, lang, t) for s in "ab" for lang in ("x", "y") for t in "pq")]
     frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
