@@ -2,14 +2,18 @@
 
 Numbers, names and units become typed placeholders, so a question whose values were
 exchanged keeps its template. Windows of template tokens are hash-joined with those of
-the benchmark. Slots of a match must be consistent: where an item repeats a value, the
-document must repeat the value that it has in its place.
+the benchmark, and so are windows with names as lower-case words, for copies in another
+case. Slots of a match must be consistent: where an item repeats a value, the document
+must repeat the value that it has in its place. Every capitalised word has a slot, but
+one that is no name in its item has to be the same in the document.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import written
+
 WINDOW = 8
 #: Share of an item's windows that a document must hold, or tokens in a row, whatever the item's length.
 COVERAGE, RUN = 0.3, 13
@@ -25,19 +29,23 @@ UNITS = (
 ).split()
 SLOT = "\u0001"
 INSIDE = "\u0002"
+#: Names are slots in the first kind of hashes and words in the second.
+KINDS = ("typed", "plain")
+INSIDE_SENTENCE = r"(?<=[\p{Ll},;] )"
 
 
 def template_tokens(text: str) -> Column:
-    """Lower-case words; a slot is a mark, its type (n, p or u) and its value.
+    """Lower-case words; a slot is a mark, its type (n, p, q or u) and its value.
 
-    Numbers may have separators inside; a name is a capitalised word behind a lower-case
-    one or a comma; a unit follows a number.
+    Numbers may have separators inside; p is a capitalised word inside a sentence (behind
+    a lower-case one or a comma), q one elsewhere; a unit follows a number.
     """
     s = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SLOT}{INSIDE}]", " ")
     s = F.regexp_replace(s, r"(?<=\p{Nd})[.,:/](?=\p{Nd})", INSIDE)
-    s = F.regexp_replace(s, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", f"{SLOT}p$1")
     s = F.regexp_replace(s, rf"(?<![\p{{L}}\p{{Nd}}{INSIDE}])(\p{{Nd}}[\p{{Nd}}{INSIDE}]*)", f" {SLOT}n$1 ")
-    s = F.regexp_replace(s, rf"({SLOT}n\S+\s+)({'|'.join(UNITS)})(?![\p{{L}}\p{{Nd}}])", f"$1{SLOT}u$2")
+    s = F.regexp_replace(s, rf"({SLOT}n\S+\s+)((?i:{'|'.join(UNITS)}))(?![\p{{L}}\p{{Nd}}])", f"$1{SLOT}u$2")
+    s = F.regexp_replace(s, rf"{INSIDE_SENTENCE}(\p{{Lu}}\p{{Ll}}+)", f"{SLOT}p$1")
+    s = F.regexp_replace(s, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}\p{{Nd}}{SLOT}])", f"{SLOT}q")
     s = F.trim(F.regexp_replace(F.lower(s), rf"[^\p{{L}}\p{{M}}\p{{Nd}}{SLOT}{INSIDE}]+", " "))
     return F.array_remove(F.split(s, " "), "")
 
@@ -46,36 +54,67 @@ def _is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1) == SLOT
 
 
-def _token_hashes(tokens: str) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))
+def _is_name(token: Column) -> Column:
+    return F.substring(token, 1, 2).isin(f"{SLOT}p", f"{SLOT}q")
 
 
-def _windows(hashes: str, widths: list[int]) -> Column:
-    """Places and hashes of all windows of ``WINDOW`` tokens and of each of ``widths``.
+def _word(token: Column) -> Column:
+    return F.when(_is_slot(token), F.substr(token, F.lit(3))).otherwise(token)
 
-    A text of fewer than ``SHORT`` tokens is one window of its own length.
-    """
-    n = F.size(hashes)
-    one = lambda width: lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, width)).alias("hash"))
-    none = F.array().cast("array<struct<at:int,hash:bigint>>")
-    cut = lambda width: F.when(n >= width, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), one(width))).otherwise(none)
-    whole = F.when((n > 0) & (n < SHORT), F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(hashes).alias("hash")))).otherwise(none)
-    return F.concat(whole, *(cut(width) for width in (WINDOW, *widths)))
+
+def _hashes(tokens: str, names: bool) -> Column:
+    """Hashes of the tokens, slots by type only; names as slots or as lower-case words."""
+    name = F.lit(f"{SLOT}p") if names else None
+    slot = lambda t: F.when(_is_name(t), F.substr(t, F.lit(3)) if name is None else name).otherwise(F.substring(t, 1, 2))
+    return F.transform(tokens, lambda t: F.xxhash64(F.when(_is_slot(t), slot(t)).otherwise(t)))
 
 
 def _tokens(df: DataFrame, row: str, text: str, prefix: str) -> DataFrame:
-    rows = df.select(F.col(row).cast("long").alias(f"{prefix}_id"), template_tokens(text).alias(f"{prefix}_tokens"))
-    return rows.withColumn("hashes", _token_hashes(f"{prefix}_tokens"))
+    """Id, tokens and, for both kinds, hashes of the tokens and of ``WINDOW`` from each on.
+
+    Hashes of two, four and eight tokens are made of each other; the last ones, which
+    lack tokens, are not read.
+    """
+    tokens = f"{prefix}_tokens"
+    rows = df.select(F.col(row).cast("long").alias(f"{prefix}_id"), template_tokens(text).alias(tokens))
+    rows = rows.select("*", _hashes(tokens, True).alias("typed1"), _hashes(tokens, False).alias("plain1"))
+    half = 1
+    while half < WINDOW:
+        wider = lambda c: F.transform(c, lambda x, i: F.xxhash64(x, F.get(c, i + half)))  # noqa: B023, E731
+        made = [wider(f"{k}{half}").alias(f"{k}{2 * half}") for k in KINDS]
+        rows = rows.select(f"{prefix}_id", tokens, *(f"{k}1" for k in KINDS), *made)
+        half *= 2
+    return rows
+
+
+def _windows(kind: str, width: int) -> Column:
+    """Hashes of all windows of ``width`` tokens, in order; 0 stands for a whole text of under ``SHORT``."""
+    one, n = f"{kind}1", F.size(f"{kind}1")
+    none = F.array().cast("array<bigint>")
+    if width == 0:
+        return F.when((n > 0) & (n < SHORT), F.array(F.xxhash64(one))).otherwise(none)
+    if width == WINDOW:
+        return F.slice(f"{kind}{WINDOW}", F.lit(1), F.greatest(n - WINDOW + 1, F.lit(0)))
+    at = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)))
+    return F.when(n >= width, F.transform(at, lambda i: F.xxhash64(*(F.get(one, i + k) for k in range(width))))).otherwise(none)
 
 
 def _exploded(rows: DataFrame, prefix: str, widths: list[int]) -> DataFrame:
-    """One row per window: id, tokens of the text, place and hash.
+    """One row per window and kind: id, tokens of the text, place, hash and width.
 
     The outer form of explode keeps Spark from testing the windows for emptiness below,
     which would work them out twice; a text without any gives a null that joins nothing.
     """
-    rows = rows.select(f"{prefix}_id", f"{prefix}_tokens", F.explode_outer(_windows("hashes", widths)).alias("w"))
-    return rows.select(f"{prefix}_id", f"{prefix}_tokens", F.col("w.at").alias(f"{prefix}_at"), F.col("w.hash").alias("window"))
+    parts = [(k, w) for w in (WINDOW, 0, *widths) for k in KINDS]
+    tokens, n = f"{prefix}_tokens", F.size(f"{prefix}_tokens")
+    rows = rows.select(f"{prefix}_id", tokens, F.posexplode_outer(F.concat(*(_windows(*p) for p in parts))).alias("pos", "window"))
+    begin, at, width = F.lit(0), F.lit(None), F.lit(None)
+    for _, w in parts:
+        size = F.greatest(n - w + 1, F.lit(0)) if w else ((n > 0) & (n < SHORT)).cast("int")
+        at = F.when(F.col("pos") >= begin, F.col("pos") - begin).otherwise(at)
+        width = F.when(F.col("pos") >= begin, F.lit(w) if w else n).otherwise(width)
+        begin = begin + size
+    return rows.select(f"{prefix}_id", tokens, at.alias(f"{prefix}_at"), "window", width.alias(f"{prefix}_width"))
 
 
 def _run_starts(at: Column) -> Column:
@@ -84,6 +123,42 @@ def _run_starts(at: Column) -> Column:
     return F.filter(at, lambda x, i: F.coalesce(F.get(at, i + more) == x + more, F.lit(False)))
 
 
+def _marked(tokens: str) -> Column:
+    """A word with the mark p inside a sentence has it everywhere in its text."""
+    inside = F.transform(F.filter(tokens, lambda t: F.substring(t, 1, 2) == f"{SLOT}p"), _word)
+    known = lambda t: F.array_contains(inside, F.substr(t, F.lit(3)))
+    return F.transform(
+        tokens, lambda t: F.when((F.substring(t, 1, 2) == f"{SLOT}q") & known(t), F.concat(F.lit(f"{SLOT}p"), F.substr(t, F.lit(3)))).otherwise(t)
+    )
+
+
+def _names_only(hits: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``hits`` without those that exchange a common word of the documents.
+
+    ``doubt`` has the item's words that are capitalised only where a sentence may begin and
+    that the document has another word for. One that more documents write in lower case
+    than capitalised inside a sentence is no name. Documents are read for this only if
+    there is any such word.
+    """
+    words = written(hits.select(F.explode("doubt").alias("word")).distinct(), "words")
+    if words.isEmpty():
+        return hits
+    body = F.coalesce(F.col(text), F.lit(""))
+    lower = F.array_distinct(F.split(body, r"[^\p{L}\p{M}]+"))
+    inner = F.array_distinct(F.regexp_extract_all(body, F.lit(rf"{INSIDE_SENTENCE}\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*"), F.lit(0)))
+    seen = docs.select(F.explode(lower).alias("word"), F.lit(1).alias("sign")).union(
+        docs.select(F.explode(inner).alias("word")).select(F.lower("word"), F.lit(-1))
+    )
+    seen = seen.join(F.broadcast(words), "word") if words.count() <= BROADCAST_WINDOWS else seen.join(words, "word")
+    common = written(seen.groupBy("word").agg(F.sum("sign").alias("more")).where("more > 0").select("word"), "words")
+    key = ["doc_id", "item_id", "shift", "item_at"]
+    wrong = hits.select(*key, F.explode("doubt").alias("word")).join(common, "word", "left_semi").select(*key, F.lit(True).alias("doubted"))
+    same_key = [F.col(f"h.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key]
+    # a hit without doubts at the same place stays: it is the window with names as words
+    doubtful = hits.where(F.size("doubt") > 0).alias("h").join(wrong.distinct().alias("w"), same_key, "left_anti")
+    return hits.where(F.size("doubt") == 0).union(doubtful)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id"
 ) -> DataFrame:
@@ -101,15 +176,13 @@ def contaminated(
     texts = _tokens(benchmark, item_id, "text", "item").withColumn("n", F.size("item_tokens"))
     short = texts.where(F.col("n").between(SHORT, WINDOW - 1)).select("n").distinct()
     widths = sorted(r["n"] for r in short.collect())
+    items = _exploded(texts.drop("n"), "item", widths).where("window is not null")
     # an item has windows of one width only: its own where it is short
-    texts = texts.withColumn("width", F.least("n", F.lit(WINDOW)))
-    cut = F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - F.col("width"), F.lit(0))), lambda i: F.col("n") > 0)
-    items = texts.select(
-        "item_id", "width", (F.col("n") - F.col("width") + 1).alias("item_windows"), "item_tokens", "hashes", F.explode(cut).alias("item_at")
-    )
+    n = F.size("item_tokens")
+    items = items.where(F.col("item_width") == F.least(n, F.lit(WINDOW))).withColumn("item_tokens", _marked("item_tokens"))
     items = items.select(
-        "item_id", "width", "item_windows", "item_at", F.xxhash64(F.slice("hashes", F.col("item_at") + 1, F.col("width"))).alias("window"),
-        F.slice("item_tokens", F.col("item_at") + 1, F.col("width")).alias("item_part"),
+        "item_id", F.col("item_width").alias("width"), (n - F.col("item_width") + 1).alias("item_windows"), "item_at", "window",
+        F.slice("item_tokens", F.col("item_at") + 1, F.col("item_width")).alias("item_part"),
     )
     # equal windows of rows that repeat an item id would only multiply the matches
     items = items.groupBy("item_id", "window", "item_at").agg(
@@ -119,18 +192,20 @@ def contaminated(
         items = F.broadcast(items)
     found = _exploded(_tokens(docs, doc_id, text, "doc"), "doc", widths).join(items, "window")
     part = F.slice("doc_tokens", F.col("doc_at") + 1, F.col("width"))
-    # one or two tokens are no match inside a longer text, whatever their hash says
-    found = found.where((F.col("width") >= SHORT) | (F.size("doc_tokens") == F.col("width")))
-    slots = F.filter(F.arrays_zip(F.col("item_part").alias("item"), part.alias("doc")), lambda x: _is_slot(x["item"]))
+    pairs = F.filter(F.arrays_zip(F.col("item_part").alias("item"), part.alias("doc")), lambda x: _is_slot(x["item"]))
+    slots = F.transform(pairs, lambda x: F.struct(x["item"].alias("item"), _word(x["doc"]).alias("doc"), _word(x["item"]).alias("own")))
+    other = F.filter("slots", lambda x: x["own"] != x["doc"])
+    doubt = F.transform(F.filter(other, lambda x: F.substring(x["item"], 1, 2) == f"{SLOT}q"), lambda x: x["own"])
     hits = found.select(
         F.col("doc_id"), "item_id", "item_windows", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"),
         slots.alias("slots"),
-    ).withColumn("same", F.forall("slots", lambda x: x["item"] == x["doc"]))
+    ).withColumns({"same": F.size(other) == 0, "doubt": F.array_distinct(doubt)})
+    hits = _names_only(written(hits, "hits"), docs, text)
     # places per alignment of a document and an item, and the values of each slot there
     place = ["doc_id", "item_id", "shift"]
     per_slot = (
         hits.select(*place, "item_windows", "item_at", "same", F.explode_outer("slots").alias("slot"))
-        .groupBy(*place, F.col("slot.item").alias("value"))
+        .groupBy(*place, F.col("slot.item").alias("item"), F.col("slot.own").alias("value"))
         .agg(
             F.max("item_windows").alias("item_windows"),
             F.min("slot.doc").alias("least"),

@@ -335,6 +335,26 @@ def test_decontamination_of_excerpts_and_short_items(spark):
     assert got == {(1, 1): False, (1, 2): False, (2, 2): False, (3, 3): False, (4, 4): False, (8, 6): False, (9, 5): False}
 
 
+def test_decontamination_in_another_case_and_names_at_starts(spark):
+    apples = "Anna has 12 apples. Anna gives 5 apples to Ben. How many apples does Anna have?"
+    chess = "Carla plays chess.\n\"Dora wins 3 games (Carla loses 2), Emil wins 4 games and Carla leaves the club,\" says Dora."
+    what = "What is the longest river in northern europe"
+    bench = spark.createDataFrame([(1, apples, 0), (2, chess, 0), (3, what, 0), (4, "Who wrote the famous long book?", 0)], "item_id long, text string, n int")
+    rows = [
+        (1, apples.lower(), "en"), (2, apples.upper(), "en"), (3, apples.replace("Anna", "Maria").replace("Ben", "Tom"), "en"),
+        (4, chess.replace("Carla", "Rosa").replace("Dora", "Lena").replace("Emil", "Omar"), "en"), (5, "question " + what, "en"),
+        (6, apples.replace("Anna", "Maria", 1), "en"), (7, chess.replace("Carla", "Rosa", 1).replace("Dora", "Lena", 1), "en"),
+        (8, "Tolstoy wrote the famous long book?", "en"), (9, "tell me who wrote the famous long book", "en"), (10, "and who was it", "en"),
+        (None, what.lower(), "en"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["exchanged"] for r in templates.contaminated(documents(spark, rows), bench).collect()}
+    assert {k: v for k, v in got.items() if k[0] not in (6, 7)} == {
+        (1, 1): False, (2, 1): False, (3, 1): True, (4, 2): True, (5, 3): False, (9, 4): False, (None, 3): False,
+    }
+    plan = templates.contaminated(documents(spark, rows), bench)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
 def test_raking_meets_its_targets(spark):
     cells = [(s, lang, t, 100 + 37 * i) for i, (s, lang, t) in enumerate((s, lang, t) for s in "ab" for lang in ("x", "y") for t in "pq")]
     frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
