@@ -24,6 +24,7 @@ from .common import held_out, shared
 #: Bounds of the sample that is learned from: documents and letters per language,
 #: letters per document, letters in all, languages (the most frequent ones).
 SAMPLE_DOCS, SAMPLE_LETTERS, DOC_LETTERS, ALL_LETTERS, LANGUAGES = 400, 50_000, 400, 2_000_000, 256
+#: Columns of a language's dense table: its most frequent letters and one for all others, whose transitions are kept as a sorted list.
 ALPHABET = 96
 BLOCK = 512
 CHUNK = 1 << 20
@@ -74,8 +75,14 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+def _found(keys: np.ndarray, targets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The targets of the sorted keys that are wanted, 0 for those that are not there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, targets[at], 0)
+
+
 class Parser:
-    """Automata of all languages in one table; built in each worker from the samples."""
+    """Automata of all languages, each with codes of its own letters; built in each worker from the samples."""
 
     def __init__(self, samples: dict[str, list[np.ndarray]]) -> None:
         self.names = sorted(samples)
@@ -84,26 +91,31 @@ class Parser:
             for part in parts:
                 points, n = np.unique(part, return_counts=True)
                 counts.update(dict(zip(points.tolist(), n.tolist())))
-        common = sorted(sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 1])
-        self.width = len(common) + 1
-        self.code = np.full(0x110000, self.width - 1, dtype=np.uint8)
-        self.code[common] = np.arange(len(common))
-        tables, self.offset, self.bits, start = [], [], [], 0
+        # a code for every letter of any sample; the last one is for letters of none
+        self.code = np.full(0x110000, len(counts), dtype=np.int32)
+        self.code[sorted(counts)] = np.arange(len(counts))
+        self.tables, self.bits = [], []
         for name in self.names:
+            own = Counter(np.concatenate([self.code[part] for part in samples[name]]).tolist())
+            letters = sorted(own, key=lambda c: (-own[c], c))
+            local = np.full(len(counts) + 1, len(letters), dtype=np.int32)
+            local[letters] = np.arange(len(letters))
             symbols: list[int] = []
             for part in samples[name]:
-                symbols += self.code[part].tolist() + [-1]
+                symbols += local[self.code[part]].tolist() + [-1]
             nexts = suffix_automaton(symbols)
-            table = np.zeros((len(nexts), self.width), dtype=np.int32)
+            width = min(len(letters), ALPHABET - 1) + 1
+            table, rare = np.zeros((len(nexts), width), dtype=np.int32), {}
             for state, to in enumerate(nexts):
                 for symbol, target in to.items():
-                    if 0 <= symbol < self.width - 1:
+                    if 0 <= symbol < width - 1:
                         table[state, symbol] = target
-            tables.append(table.ravel())
-            self.offset.append(start)
+                    elif symbol >= 0:
+                        rare[state * len(letters) + symbol] = target
+            keys = np.array(sorted(rare), dtype=np.int64)
+            targets = np.array([rare[key] for key in keys.tolist()], dtype=np.int32)
+            self.tables.append((local, width, len(letters), table.ravel(), keys, targets))
             self.bits.append(math.log2(max(2, len(symbols))))
-            start += table.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, blocks: list[np.ndarray]) -> np.ndarray:
         """Phrases of each block of codes (rows) for each language (columns)."""
@@ -114,16 +126,20 @@ class Parser:
             steps[: sizes[i], column] = blocks[i]
         active = np.searchsorted(-sizes[order], -np.arange(len(steps)), side="left")
         out = np.zeros((len(blocks), len(self.names)), dtype=np.int64)
-        for k, offset in enumerate(self.offset):
-            table = self.table[offset : offset + (self.offset[k + 1] if k + 1 < len(self.offset) else len(self.table)) - offset]
+        for k, (local, width, letters, table, keys, targets) in enumerate(self.tables):
             state = np.zeros(len(blocks), dtype=np.int64)
             count = np.zeros(len(blocks), dtype=np.int64)
             for row, n in zip(steps, active):
-                code, now = row[:n], state[:n]
-                to = table[now * self.width + code]
+                code, now = local[row[:n]], state[:n]
+                column = np.minimum(code, width - 1)
+                to, first = table[now * width + column], table[column]
+                if len(keys):
+                    rare = np.flatnonzero((code >= width - 1) & (code < letters))
+                    to[rare] = _found(keys, targets, now[rare] * letters + code[rare])
+                    first[rare] = _found(keys, targets, code[rare])
                 fresh = to == 0
                 count[:n] += fresh | (now == 0)
-                state[:n] = np.where(fresh, table[code], to)
+                state[:n] = np.where(fresh, first, to)
             out[order, k] = count
         return out
 

@@ -182,6 +182,27 @@ def test_cross_parse_equals_greedy_longest_match():
     assert parser.phrases([parser.code[langid.letters_of(text)]])[0, 0] == phrases
 
 
+def test_cross_parse_of_many_letters():
+    draw = np.random.default_rng(8)
+    han = lambda n: "".join(chr(0x4E00 + int(i)) for i in (600 * draw.random(n) ** 2))
+    samples = {"en": "the cat sat on the mat and the rat " * 40, "ko": "".join(chr(0xAC00 + int(i)) for i in draw.integers(300, size=900)), "zh": han(4000)}
+    parser = langid.Parser({k: [langid.letters_of(v)] for k, v in samples.items()})
+    texts = [samples["zh"][700:900], samples["ko"][100:300], han(300), "that cat \u0416 " + samples["ko"][5:40], samples["zh"][9:20] + "mat"]
+    got = parser.phrases([parser.code[langid.letters_of(t)] for t in texts])
+    for text, row in zip(texts, got.tolist()):
+        body = "".join(map(chr, langid.letters_of(text)))
+        for name, phrases in zip(parser.names, row):
+            sample, at, n = "".join(map(chr, langid.letters_of(samples[name]))), 0, 0
+            while at < len(body):
+                size = 1
+                while at + size < len(body) and body[at : at + size + 1] in sample:
+                    size += 1
+                at, n = at + size, n + 1
+            assert phrases == n
+    assert [name for name, _ in parser.predict(texts[:2])] == ["zh", "ko"]
+    assert [row[k] for k, row in zip((2, 1), got[:2].tolist())] == [1, 1]
+
+
 def brute_licence(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     places = [(i, label) for phrase, label in licences.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
