@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import snapshot_folder
-from . import chat, jaccard, langid, licences, mixing, shards, templates, topk, toxicity, warc
+from . import audit, chat, jaccard, langid, licences, mixing, quality, shards, templates, topk, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,11 +65,25 @@ def op10_jaccard(spark, folder):
     return jaccard.near_duplicate_components(_table(spark, folder, "documents"))
 
 
+def op11_whitening(spark, folder):
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_filter_audit(spark, folder):
+    return audit.audit_filters(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_quality(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return quality.score_quality(docs, quality.learn_quality(docs, _table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_toxicity, op3_mix, op4_warc, op5_chat,
         op6_shard, op7_topk, op8_language, op9_licences, op10_jaccard,
+        op11_whitening, op12_filter_audit, op13_quality,
     )
 }
 
@@ -133,4 +147,46 @@ ORACLES = {
         r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
         SELECT n.doc_id, n.n AS n_shingles, min(r.seen) AS component_id
         FROM n JOIN r USING (doc_id) GROUP BY 1, 2""",
+    "op12_filter_audit": r"""
+        WITH w AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                 min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+          FROM documents),
+        m AS (
+          SELECT doc_id, part, [
+                   len(ws) < 200,
+                   100 * len(list_distinct(ws)) < 50 * len(ws),
+                   100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+                   regexp_matches(t, '[#$%&*|]'),
+                   coalesce(doc_id > least, false)] AS f
+          FROM w),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+        c AS (
+          SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+          FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+        i AS (SELECT unnest(range(1, 6)) AS i),
+        o AS (
+          SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+          FROM i a, i b, i c, i d, i e
+          WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s AS (SELECT o, i AS step, o[i] AS v, o[1:i - 1] AS earlier FROM o, i),
+        x AS (
+          SELECT part, o, step, v, n, good, toxic, f[v] AS fails,
+                 len(list_filter(earlier, lambda j: f[j])) > 0 AS gone,
+                 len(list_filter(f, lambda b: b)) = 1 AS alone
+          FROM c, s),
+        g AS (
+          SELECT part, o, step, v,
+                 coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (fails AND alone), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+          FROM x GROUP BY 1, 2, 3, 4)
+        SELECT part, array_to_string(list_transform(o, lambda j: substr('ABCDE', j, 1)), '') AS filter_order,
+               step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               sum(removed) OVER (PARTITION BY part, v)::BIGINT AS shapley
+        FROM g""",
 }
