@@ -10,7 +10,7 @@ import argparse
 
 from . import plans
 from .session import build_session
-from .sources import load_tables, standin_tables
+from .sources import clear_run, load_tables, standin_tables
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -26,15 +26,13 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session("cohort-report", args.master)
     read = standin_tables if args.stand_in else load_tables
     frozen = plans.freeze_report(spark, read(spark, args.tables), args.out, k=args.top)
-    shown = {
-        "Demographics, cases": plans.present_demographics(frozen["demographics_cases"]),
-        "Demographics, others": plans.present_demographics(frozen["demographics_controls"]),
-        "Outcomes of cases": plans.present_outcomes(frozen["outcomes"]),
-        "Most prescribed": plans.present_exposures(frozen["exposures"]),
-    }
-    for title, table in shown.items():
-        print(title)
+    for table in plans.present_report(frozen).values():
+        titles = plans.titles_of(table)
+        print(titles.title)
         table.show(max(1, table.count()), truncate=False)
+        if titles.note:
+            print(titles.note)
+    clear_run(spark)
 
 
 if __name__ == "__main__":

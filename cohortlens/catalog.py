@@ -85,6 +85,13 @@ def _frozen_outcomes(s: Study) -> DataFrame:
     return thaw(s.spark, freeze(rounded(plans.outcomes(s.cases)), path))
 
 
+def _view_checks(s: Study) -> DataFrame:
+    """Checks by SQL over the views, under names of their own."""
+    names = {f"{view}_view": f"study_{view}" for view in ("cohort", "exposures", "case")}
+    plans.create_views(s.tables, **names)
+    return plans.view_checks(s.spark, **names)
+
+
 QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     # building blocks
     "code_flags": lambda s: op.flag_by_codes(s.tables.diagnoses_icd, "hadm_id", DEFAULT.rules),
@@ -94,7 +101,6 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "cohort": lambda s: s.cohort,
     "cohort_labeled": lambda s: s.labeled,
     "exposures": lambda s: s.exposures,
-    "exposures_exists": lambda s: plans.build_exposures(s.tables, s.cohort, method="exists"),
     # distributions
     "cohort_size": lambda s: s.cohort.agg(F.count("*").alias("total_admissions")),
     "case_split": _case_split,
@@ -126,6 +132,12 @@ QUERIES: dict[str, Callable[[Study], DataFrame]] = {
     "outcomes_by_age": _outcomes_by_age,
     "frozen_outcomes": _frozen_outcomes,
     "top_exposures_report": lambda s: plans.top_exposures_report(s.exposures, 5),
+    # report tables as they are printed
+    "present_demographics_cases": lambda s: plans.present_demographics(plans.demographics(s.cases)),
+    "present_demographics_controls": lambda s: plans.present_demographics(plans.demographics(s.controls)),
+    "present_outcomes": lambda s: plans.present_outcomes(plans.outcomes(s.cases)),
+    "present_exposures": lambda s: plans.present_exposures(plans.top_exposures_report(s.exposures, 5)),
+    "view_checks": _view_checks,
     # exposures
     "top_exposures": lambda s: op.top_exposures(s.exposures, 10),
     "dominant_unit": lambda s: op.dominant_value(s.exposures, "drug", "dose_unit_rx"),

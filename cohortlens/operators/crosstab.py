@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 
 def crosstab(
@@ -31,8 +30,9 @@ def crosstab(
     )
     texts = [F.col(v).cast("string").alias(v) for v in variables]
     long = combinations.select(by, "n", *texts).unpivot([by, "n"], list(variables), "variable", "level")
-    declared = _declared_levels(df, levels or {}, by)
-    rows = long.withColumn("position", F.lit(None).cast("int")).unionByName(declared)
+    rows = long.withColumn("position", F.lit(None).cast("int"))
+    if any((levels or {}).values()):
+        rows = rows.unionByName(_declared_levels(df, levels, by))
 
     counted = [
         F.coalesce(F.sum(F.when(F.col(by) == value, F.col("n"))), F.lit(0)).alias(f"n_{suffix}")
@@ -58,19 +58,16 @@ def crosstab(
 
 
 def _declared_levels(df: DataFrame, levels: Mapping[str, Sequence[str]], by: str) -> DataFrame:
-    """A zero count for each declared level (a handful of literal rows)."""
-    schema = StructType(
-        [
-            StructField(by, StringType()),
-            StructField("n", LongType()),
-            StructField("variable", StringType()),
-            StructField("level", StringType()),
-            StructField("position", IntegerType()),
-        ]
-    )
+    """A zero count for each declared level: literals within the plan, ``by`` typed as in ``df``."""
     zeros = [
-        (None, 0, variable, level, position)
+        F.struct(
+            F.lit(None).cast(df.schema[by].dataType).alias(by),
+            F.lit(0).cast("long").alias("n"),
+            F.lit(variable).alias("variable"),
+            F.lit(level).cast("string").alias("level"),
+            F.lit(position).alias("position"),
+        )
         for variable, names in levels.items()
         for position, level in enumerate(names, start=1)
     ]
-    return df.sparkSession.createDataFrame(zeros, schema)
+    return df.sparkSession.range(1).select(F.inline(F.array(*zeros)))

@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import number_from_text
+from ..sources.snapshot import scratch
 from .profile import percent
-from .quantiles import quantiles
+from .quantiles import written_quantiles
 
 NAME, ENTITY, DOSE, UNIT, INSIDE = "drug", "hadm_id", "dose_val_rx", "dose_unit_rx", "in_icu"
 
 
-def _distinct(col: str, count_null: bool = False, approx: bool = False) -> Column:
-    n = F.approx_count_distinct(col) if approx else F.count_distinct(col)
-    return n + F.max(F.col(col).isNull().cast("int")) if count_null else n
-
-
-def exposure_overview(df: DataFrame, count_null: bool = False, approx: bool = False) -> DataFrame:
+def exposure_overview(df: DataFrame, count_null: bool = False) -> DataFrame:
     """One row: exposures, entities and distinct names.
 
-    ``count_null`` counts a missing key as one more value.
+    ``count_null`` counts a missing key as one more value. Rows are counted per (entity,
+    name) first, so the two distinct counts see each pair once.
     """
-    return df.agg(
-        F.count("*").alias("total_prescriptions"),
-        _distinct(ENTITY, count_null, approx).alias("n_admissions"),
-        _distinct(NAME, count_null, approx).alias("n_unique_drugs"),
+    pairs = df.groupBy(ENTITY, NAME).agg(F.count("*").alias("_n"))
+    sides = pairs.groupingSets([[F.col(ENTITY)], [F.col(NAME)]], ENTITY, NAME).agg(
+        F.grouping(NAME).alias("_of_entity"), F.sum("_n").alias("_n")
+    )
+    of_entity = F.col("_of_entity") == 1
+    counts = lambda side, col: F.count_if(side if count_null else side & F.col(col).isNotNull())
+    return sides.agg(
+        F.coalesce(F.sum(F.when(of_entity, F.col("_n"))), F.lit(0)).alias("total_prescriptions"),
+        counts(of_entity, ENTITY).alias("n_admissions"),
+        counts(~of_entity, NAME).alias("n_unique_drugs"),
     )
 
 
@@ -33,15 +36,14 @@ def _by_count(name: str = NAME, n: str = "n_prescriptions") -> list[Column]:
     return [F.desc(n), F.col(name).asc_nulls_last()]
 
 
-def top_exposures(df: DataFrame, k: int, approx: bool = False) -> DataFrame:
+def top_exposures(df: DataFrame, k: int) -> DataFrame:
     """The ``k`` most frequent names with counts, mean dose, share inside, rate per entity.
 
     Rows are first counted per (name, entity), so a very frequent name is spread over
     its entities. The grand total comes from the same pass, as one more group that
     sorts first, and meets the others when only ``k + 1`` rows are left.
     """
-    totals = _totals_approx(df) if approx else _totals_exact(df)
-    leading = totals.orderBy(F.desc("_all"), *_by_count()).limit(k + 1)
+    leading = _totals(df).orderBy(F.desc("_all"), *_by_count()).limit(k + 1)
     whole = F.max(F.when(F.col("_all") == 1, F.col("n_prescriptions"))).over(Window.partitionBy())
     ranked = leading.withColumn("_total", whole).where(F.col("_all") == 0)
     n = F.col("n_prescriptions")
@@ -56,7 +58,7 @@ def top_exposures(df: DataFrame, k: int, approx: bool = False) -> DataFrame:
     )
 
 
-def _totals_exact(df: DataFrame) -> DataFrame:
+def _totals(df: DataFrame) -> DataFrame:
     dose = number_from_text(DOSE)
     pairs = df.groupBy(NAME, ENTITY).agg(
         F.count("*").alias("_n"),
@@ -73,18 +75,6 @@ def _totals_exact(df: DataFrame) -> DataFrame:
     )
 
 
-def _totals_approx(df: DataFrame) -> DataFrame:
-    source = df.select(NAME, ENTITY, INSIDE, number_from_text(DOSE).alias("_dose"))
-    return source.groupingSets([[F.col(NAME)], []], NAME).agg(
-        F.grouping(NAME).alias("_all"),
-        F.count("*").alias("n_prescriptions"),
-        F.approx_count_distinct(ENTITY).alias("n_admissions"),
-        F.sum("_dose").alias("_dose_sum"),
-        F.count("_dose").alias("_doses"),
-        F.sum(INSIDE).alias("_inside"),
-    )
-
-
 def exposure_detail(df: DataFrame, k: int) -> DataFrame:
     """Counts, share inside and rate per entity of the ``k`` most frequent names.
 
@@ -110,19 +100,36 @@ def _first_per_key(df: DataFrame, key: str, value: str, n: str) -> DataFrame:
 
 
 def unit_totals(df: DataFrame) -> DataFrame:
-    """Totals per name and per (name, unit) from one pass with GROUPING SETS.
+    """Totals per name and per (name, unit).
 
-    ``per_unit`` is 1 on rows of a (name, unit) pair and 0 on rows of a name.
+    ``per_unit`` is 1 on rows of a (name, unit) pair and 0 on rows of a name. Rows are
+    counted once per (name, unit, entity), so a very frequent name is spread over its
+    entities and both kinds of totals add up the same counts.
     """
-    pair, name = [F.col(NAME), F.col(UNIT)], [F.col(NAME)]
     dose = number_from_text(DOSE)
-    source = df.select(NAME, UNIT, ENTITY, INSIDE, dose.alias("_dose"))
-    return source.groupingSets([pair, name], NAME, UNIT).agg(
-        (1 - F.grouping(UNIT)).alias("per_unit"),
-        F.count("*").alias("n_prescriptions"),
-        F.count_distinct(ENTITY).alias("n_admissions"),
-        F.avg("_dose").alias("mean_dose"),
-        F.avg(INSIDE).alias("share_inside"),
+    counts = df.groupBy(NAME, UNIT, ENTITY).agg(
+        F.count("*").alias("_n"),
+        F.sum(dose).alias("_dose_sum"),
+        F.count(dose).alias("_doses"),
+        F.sum(INSIDE).alias("_inside"),
+        F.count(INSIDE).alias("_settings"),
+    )
+    parts = ["_n", "_dose_sum", "_doses", "_inside", "_settings"]
+    added = [F.sum(c).alias(c) for c in parts]
+    per_unit = counts.groupBy(NAME, UNIT).agg(*added, F.count(ENTITY).alias("n_admissions"))
+    of_entity = counts.groupBy(NAME, ENTITY).agg(*added)
+    per_name = of_entity.groupBy(NAME).agg(*added, F.count(ENTITY).alias("n_admissions"))
+    both = per_unit.withColumn("per_unit", F.lit(1)).unionByName(
+        per_name.withColumn("per_unit", F.lit(0)), allowMissingColumns=True
+    )
+    return both.select(
+        NAME,
+        UNIT,
+        "per_unit",
+        F.col("_n").alias("n_prescriptions"),
+        "n_admissions",
+        F.try_divide("_dose_sum", "_doses").alias("mean_dose"),
+        F.try_divide("_inside", "_settings").alias("share_inside"),
     )
 
 
@@ -173,13 +180,16 @@ def _weighted(value: Column) -> tuple[Column, Column]:
     return known, F.sum(value * F.col("n")) / known
 
 
-def dose_by_unit(df: DataFrame, k: int, width: float = 1.0) -> DataFrame:
-    """Number, mean and median of the known doses per name and unit, top ``k`` names."""
+def dose_by_unit(df: DataFrame, k: int) -> DataFrame:
+    """Number, mean and median of the known doses per name and unit, top ``k`` names.
+
+    Doses are counted when this is called.
+    """
     keys = [NAME, UNIT]
-    doses = _top_doses(df, k)
+    doses = scratch(_top_doses(df, k), "doses")
     known, mean = _weighted(F.col("value"))
     means = doses.groupBy(*keys).agg(known.alias("n"), mean.alias("mean_dose"))
-    medians = quantiles(doses, keys, {"median_dose": 0.5}, width)
+    medians = written_quantiles(doses, keys, {"median_dose": 0.5})
     merged = [F.max("n").alias("n")]
     merged += [F.round(F.max(c), 2).alias(c) for c in ("mean_dose", "median_dose")]
     both = means.unionByName(medians, True).groupBy(*keys).agg(*merged)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.durations import SECONDS_PER_DAY, elapsed_seconds
 
 NO_DAY = "0001-01-01"
+#: number of places over which the events of a key without a time are spread
+UNTIMED = 4096
 
 
 def total_interval_days(
@@ -30,78 +32,71 @@ def flag_in_interval(
     start: str,
     end: str,
     flag: str = "in_interval",
-    method: str = "days",
     only: DataFrame | None = None,
 ) -> DataFrame:
     """Add a 0/1 column: does ``at`` lie in some interval of its key, bounds included?
 
-    Rows are never multiplied; a missing time or bound never matches. With ``only``,
+    Rows are never multiplied; a missing key, time or bound never matches. With ``only``,
     a frame of keys, events of other keys are dropped.
 
-    ``method="days"`` joins on key *and* calendar day, so a key that holds a large
-    part of all rows is spread over its days, and events are shuffled once.
-    ``method="exists"`` is the plain EXISTS subquery: a shorter plan, but all rows of
-    a key meet in one task and are compared pair by pair.
+    An event is inside exactly if the latest end among the intervals of its key that began
+    no later reaches it. That is a running maximum over events and starts in time order,
+    so no event is compared with an interval. It is scanned on two levels: within an hour
+    of a key, and over the maxima of the key's earlier hours, which a small table carries
+    over. A key that holds a large part of all rows is spread over its hours.
     """
-    if method == "exists":
-        kept = events if only is None else events.join(only.select(key), key, "left_semi")
-        return _flag_by_exists(kept, intervals, key, at, start, end, flag)
-    if method != "days":
-        raise ValueError(f"unknown method {method!r}")
-    return _flag_by_day(events, intervals, key, at, start, end, flag, only)
-
-
-def _flag_by_exists(events, intervals, key, at, start, end, flag) -> DataFrame:
-    event, stay = events.alias("event"), intervals.alias("stay")
-    # both sides are qualified: an unqualified key would resolve inside the subquery
-    same_key = F.col(f"stay.{key}") == F.col(f"event.{key}").outer()
-    inside = F.col(f"event.{at}").outer().between(F.col(f"stay.{start}"), F.col(f"stay.{end}"))
-    found = stay.where(same_key & inside).exists()
-    return event.select("*", F.when(found, 1).otherwise(0).alias(flag))
-
-
-def _day(at: str) -> Column:
-    """Calendar day; events without a time share one that no comparison can satisfy."""
-    return F.coalesce(F.col(at).cast("date"), F.lit(NO_DAY).cast("date"))
-
-
-def _flag_by_day(events, intervals, key, at, start, end, flag, only) -> DataFrame:
-    lookup = _cover_by_day(events, intervals, key, at, start, end)
-    if only is None:
-        lookup, how = lookup.where(F.col("_reach_before").isNotNull() | F.col("_spans").isNotNull()), "left"
-    else:
-        # the few rows per key are filtered, not the events; these then join inner
-        lookup, how = lookup.join(only.select(key), key, "left_semi"), "inner"
-    since_earlier = F.col(at) <= F.col("_reach_before")
-    same_day = F.exists("_spans", lambda span: F.col(at).between(span["start"], span["reach"]))
-    hit = F.coalesce(since_earlier, F.lit(False)) | F.coalesce(same_day, F.lit(False))
-    joined = events.withColumn("_day", _day(at)).join(lookup, [key, "_day"], how)
-    return joined.select(*events.columns, F.when(hit, 1).otherwise(0).alias(flag))
-
-
-def _cover_by_day(events, intervals, key, at, start, end) -> DataFrame:
-    """Per key and day with an event: the intervals that can contain it.
-
-    An interval that started on an earlier day contains the event if the latest
-    end among those reaches it, so one running maximum (``_reach_before``) stands
-    for all of them. Only those started on the same day are listed (``_spans``),
-    one per distinct start, which a day of whole seconds bounds. The running
-    maximum goes over one row per day of a key.
+    kept = events if only is None else events.join(only.select(key), key, "left_semi")
+    by_hour = _events_and_starts(kept, intervals, key, at, start, end)
+    hour = [key, "_day", "_hour"]
+    up_to_here = Window.partitionBy(*hour).orderBy("_at", "_is_event").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    scanned = by_hour.withColumn("_latest", F.max("_reach").over(up_to_here)).where("_is_event = 1")
+    joined = scanned.join(_carried_over(by_hour, hour), hour, "left")
+    inside = F.greatest("_latest", "_before") >= F.col("_at")
+    return joined.select(*events.columns, F.when(inside, 1).otherwise(0).alias(flag))
+
+
+def _events_and_starts(events, intervals, key, at, start, end) -> DataFrame:
+    """Events and interval starts in one frame, dealt out by key and hour.
+
+    Columns: those of the events (NULL on starts, but for the key), ``_at``,
+    ``_is_event``, ``_reach`` (end of the interval, NULL on events), ``_day``, ``_hour``.
     """
-    starts = (
-        intervals.where(F.col(end) >= F.col(start))
-        .groupBy(key, F.col(start).alias("_start"))
-        .agg(F.max(end).alias("_reach"))
-        .withColumn("_day", _day("_start"))
+    time = dict(events.dtypes)[at]
+    moments = events.withColumns(
+        {"_at": F.col(at), "_is_event": F.lit(1), "_reach": F.lit(None).cast(time)}
+    )
+    starts = intervals.where((F.col(end) >= F.col(start)) & F.col(key).isNotNull()).select(
+        F.col(key),
+        F.col(start).cast(time).alias("_at"),
+        F.lit(0).alias("_is_event"),
+        F.col(end).cast(time).alias("_reach"),
     )
-    span = F.struct(F.col("_start").alias("start"), F.col("_reach").alias("reach"))
-    started = starts.groupBy(key, "_day").agg(
-        F.max("_reach").alias("_day_reach"), F.collect_list(span).alias("_spans")
+    # no comparison holds for events without a time, so any hour will do for them
+    anywhere = F.pmod(F.xxhash64(*events.columns), F.lit(UNTIMED)).cast("int")
+    return (
+        moments.unionByName(starts, allowMissingColumns=True)
+        .withColumns(
+            {
+                "_day": F.coalesce(F.col("_at").cast("date"), F.lit(NO_DAY).cast("date")),
+                "_hour": F.coalesce(F.hour("_at"), anywhere),
+            }
+        )
+        .repartition(key, "_day", "_hour")
     )
-    asked = events.select(key, _day(at).alias("_day")).distinct()
-    # both sides are already partitioned by key and day, and unique in it
-    per_day = asked.join(started, [key, "_day"], "full")
-    earlier = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    return per_day.select(
-        key, "_day", F.max("_day_reach").over(earlier).alias("_reach_before"), "_spans"
+
+
+def _carried_over(by_hour: DataFrame, hour: list[str]) -> DataFrame:
+    """Per hour of a key: the latest end of intervals that began in an earlier hour.
+
+    ``_seen`` looks at every column, so that this branch asks for the same rows as the
+    other one and both share one evaluation and one shuffle of them.
+    """
+    per_hour = by_hour.groupBy(*hour).agg(
+        F.max("_reach").alias("_reach"), F.max(F.xxhash64(*by_hour.columns)).alias("_seen")
     )
+    key, *time = hour
+    earlier = Window.partitionBy(key).orderBy(*time).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_hour.withColumn("_before", F.max("_reach").over(earlier))
+    return carried.where(F.col("_seen").isNotNull()).select(*hour, "_before")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import level_rank
-from .quantiles import QUARTILES, quantiles, value_counts
+from ..sources.snapshot import scratch
+from .quantiles import QUARTILES, value_counts, written_quantiles
 
 #: number of partial sums that :func:`with_total` brings together, a power of two
 SLOTS = 64
@@ -53,32 +54,30 @@ def _present(df: DataFrame, col: str) -> Column:
     return F.nanvl(F.col(col), F.lit(None)) if dict(df.dtypes).get(col) in ("double", "float") else F.col(col)
 
 
-def numeric_profile(
-    df: DataFrame, col: str, exact: bool = True, width: float = 1.0, digits: int = 2
-) -> DataFrame:
+def numeric_profile(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
     """One row: min, q25, median, q75, max, mean, sd, n, n_missing of a column.
 
-    ``n`` counts the values present; NaN counts as missing. ``exact=False`` takes the
-    quartiles from a bounded sketch in the same pass.
+    ``n`` counts the values present; NaN counts as missing. Rows are counted by value in
+    one pass, which runs when this is called; all statistics come from the counts.
     """
-    value = _present(df, col).cast("double")
+    counts = scratch(value_counts(df, [], [col], keep_missing=True), "counts")
+    value, n = F.col("value"), F.col("n")
+    known = F.when(value.isNotNull(), n).otherwise(0)
+    mean = counts.agg((F.sum(value * n) / F.sum(F.when(value.isNotNull(), n))).alias("mean")).first()["mean"]
+    middle = F.lit(mean).cast("double")
+    squares = F.sum((value - middle) * (value - middle) * n)
+    spread = F.sqrt(F.try_divide(squares, F.sum(known) - 1))
     stats = {
         "min": F.min(value),
         "max": F.max(value),
-        "mean": F.round(F.avg(value), digits),
-        "sd": F.round(F.stddev_samp(value), digits),
-        "n": F.count(value),
-        "n_missing": F.count_if(value.isNull()),
+        "mean": F.round(middle, digits),
+        "sd": F.when(F.sum(known) > 1, F.round(spread, digits)),
+        "n": F.coalesce(F.sum(known), F.lit(0)),
+        "n_missing": F.coalesce(F.sum(n - known), F.lit(0)),
     }
-    columns = [stat.alias(name) for name, stat in stats.items()]
-    if exact:
-        quartiles = quantiles(value_counts(df, [], [col]), [], width=width)
-        merged = df.agg(*columns).unionByName(quartiles, True)
-        profile = merged.agg(*[F.max(c).alias(c) for c in merged.columns])
-    else:
-        sketch = F.percentile_approx(value, list(QUARTILES.values()), 10_000)
-        profile = df.agg(*columns, sketch.alias("_sketch"))
-        profile = profile.withColumns({q: F.col("_sketch")[i] for i, q in enumerate(QUARTILES)})
+    merged = counts.agg(*[stat.alias(name) for name, stat in stats.items()])
+    merged = merged.unionByName(written_quantiles(counts, []), True)
+    profile = merged.agg(*[F.max(c).alias(c) for c in merged.columns])
     return profile.select("min", *QUARTILES, "max", "mean", "sd", "n", "n_missing")
 
 

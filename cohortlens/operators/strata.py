@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .quantiles import QUARTILES, quantiles, value_counts
+from ..sources.snapshot import scratch
+from .quantiles import QUARTILES, value_counts, written_quantiles
 
 STRATUM = ["stratifier", "stratum"]
 
@@ -17,8 +18,6 @@ def outcomes_by(
     measures: Sequence[str],
     flag: str,
     keep_null: bool = False,
-    exact: bool = True,
-    width: float = 1.0,
 ) -> DataFrame:
     """Quartiles of every measure and the rate of ``flag`` per stratum.
 
@@ -27,19 +26,17 @@ def outcomes_by(
     stratum are left out of that stratification unless ``keep_null``.
 
     Values are counted once per combination of strata, and GROUPING SETS roll the
-    counts, not the rows, up to each stratification.
+    counts, not the rows, up to each stratification. Counting runs when this is called.
     """
-    if not exact:
-        return _approximate(df, strata, measures, flag, keep_null)
     # every row has the measure _row, so the counts of known values also count rows
     counted = df.withColumn("_row", F.lit(1))
     counts = value_counts(counted, list(strata.values()), [*measures, flag, "_row"])
-    rolled = _roll_up(counts, strata, keep_null)
+    rolled = scratch(_roll_up(counts, strata, keep_null), "counts")
     mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
     per_measure = rolled.groupBy(*STRATUM, "measure").agg(
         F.sum("n").alias("_known"), mean.alias("_mean")
     )
-    spread = quantiles(rolled, [*STRATUM, "measure"], width=width)
+    spread = written_quantiles(rolled.where(F.col("measure").isin(*measures)), [*STRATUM, "measure"])
     return _one_row_per_stratum(per_measure.unionByName(spread, True), measures, flag)
 
 
@@ -65,25 +62,6 @@ def _roll_up(counts: DataFrame, strata: Mapping[str, str], keep_null: bool) -> D
     return _title_and_stratum(grouped, strata, keep_null)
 
 
-def _approximate(
-    df: DataFrame, strata: Mapping[str, str], measures: Sequence[str], flag: str, keep_null: bool
-) -> DataFrame:
-    """The same table from bounded quantile sketches, one pass over the rows."""
-    columns = list(strata.values())
-    sketch = lambda m: F.percentile_approx(m, list(QUARTILES.values()), 10_000)
-    grouped = df.groupingSets([[F.col(c)] for c in columns], *columns).agg(
-        F.count("*").alias("n"),
-        *[sketch(m).alias(f"_{m}") for m in measures],
-        F.round(100 * F.avg(flag), 1).alias(f"{flag}_pct"),
-        *[F.grouping(c).alias(f"_{c}_out") for c in columns],
-    )
-    named = _title_and_stratum(grouped, strata, keep_null)
-    spread = [
-        F.col(f"_{m}")[i].alias(f"{m}_{q}") for m in measures for i, q in enumerate(QUARTILES)
-    ]
-    return named.select(*STRATUM, "n", *spread, f"{flag}_pct")
-
-
 def _one_row_per_stratum(long: DataFrame, measures: Sequence[str], flag: str) -> DataFrame:
     of = lambda measure, column: F.max(F.when(F.col("measure") == measure, F.col(column)))
     wide = [of("_row", "_known").alias("n")]

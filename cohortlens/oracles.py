@@ -1,4 +1,8 @@
-"""The same queries as plain SQL over the given tables, to check results against."""
+"""The same queries as plain SQL over the given tables, to check results against.
+
+Fixed values: prefixes, patterns, categories, cut-points and titles are those of
+``config.py`` and ``plans/report.py``.
+"""
 
 from __future__ import annotations
 
@@ -197,6 +201,62 @@ def _outcomes() -> str:
     )
 
 
+def _present_demographics(frame: str) -> str:
+    variables = {
+        "age_group": "Age group",
+        "gender": "Gender",
+        "ethnicity_group": "Ethnicity",
+        "admission_type": "Admission type",
+    }
+    block = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(variables, start=1))
+    title = " ".join(f"WHEN '{name}' THEN '{label}'" for name, label in variables.items())
+    cells = ", ".join(
+        f"""n_{suffix} || ' (' || printf('%.1f', pct_{suffix}) || '%)' AS "{suffix}",
+          '**{label}** (N=' || total_{suffix} || ')' AS {suffix}_title"""
+        for suffix, label in (("without", "No secondary diabetes"), ("with", "Secondary diabetes"))
+    )
+    return f"""SELECT (CASE variable {block} END)::INTEGER AS block,
+        row_number() OVER (PARTITION BY variable ORDER BY position NULLS LAST, level NULLS LAST)::INTEGER
+          AS position,
+        CASE variable {title} END AS variable, level, {cells}
+      FROM ({_demographics(frame)})"""
+
+
+def _quartile(values: str, p: float) -> str:
+    """Type 7 by position in a sorted list, in the same steps as the library takes them."""
+    place = f"({p} * (len({values}) - 1))"
+    low, high = f"{values}[floor({place})::INTEGER + 1]", f"{values}[ceil({place})::INTEGER + 1]"
+    return f"{low} + ({high} - {low}) * ({place} - floor({place}))"
+
+
+def _present_outcomes() -> str:
+    strata = {
+        "Age": ("age_group", ["0-17", "18-59", "60+"]),
+        "Gender": ("gender", ["F", "M"]),
+        "Diabetes status": ("diabetes_status", ["No secondary diabetes", "Secondary diabetes"]),
+        "Ethnicity": ("ethnicity_group", []),
+    }
+    spread = ", ".join(
+        "CASE WHEN len({m}) > 0 THEN printf('%.1f (%.1f–%.1f)', {q}) END AS {m}".format(
+            m=m, q=", ".join(_quartile(m, p) for p in (0.5, 0.25, 0.75))
+        )
+        for m in ("hospital_los", "icu_los")
+    )
+    parts = []
+    for block, (title, (col, levels)) in enumerate(strata.items(), start=1):
+        rank = " ".join(f"WHEN '{level}' THEN {i}" for i, level in enumerate(levels))
+        order = f"CASE {col} {rank} END NULLS LAST, {col}" if levels else col
+        parts.append(
+            f"""SELECT {block} AS block, row_number() OVER (ORDER BY {order})::INTEGER AS position,
+              '{title}' AS stratifier, {col} AS stratum, {spread}, mortality
+            FROM (SELECT {col}, list_sort(list(hospital_los_days) FILTER (hospital_los_days IS NOT NULL)) AS hospital_los,
+                list_sort(list(icu_los_days) FILTER (icu_los_days IS NOT NULL)) AS icu_los,
+                printf('%.1f', round(100 * avg(hospital_expire_flag), 1)) AS mortality
+              FROM cases WHERE {col} IS NOT NULL GROUP BY {col})"""
+        )
+    return " UNION ALL ".join(parts)
+
+
 _DRUG = """n_prescriptions, n_admissions, round(mean_dose, 2) AS mean_dose,
   round(100 * inside, 1) AS pct_in_icu, round(n_prescriptions / n_admissions, 2) AS per_admission"""
 
@@ -215,7 +275,6 @@ _BODIES: dict[str, str] = {
     "cohort": "SELECT * FROM cohort",
     "cohort_labeled": "SELECT * FROM labeled",
     "exposures": "SELECT * FROM exposures",
-    "exposures_exists": "SELECT * FROM exposures",
     "cohort_size": "SELECT count(*) AS total_admissions FROM cohort",
     "case_split": _frequency(
         "cohort",
@@ -283,4 +342,28 @@ _BODIES: dict[str, str] = {
     FROM exposures e JOIN top_5 t ON e.drug IS NOT DISTINCT FROM t.drug GROUP BY e.drug""",
 }
 
+_BODIES |= {
+    "present_demographics_cases": _present_demographics("cases"),
+    "present_demographics_controls": _present_demographics("controls"),
+    "present_outcomes": _present_outcomes(),
+    "present_exposures": f"""SELECT row_number() OVER (ORDER BY n_prescriptions DESC, drug NULLS LAST)::INTEGER AS position,
+      drug, n_prescriptions, mean_dose, pct_in_icu, per_admission, dominant_unit
+    FROM ({_BODIES["top_exposures_report"]})""",
+    "view_checks": """SELECT unnest([
+        'total_admissions', 'case_admissions', 'case_pct', 'min_los', 'max_los', 'mean_los',
+        'negative_los', 'with_icu', 'without_icu']) AS check_name,
+      unnest([count(*)::DOUBLE, count(*) FILTER (heart_failure = 1),
+        round(100.0::DOUBLE * count(*) FILTER (heart_failure = 1) / count(*), 1),
+        round(min(hospital_los_days), 6), round(max(hospital_los_days), 6), round(avg(hospital_los_days), 1),
+        count(*) FILTER (hospital_los_days < 0), count(*) FILTER (icu_los_days > 0),
+        count(*) FILTER (icu_los_days IS NULL OR icu_los_days = 0)]) AS value
+    FROM cohort
+    UNION ALL
+    SELECT unnest(['cases_view', 'case_patients']), unnest([count(*)::DOUBLE, count(DISTINCT subject_id)]) FROM cases
+    UNION ALL
+    SELECT unnest(['prescriptions', 'prescribed_admissions', 'unique_drugs']),
+      unnest([count(*)::DOUBLE, count(DISTINCT hadm_id), count(DISTINCT drug)])
+    FROM exposures""",
+}
+
 ORACLES: dict[str, str] = {name: COHORT + body for name, body in _BODIES.items()}

@@ -9,12 +9,15 @@ from .report import (
     present_demographics,
     present_exposures,
     present_outcomes,
+    present_report,
     report_tables,
     top_exposures_report,
 )
-from .views import create_views
+from .titles import Titles, titled, titles_of
+from .views import create_views, view_checks
 
 __all__ = [
+    "Titles",
     "build_cohort",
     "build_exposures",
     "create_views",
@@ -25,7 +28,11 @@ __all__ = [
     "present_demographics",
     "present_exposures",
     "present_outcomes",
+    "present_report",
     "report_tables",
     "split_cohort",
+    "titled",
+    "titles_of",
     "top_exposures_report",
+    "view_checks",
 ]

@@ -10,10 +10,7 @@ from ..schemas import ClinicalTables
 
 
 def build_exposures(
-    tables: ClinicalTables,
-    cohort: DataFrame,
-    config: CohortConfig = DEFAULT,
-    method: str = "days",
+    tables: ClinicalTables, cohort: DataFrame, config: CohortConfig = DEFAULT
 ) -> DataFrame:
     """Prescriptions of cases with a 0/1 flag: started during an ICU stay?
 
@@ -22,4 +19,4 @@ def build_exposures(
     given = tables.prescriptions.select("hadm_id", "drug", "dose_val_rx", "dose_unit_rx", "startdate")
     cases = cohort.where(F.col(config.case_flag) == 1).select("hadm_id")
     stay = ("hadm_id", "startdate", "intime", "outtime")
-    return flag_in_interval(given, tables.icustays, *stay, "in_icu", method, only=cases)
+    return flag_in_interval(given, tables.icustays, *stay, "in_icu", only=cases)

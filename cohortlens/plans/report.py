@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import DEFAULT, CohortConfig
 from ..functions import count_percent, fixed_point, level_rank, median_iqr_text, title_case
@@ -15,6 +15,7 @@ from ..schemas import ClinicalTables
 from ..sources.snapshot import freeze, thaw
 from .cohort import build_cohort, label_cohort, split_cohort
 from .exposures import build_exposures
+from .titles import titled
 
 # Row and column titles of the printed tables.
 VARIABLE_LABELS = {
@@ -43,6 +44,14 @@ EXPOSURE_LABELS = {
     "per_admission": "Mean prescriptions per admission",
     "dominant_unit": "Dose unit",
 }
+DEMOGRAPHIC_LABELS = {"variable": "Characteristic", "level": "Level"}
+TABLE_TITLES = {
+    "demographics_cases": "Table 1. Demographic characteristics of heart failure admissions by diabetes status",
+    "demographics_controls": "Table 2. Demographic characteristics of non-heart failure admissions by diabetes status",
+    "outcomes": "Table 3. Clinical outcomes of heart failure admissions by patient characteristics",
+    "exposures": "Table 4. Most commonly prescribed medications in heart failure admissions",
+}
+DOSE_NOTE = "*Dose summaries were calculated using the most frequently recorded dose unit per medication.*"
 MEASURES = ("hospital_los_days", "icu_los_days")
 DEATH = "hospital_expire_flag"
 # Column suffixes of the first two status groups; further ones are numbered.
@@ -63,9 +72,9 @@ def demographics(labeled: DataFrame, config: CohortConfig = DEFAULT) -> DataFram
     return crosstab(labeled, list(VARIABLE_LABELS), "diabetes_status", by_levels, levels)
 
 
-def outcomes(labeled: DataFrame, exact: bool = True) -> DataFrame:
+def outcomes(labeled: DataFrame) -> DataFrame:
     """Length of stay and mortality over the four stratifications."""
-    return outcomes_by(labeled, STRATA, MEASURES, DEATH, exact=exact)
+    return outcomes_by(labeled, STRATA, MEASURES, DEATH)
 
 
 def top_exposures_report(exposures: DataFrame, k: int = 5) -> DataFrame:
@@ -104,55 +113,67 @@ def freeze_report(
     return frozen
 
 
-def _titled(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
-    """Attach display titles as column metadata."""
-    return df.select(
-        *[
-            F.col(c).alias(c, metadata={"label": labels[c]}) if c in labels else F.col(c)
-            for c in df.columns
-        ]
-    )
+def _in_order(df: DataFrame, block: Column, order: Sequence[Column], columns: Sequence[Column]) -> DataFrame:
+    """The columns behind ``block`` (order of the blocks) and ``position`` (within it), sorted by both.
+
+    A block is numbered by one task, so this is for tables that are printed.
+    """
+    place = F.row_number().over(Window.partitionBy(block).orderBy(*order))
+    return df.select(block.alias("block"), place.alias("position"), *columns).orderBy("block", "position")
 
 
-def present_demographics(table: DataFrame, config: CohortConfig = DEFAULT) -> DataFrame:
+def present_demographics(
+    table: DataFrame, config: CohortConfig = DEFAULT, title: str | None = None
+) -> DataFrame:
     """``n (p%)`` per status group, rows in printed order, group sizes in the titles."""
-    header = {suffix: f"**{label}**" for label, suffix in status_suffixes(config).items()}
-    order = [
-        level_rank("variable", list(VARIABLE_LABELS)).asc_nulls_last(),
-        F.col("position").asc_nulls_last(),
-        F.col("level").asc_nulls_last(),
-    ]
-    title = F
-    for name, label in VARIABLE_LABELS.items():
-        title = title.when(F.col("variable") == name, F.lit(label))
-    columns = [title.otherwise(F.col("variable")).alias("variable"), F.col("level")]
-    for suffix, label in header.items():
+    order = [F.col("position").asc_nulls_last(), F.col("level").asc_nulls_last()]
+    name = F
+    for variable, label in VARIABLE_LABELS.items():
+        name = name.when(F.col("variable") == variable, F.lit(label))
+    columns = [name.otherwise(F.col("variable")).alias("variable"), F.col("level")]
+    labels = dict(DEMOGRAPHIC_LABELS)
+    for label, suffix in status_suffixes(config).items():
         columns.append(count_percent(f"n_{suffix}", f"pct_{suffix}").alias(suffix))
-        size = F.format_string(f"{label} (N=%d)", f"total_{suffix}")
+        size = F.concat(F.lit(f"**{label}** (N="), F.col(f"total_{suffix}").cast("string"), F.lit(")"))
         columns.append(size.alias(f"{suffix}_title"))
-    return table.orderBy(*order).select(*columns)
+        labels[suffix] = f"**{label}**"
+    block = F.coalesce(level_rank("variable", list(VARIABLE_LABELS)), F.lit(len(VARIABLE_LABELS) + 1))
+    return titled(_in_order(table, block, ["variable", *order], columns), labels, title)
 
 
-def present_outcomes(table: DataFrame, config: CohortConfig = DEFAULT) -> DataFrame:
+def present_outcomes(
+    table: DataFrame, config: CohortConfig = DEFAULT, title: str | None = TABLE_TITLES["outcomes"]
+) -> DataFrame:
     """``median (q25–q75)`` per stratum, strata in printed order."""
     levels = [*config.age_groups, *config.genders, *config.status_labels.values()]
-    order = [
-        level_rank("stratifier", list(STRATA)).asc_nulls_last(),
-        level_rank("stratum", levels).asc_nulls_last(),
-        F.col("stratum").asc_nulls_last(),
-    ]
+    order = ["stratifier", level_rank("stratum", levels).asc_nulls_last(), F.col("stratum").asc_nulls_last()]
     spread = lambda m: median_iqr_text(f"{m}_q25", f"{m}_median", f"{m}_q75")
-    shown = table.orderBy(*order).select(
-        "stratifier",
-        "stratum",
+    columns = [
+        F.col("stratifier"),
+        F.col("stratum"),
         spread("hospital_los_days").alias("hospital_los"),
         spread("icu_los_days").alias("icu_los"),
         fixed_point(f"{DEATH}_pct").alias("mortality"),
-    )
-    return _titled(shown, OUTCOME_LABELS)
+    ]
+    block = F.coalesce(level_rank("stratifier", list(STRATA)), F.lit(len(STRATA) + 1))
+    return titled(_in_order(table, block, order, columns), OUTCOME_LABELS, title)
 
 
-def present_exposures(table: DataFrame) -> DataFrame:
+def present_exposures(
+    table: DataFrame, title: str | None = TABLE_TITLES["exposures"], note: str | None = DOSE_NOTE
+) -> DataFrame:
     """The printed columns, most prescribed first."""
-    rows = table.orderBy(F.desc("n_prescriptions"), F.col("drug").asc_nulls_last())
-    return _titled(rows.select(*EXPOSURE_LABELS), EXPOSURE_LABELS)
+    order = [F.desc("n_prescriptions"), F.col("drug").asc_nulls_last()]
+    shown = _in_order(table, F.lit(1), order, [F.col(c) for c in EXPOSURE_LABELS])
+    return titled(shown.drop("block"), EXPOSURE_LABELS, title, note)
+
+
+def present_report(frozen: Mapping[str, DataFrame], config: CohortConfig = DEFAULT) -> dict[str, DataFrame]:
+    """The four tables of :func:`report_tables` or :func:`freeze_report` as they are printed."""
+    shown = {
+        name: present_demographics(frozen[name], config, TABLE_TITLES[name])
+        for name in ("demographics_cases", "demographics_controls")
+    }
+    shown["outcomes"] = present_outcomes(frozen["outcomes"], config)
+    shown["exposures"] = present_exposures(frozen["exposures"])
+    return shown

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
+    ByteType,
+    CharType,
     DataType,
+    DateType,
+    DecimalType,
     IntegerType,
     LongType,
+    ShortType,
     StringType,
     StructField,
     StructType,
     TimestampNTZType,
+    VarcharType,
 )
 
 LONG, INT, TEXT, TIME = LongType(), IntegerType(), StringType(), TimestampNTZType()
@@ -45,19 +51,47 @@ class SchemaError(ValueError):
     """A table lacks a column or holds it with another type."""
 
 
+#: Types that a declared type takes in without losing anything.
+WIDENED: dict[DataType, tuple[type[DataType], ...]] = {
+    LONG: (ByteType, ShortType, IntegerType),
+    INT: (ByteType, ShortType),
+    TEXT: (CharType, VarcharType),
+    TIME: (DateType,),
+}
+
+
+def _widened(name: str, wanted: DataType, found: DataType) -> Column | None:
+    """The column as declared, or None where a cast could lose or change a value."""
+    if found == wanted:
+        return F.col(name)
+    whole = isinstance(found, DecimalType) and found.scale == 0
+    digits = {LONG: 18, INT: 9}.get(wanted, 0)
+    if isinstance(found, WIDENED[wanted]) or (whole and found.precision <= digits):
+        return F.col(name).cast(wanted).alias(name)
+    return None
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Check names and types of table ``name`` and keep only its declared columns."""
+    """Check names and types of table ``name`` and keep only its declared columns.
+
+    Narrower types are widened where that is lossless: smaller integers, decimals without
+    places, dates (midnight), character types of bounded length. A time with a zone is
+    not taken for one without, because its clock time would depend on the session.
+    """
     found = {f.name: f.dataType for f in df.schema.fields}
-    problems = []
+    problems, columns = [], []
     for wanted in SCHEMAS[name].fields:
         if wanted.name not in found:
             problems.append(f"{wanted.name} is missing")
-        elif found[wanted.name] != wanted.dataType:
+            continue
+        column = _widened(wanted.name, wanted.dataType, found[wanted.name])
+        if column is None:
             have = found[wanted.name].simpleString()
             problems.append(f"{wanted.name} is {have}, not {wanted.dataType.simpleString()}")
+        columns.append(column)
     if problems:
         raise SchemaError(f"table {name}: " + "; ".join(problems))
-    return df.select(*SCHEMAS[name].names)
+    return df.select(*columns)
 
 
 @dataclass(frozen=True)

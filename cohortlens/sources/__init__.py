@@ -1,19 +1,20 @@
 """Where tables come from and where results are kept."""
 
-from .buckets import bucketed_tables, write_bucketed
-from .jdbc import jdbc_options, read_jdbc_tables
+from .jdbc import jdbc_options, jdbc_predicates, read_jdbc_tables
 from .parquet import load_tables
-from .snapshot import freeze, snapshot_folder, thaw
+from .snapshot import SnapshotError, clear_run, freeze, scratch, snapshot_folder, thaw
 from .standin import standin_tables
 
 __all__ = [
-    "bucketed_tables",
+    "SnapshotError",
+    "clear_run",
     "freeze",
     "jdbc_options",
+    "jdbc_predicates",
     "load_tables",
     "read_jdbc_tables",
+    "scratch",
     "snapshot_folder",
     "standin_tables",
     "thaw",
-    "write_bucketed",
 ]

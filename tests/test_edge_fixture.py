@@ -75,9 +75,8 @@ def test_split_covers_the_cohort(labeled):
     assert (cases.count(), others.count(), labeled.count()) == (3, 3, 6)
 
 
-@pytest.mark.parametrize("method", ["days", "exists"])
-def test_exposures(tables, rows, method):
-    exposures = plans.build_exposures(tables, plans.build_cohort(tables), method=method)
+def test_exposures(tables, rows):
+    exposures = plans.build_exposures(tables, plans.build_cohort(tables))
     keys = ["hadm_id", "drug", "dose_val_rx", "dose_unit_rx"]
     got = {r[:4]: r[4] for r in rows(exposures.select(*keys, "in_icu"))}
     assert got == {
@@ -101,8 +100,6 @@ def test_exposure_table(exposures, rows):
 def test_top_exposures_and_detail(exposures, rows):
     top = op.top_exposures(exposures, 1)
     assert rows(top) == [("furosemide", 4, 2, 21.67, 75.0, 2.0, 66.7)]
-    approx = op.top_exposures(exposures, 1, approx=True)
-    assert rows(approx) == rows(top)
     assert rows(op.exposure_detail(exposures, 2)) == [
         ("furosemide", 4, 2, 75.0, 2.0),
         ("acetaminophen-codeine", 2, 1, 0.0, 2.0),
@@ -141,7 +138,6 @@ def test_missing_name_counts_only_when_asked(exposures, rows):
     holes = exposures.withColumn("drug", F.when(F.col("hadm_id") != 13, F.col("drug")))
     assert rows(op.exposure_overview(holes)) == [(6, 3, 1)]
     assert rows(op.exposure_overview(holes, count_null=True)) == [(6, 3, 2)]
-    assert rows(op.exposure_overview(holes, approx=True)) == [(6, 3, 1)]
     # a missing name is a group like any other, in ranking, units and doses
     assert rows(op.top_exposures(holes, 2).select("drug", "n_prescriptions")) == [("furosemide", 4), (None, 2)]
     assert (None, None, 1, 1.0, 1.0) in rows(op.dose_by_unit(holes, 2))
@@ -175,20 +171,13 @@ def test_null_strata_are_dropped_unless_kept(labeled, rows):
     assert rows(drop.select("stratum", "n")) == [("F", 1)]
 
 
-def test_approximate_outcomes_have_the_same_shape(labeled, rows):
-    cases, _ = plans.split_cohort(labeled)
-    exact, approx = plans.outcomes(cases), plans.outcomes(cases, exact=False)
-    assert exact.columns == approx.columns
-    shown = ["stratifier", "stratum", "n", f"{DEATH}_pct"]
-    assert sorted(rows(exact.select(*shown))) == sorted(rows(approx.select(*shown)))
-
-
 def test_presented_outcomes(labeled, rows):
     cases, _ = plans.split_cohort(labeled)
     shown = plans.present_outcomes(plans.outcomes(cases))
     got = rows(shown)
-    assert got[0] == ("Age", "60+", "3.0 (1.5–4.2)", "0.6 (0.3–0.9)", "33.3")
-    assert [r[:2] for r in got] == [
+    assert got[0] == (1, 1, "Age", "60+", "3.0 (1.5–4.2)", "0.6 (0.3–0.9)", "33.3")
+    assert [r[:2] for r in got] == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)]
+    assert [r[2:4] for r in got] == [
         ("Age", "60+"),
         ("Gender", "F"),
         ("Gender", "M"),
@@ -198,7 +187,7 @@ def test_presented_outcomes(labeled, rows):
         ("Ethnicity", "Other/Unknown"),
         ("Ethnicity", "White"),
     ]
-    assert got[6] == ("Ethnicity", "Other/Unknown", "3.0 (3.0–3.0)", None, "0.0")
+    assert got[6] == (4, 2, "Ethnicity", "Other/Unknown", "3.0 (3.0–3.0)", None, "0.0")
     assert shown.schema["hospital_los"].metadata["label"] == "Hospital LOS, days (median [IQR])"
 
 
@@ -226,12 +215,39 @@ def test_presented_demographics(labeled, rows):
     cases, _ = plans.split_cohort(labeled)
     got = rows(plans.present_demographics(plans.demographics(cases)))
     titles = ("**No secondary diabetes** (N=1)", "**Secondary diabetes** (N=2)")
-    assert got[0] == ("Age group", "0-17", "0 (0.0%)", titles[0], "0 (0.0%)", titles[1])
-    assert got[2][:3] == ("Age group", "60+", "1 (100.0%)")
-    assert [r[0] for r in got] == sorted((r[0] for r in got), key=["Age group", "Gender", "Ethnicity", "Admission type"].index)
+    assert got[0] == (1, 1, "Age group", "0-17", "0 (0.0%)", titles[0], "0 (0.0%)", titles[1])
+    assert got[2][:5] == (1, 3, "Age group", "60+", "1 (100.0%)")
+    assert [r[:2] for r in got] == sorted(r[:2] for r in got)
+    order = ["Age group", "Gender", "Ethnicity", "Admission type"]
+    assert [r[2] for r in got] == sorted((r[2] for r in got), key=order.index)
+
+
+def test_titles_survive_parquet(spark, labeled, exposures, tmp_path):
+    from cohortlens.sources import freeze, thaw
+
+    frozen = {
+        "demographics_cases": plans.demographics(plans.split_cohort(labeled)[0]),
+        "demographics_controls": plans.demographics(plans.split_cohort(labeled)[1]),
+        "outcomes": plans.outcomes(plans.split_cohort(labeled)[0]),
+        "exposures": plans.top_exposures_report(exposures, 5),
+    }
+    for number, (name, shown) in enumerate(plans.present_report(frozen).items(), start=1):
+        titles = plans.titles_of(shown)
+        assert titles.title.startswith(f"Table {number}. ") and titles.labels
+        assert (titles.note is not None) == (name == "exposures")
+        shown.write.parquet(f"{tmp_path}/{name}")
+        assert plans.titles_of(spark.read.parquet(f"{tmp_path}/{name}")) == titles
+        assert plans.titles_of(thaw(spark, freeze(shown, f"{tmp_path}/frozen-{name}"))) == titles
+        # columns come and go, the title stays with the first one
+        assert plans.titles_of(shown.select(shown.columns[0])).title == titles.title
+    assert plans.titles_of(shown).labels["pct_in_icu"] == "% prescribed in ICU"
+    assert "most frequently recorded dose unit" in titles.note
+    renamed = plans.titled(shown, {"drug": "Drug"}, title="Other")
+    assert plans.titles_of(renamed) == plans.Titles("Other", titles.note, titles.labels | {"drug": "Drug"})
+    assert plans.titles_of(labeled) == plans.Titles()
 
 
 def test_presented_exposures(exposures, rows):
     shown = plans.present_exposures(plans.top_exposures_report(exposures, 5))
-    assert rows(shown)[0] == ("Furosemide", 4, 21.67, 75.0, 2.0, "MG")
+    assert rows(shown)[0] == (1, "Furosemide", 4, 21.67, 75.0, 2.0, "MG")
     assert shown.schema["drug"].metadata["label"] == "Medication"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import importlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from cohortlens import operators as op
 from cohortlens.config import CodeRule
 
+# the package offers the function under the module's name
+quantile_module = importlib.import_module("cohortlens.operators.quantiles")
 ORIGIN = datetime(2020, 3, 7)
 
 
@@ -37,12 +40,11 @@ def random_intervals(rng, hot_share=0.35):
     return intervals, events
 
 
-@pytest.mark.parametrize("method", ["days", "exists"])
-def test_flag_in_interval_matches_brute_force(spark, method):
+def test_flag_in_interval_matches_brute_force(spark):
     intervals, events = random_intervals(random.Random(3))
     stays = spark.createDataFrame(intervals, "k int, a timestamp_ntz, b timestamp_ntz")
     facts = spark.createDataFrame(events, "i int, k int, t timestamp_ntz")
-    got = op.flag_in_interval(facts, stays, "k", "t", "a", "b", method=method)
+    got = op.flag_in_interval(facts, stays, "k", "t", "a", "b")
     assert got.columns == ["i", "k", "t", "in_interval"]
     found = {r["i"]: r["in_interval"] for r in got.collect()}
     assert len(found) == len(events)
@@ -53,15 +55,14 @@ def test_flag_in_interval_matches_brute_force(spark, method):
         assert found[i] == int(inside), (i, k, t)
 
 
-@pytest.mark.parametrize("method", ["days", "exists"])
-def test_flag_in_interval_for_some_keys(spark, method):
+def test_flag_in_interval_for_some_keys(spark):
     far = datetime(2150, 1, 1)
     stays = spark.createDataFrame([(1, ORIGIN, far), (2, ORIGIN, far)], "k int, a timestamp_ntz, b timestamp_ntz")
     facts = [(1, datetime(2100, 5, 5)), (1, datetime(2150, 1, 2)), (1, None), (2, ORIGIN), (3, ORIGIN), (4, None)]
     facts += [(None, ORIGIN)]
     frame = spark.createDataFrame(facts * 2, "k int, t timestamp_ntz")
     keys = spark.createDataFrame([(1,), (3,), (9,)], "k int")
-    got = op.flag_in_interval(frame, stays, "k", "t", "a", "b", method=method, only=keys)
+    got = op.flag_in_interval(frame, stays, "k", "t", "a", "b", only=keys)
     want = [(1, facts[0][1], 1), (1, facts[1][1], 0), (1, None, 0), (3, ORIGIN, 0)] * 2
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
@@ -86,9 +87,36 @@ def test_one_key_with_a_third_of_everything(spark):
         assert flag == int(any(a <= t <= b for a, b in near)), (k, t, near)
 
 
-def test_unknown_method():
-    with pytest.raises(ValueError):
-        op.flag_in_interval(None, None, "k", "t", "a", "b", method="other")
+@pytest.mark.parametrize("step", ["microseconds", "seconds", "none"])
+def test_one_key_with_everything_in_one_hour(spark, step):
+    """A thousand million pairs share key and hour; starts may also all be the same."""
+    n = 32_000
+    micros = {"microseconds": 1, "seconds": 1_000_000 // 10, "none": 0}[step]
+    place = lambda factor: (F.col("id") * factor % n) * micros
+    later = lambda c: (F.lit(ORIGIN).cast("timestamp_ntz") + F.make_dt_interval(secs=(c / 1_000_000).cast("decimal(18,6)")))
+    facts = spark.range(n).select("id", F.lit(1).alias("k"), place(7919).alias("p")).withColumn("t", later(F.col("p")))
+    stays = spark.range(n).where("id % 5 < 2").select(F.lit(1).alias("k"), place(7717).alias("p"))
+    stays = stays.withColumns({"a": later(F.col("p")), "b": later(F.col("p") + micros * (F.col("p") % 2))})
+    got = op.flag_in_interval(facts, stays.select("k", "a", "b"), "k", "t", "a", "b").toPandas()
+    assert len(got) == n
+    covered = set()
+    for r in stays.select("p").distinct().collect():
+        covered.update((r["p"], r["p"] + micros * (r["p"] % 2)))
+    assert (got["in_interval"] == got["p"].isin(covered).astype(int)).all()
+
+
+def test_intervals_over_many_hours_are_carried_over(spark):
+    """Ends far away, hours without a start, a long interval behind a short later one."""
+    hours = lambda n: ORIGIN + timedelta(hours=n)
+    stays = [(1, hours(0), hours(3000)), (1, hours(2), hours(3)), (2, hours(0.2), hours(0.9)), (2, hours(0.5), hours(0.6)), (2, hours(30), hours(30))]
+    stays += [(3, hours(0), datetime(9999, 12, 31)), (None, hours(0), hours(9))]
+    facts = [(1, hours(n), int(n <= 3000)) for n in (0, 2.5, 4, 700, 3000, 3000.001)] + [(1, hours(-1), 0)]
+    facts += [(2, hours(n), f) for n, f in ((0.1, 0), (0.2, 1), (0.55, 1), (0.9, 1), (0.95, 0), (5, 0), (30, 1), (31, 0))]
+    facts += [(3, datetime(9000, 1, 1), 1), (None, hours(1), 0), (3, None, 0)]
+    frame = spark.createDataFrame(facts, "k int, t timestamp_ntz, want int")
+    got = op.flag_in_interval(frame, spark.createDataFrame(stays, "k int, a timestamp_ntz, b timestamp_ntz"), "k", "t", "a", "b")
+    assert [r for r in got.collect() if r["want"] != r["in_interval"]] == []
+    assert got.count() == len(facts)
 
 
 def test_total_interval_days(spark):
@@ -117,8 +145,9 @@ def test_flag_by_codes(spark):
     assert sorted(tuple(r) for r in all_keys.collect())[2] == (3, 0, 0)
 
 
-@pytest.mark.parametrize("width", [0.25, 1.0, 1000.0])
-def test_quantiles_match_linear_interpolation(spark, width):
+@pytest.mark.parametrize("slices", [64, 1024])
+def test_quantiles_match_linear_interpolation(spark, monkeypatch, slices):
+    monkeypatch.setattr(quantile_module, "SLICES", slices)
     rng = random.Random(11)
     data = [("hot", rng.choice([0.0, 1.5, rng.gauss(10, 4), rng.expovariate(0.01)])) for _ in range(1500)]
     data += [(rng.choice("abcde"), round(rng.uniform(-3, 3), 1)) for _ in range(300)]
@@ -126,7 +155,7 @@ def test_quantiles_match_linear_interpolation(spark, width):
     frame = spark.createDataFrame(data, "g string, x double")
     probabilities = {"p0": 0.0, "q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9, "p100": 1.0}
     counts = op.value_counts(frame, ["g"], ["x"])
-    got = {r["g"]: r for r in op.quantiles(counts, ["g"], probabilities, width).collect()}
+    got = {r["g"]: r for r in op.quantiles(counts, ["g"], probabilities).collect()}
     values = defaultdict(list)
     for g, x in data:
         if x is not None and not math.isnan(x):
@@ -143,11 +172,60 @@ def test_quantiles_of_the_whole_frame(spark):
     assert [tuple(r) for r in got.collect()] == [(25.0, 50.0, 75.0)]
 
 
-@pytest.mark.parametrize("exact", [True, False])
-def test_numeric_profile(spark, exact):
+@pytest.mark.parametrize("kind", ["narrow", "integers", "outlier", "wide"])
+def test_quantiles_of_many_values_in_small_windows(spark, monkeypatch, kind):
+    """No window sees more rows than there are slices, wherever the values lie."""
+    n = 300_000
+    spread = F.pmod(F.xxhash64("id"), F.lit(n)).cast("double")
+    value = {
+        "narrow": spread * (0.3 / n),
+        "integers": spread,
+        "outlier": F.when(F.col("id") == 5, 1e300).otherwise(spread / n),
+        "wide": F.pow(F.lit(10.0), spread / n * 40 - 20) * F.when(F.col("id") % 2 == 0, -1).otherwise(1),
+    }[kind]
+    frame = spark.range(n).select(F.lit("g").alias("g"), value.alias("x"))
+    histograms = []
+    narrowed = quantile_module._narrowed
+
+    def watched(*args):
+        found = narrowed(*args)
+        # the rows that the window sees are the rows of the histogram below the join
+        histograms.append(found)
+        return found
+
+    monkeypatch.setattr(quantile_module, "_narrowed", watched)
+    probabilities = {"p0": 0.0, "q1": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "p100": 1.0}
+    got = op.quantiles(op.value_counts(frame, ["g"], ["x"]), ["g"], probabilities).collect()
+    values = np.array([r[0] for r in frame.select("x").collect()])
+    want = np.quantile(values, list(probabilities.values()))
+    assert len(got) == 1
+    assert list(got[0])[1:] == pytest.approx(want, rel=1e-12)
+    assert 1 <= len(histograms) <= (20 if kind == "wide" else 4)
+
+
+def test_slices_are_few_and_grow_with_the_value(spark):
+    edges = [-math.inf, -1.7e308, -5.0, -5e-324, 0.0, 5e-324, 1e-300, 1.0, 1.0000000000000002, 1e308, 1.7e308, math.inf]
+    for low in edges:
+        for high in edges:
+            if low < high:
+                inside = [v for v in edges if low <= v <= high]
+                frame = spark.createDataFrame([(v, low, high) for v in inside], "v double, l double, h double").coalesce(1)
+                got = [r[0] for r in frame.select(quantile_module._slice(F.col("v"), F.col("l"), F.col("h"))).collect()]
+                assert got == sorted(got) and got[0] < got[-1] and -1 <= got[0] and got[-1] <= quantile_module.SLICES + 2
+
+
+def test_infinite_values_are_values(spark):
+    inf = math.inf
+    data = [("a", x) for x in (-inf, -inf, 1.0, 2.0, 3.0, inf, inf)] + [("b", inf), ("c", -inf), ("c", inf), ("c", 0.0)]
+    frame = spark.createDataFrame(data, "g string, x double")
+    got = {r["g"]: tuple(r)[1:] for r in op.quantiles(op.value_counts(frame, ["g"], ["x"]), ["g"]).collect()}
+    assert got["a"][1] == 2.0 and got["b"] == (inf, inf, inf) and got["c"][1] == 0.0
+
+
+def test_numeric_profile(spark):
     xs = [float(x) for x in range(1, 102)] + [None, None]
     frame = spark.createDataFrame([(x,) for x in xs], "x double")
-    row = op.numeric_profile(frame, "x", exact).first().asDict()
+    row = op.numeric_profile(frame, "x").first().asDict()
     assert row == {
         "min": 1.0, "q25": 26.0, "median": 51.0, "q75": 76.0, "max": 101.0, "mean": 51.0,
         "sd": round(float(np.std([x for x in xs if x], ddof=1)), 2), "n": 101, "n_missing": 2,
@@ -204,6 +282,30 @@ def test_crosstab_keeps_undeclared_levels_and_drops_missing_groups(spark):
     }
 
 
+def test_crosstab_by_a_number(spark):
+    """The column variable keeps its type, and declared levels need no local rows."""
+    frame = spark.createDataFrame([("x", 0), ("x", 1), ("y", 1), ("z", 7)], "a string, g int")
+    table = op.crosstab(frame, ["a"], "g", {0: "zero", 1: "one"}, {"a": ("x", "w")})
+    got = {r["level"]: (r["position"], r["n_zero"], r["n_one"]) for r in table.collect()}
+    assert got == {"x": (1, 1, 1), "w": (2, 0, 0), "y": (None, 0, 1)}
+    bare = op.crosstab(frame, ["a"], "g", {0: "zero", 1: "one"}, {"a": ()})
+    assert {r["level"] for r in bare.collect()} == {"x", "y"}
+
+
+def test_unit_totals(spark):
+    data = [(1, "d", "5", "mg", 1), (1, "d", "7", "mg", 0), (2, "d", "x", None, 1), (2, "d", "9", "ml", None), (None, "d", "1", "mg", 1), (3, None, "2", "mg", 0)]
+    frame = spark.createDataFrame(data, "hadm_id int, drug string, dose_val_rx string, dose_unit_rx string, in_icu int")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in op.unit_totals(frame).collect()}
+    assert got == {
+        ("d", None, 0): (5, 2, 5.5, 0.75),
+        ("d", "mg", 1): (3, 1, 13 / 3, 2 / 3),
+        ("d", None, 1): (1, 1, None, 1.0),
+        ("d", "ml", 1): (1, 1, 9.0, None),
+        (None, None, 0): (1, 1, 2.0, 0.0),
+        (None, "mg", 1): (1, 1, 2.0, 0.0),
+    }
+
+
 def test_range_checks(spark):
     frame = spark.createDataFrame([(-1.0, 89), (0.0, 5), (2.0, None), (None, 89)], "d double, age int")
     row = op.range_checks(frame, ["d"], "age", 89).first().asDict()
