@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources import freeze, snapshot_folder, thaw
+from ..sources import scratch
 
 #: Bits of a bit filter at most: 4 MB, whatever the number of keys.
 MOST_BITS = 1 << 25
@@ -19,7 +19,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends here."""
-    return thaw(df.sparkSession, freeze(df, snapshot_folder(df.sparkSession, label)))
+    return scratch(df, label)
 
 
 def bit_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> np.ndarray:
@@ -55,6 +55,11 @@ def shared(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
+def row_key(columns: list[str]) -> Column:
+    """A 64-bit hash of a whole row; rows with the same key are the same row."""
+    return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers (the finaliser of splitmix64, a bijection)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -77,3 +82,23 @@ def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> Data
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))
     suspects = docs.where(maybe(key)).alias("d").join(ids.alias("gone"), F.col(f"d.{doc_id}") == F.col("gone.doc_id"), "left_anti")
     return docs.where(~maybe(key)).union(suspects)
+
+
+def one_of_each(docs: DataFrame, gone: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``gone``, and once those in ``repeated``.
+
+    ``gone`` and ``repeated`` have one column, ``key``; no key is in both. All rows of a
+    repeated key are the same row. Only rows that a bit filter lets pass are shuffled.
+    """
+    bits = shared(docs.sparkSession, bit_filter(gone.union(repeated), key))
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, keys.to_numpy(dtype=np.int64)))
+
+    suspects = docs.where(maybe(F.col(key)))
+    wide = suspects.join(repeated.withColumnRenamed(key, "_once"), F.col(key) == F.col("_once"), "left")
+    wide = wide.join(gone.withColumnRenamed(key, "_gone"), F.col(key) == F.col("_gone"), "left").where("_gone is null")
+    many = wide.where("_once is null").select(*docs.columns)
+    once = wide.where("_once is not null").select(*docs.columns).dropDuplicates([key])
+    return docs.where(~maybe(F.col(key))).union(many).union(once)

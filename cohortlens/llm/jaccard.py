@@ -35,12 +35,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bit_filter, mixed, passes, shared, written
+from .common import bit_filter, mixed, one_of_each, passes, row_key, shared, written
 from .components import components
-from .shingles import SHINGLE, set_signature, shingle_sets
+from .shingles import SHINGLE, set_signature, shingle_sets, slices
 
 SETS = "doc_id long, n int, sig long, bits binary"
 INDEX = "key long, sig long, n int, tail int, rank long"
@@ -49,6 +50,8 @@ FREQUENT = 16
 MOST_FREQUENT = 1 << 21
 #: A task reports a token to the frequency count from this number of its own sets on.
 LOCAL = 3
+#: Tokens or postings that a task holds before it hands them on: 4 MB of each column.
+AT_ONCE = 1 << 19
 #: Bits of the parity bitmap of a set: at least these, and as many as it has tokens.
 LEAST_BITS = 512
 #: Sets above this size index frequent tokens alone.
@@ -69,11 +72,11 @@ def _parities(tokens: np.ndarray) -> bytes:
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(len(s), set_signature(s), _parities(s)) for s in shingle_sets(batch.column(1), k)]
+        for part in (part for batch in batches for part in slices(batch, 1)):
+            found = [(len(s), set_signature(s), _parities(s)) for s in shingle_sets(part.column(1), k)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    part.column(0),
                     pa.array([f[0] for f in found], pa.int32()),
                     pa.array([f[1] for f in found], pa.int64()),
                     pa.array([f[2] for f in found], pa.binary()),
@@ -87,26 +90,35 @@ def _sets(k: int):
 def _distinct_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, int]]:
     """Each different non-empty set of a batch once."""
     seen = set()
-    for tokens in shingle_sets(batch.column(1), k):
-        if len(tokens) and (sig := set_signature(tokens)) not in seen:
-            seen.add(sig)
-            yield tokens, sig
+    for part in slices(batch, 1):
+        for tokens in shingle_sets(part.column(1), k):
+            if len(tokens) and (sig := set_signature(tokens)) not in seen:
+                seen.add(sig)
+                yield tokens, sig
 
 
 def _common(k: int):
     def run(batches):
         for batch in batches:
-            sets = [tokens for tokens, _ in _distinct_sets(batch, k)]
+            sets, held = [], 0
+            for tokens, _ in _distinct_sets(batch, k):
+                sets.append(tokens)
+                held += len(tokens)
+                if held > AT_ONCE:
+                    yield _counted(sets)
+                    sets, held = [], 0
             if sets:
-                tokens, n = np.unique(np.concatenate(sets), return_counts=True)
-                keep = n >= LOCAL
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"]
-                )
+                yield _counted(sets)
 
     return run
 
 
+def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+    tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+    keep = n >= LOCAL
+    return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["token", "n"])
+
+
 def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
     """A bit filter of the tokens that many sets hold. ``texts``: id, text."""
     counted = texts.mapInArrow(_common(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -164,7 +176,7 @@ def _index(k: int, percent: int, often, wanted=None):
                     own, tails = own[keep], tails[keep]
                 parts.append((own, tails, sig, len(tokens), _rank(int((~frequent).sum()), len(tokens), sig)))
                 held += len(own)
-                if held > 1 << 19:
+                if held > AT_ONCE:
                     yield _rows(parts)
                     parts, held = [], 0
             if held:
@@ -196,23 +208,34 @@ def _key_counts(k: int, percent: int, often):
 
 
 def _wanted_sets(k: int, wanted):
-    """The sets of rows whose id passes a bit filter."""
+    """The different sets whose signature passes a bit filter."""
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0).fill_null(-1), dtype=np.int64)
-            batch = batch.filter(pa.array(passes(wanted.value, ids)))
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                sets = list(shingle_sets(part.column(1), k))
+            for part in slices(batch, 1):
+                sets = {set_signature(s): s for s in shingle_sets(part.column(1), k) if len(s)}
+                sigs = np.fromiter(sets, dtype=np.int64, count=len(sets))
+                sigs = sigs[passes(wanted.value, sigs)].tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [pa.array(sigs, pa.int64()), pa.array([sets[s].tobytes() for s in sigs], pa.binary())],
                     ["sig", "tokens"],
                 )
 
     return run
 
 
+def _token_lists(texts: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
+    """``sig, tokens``, one row for each of ``sigs``, written once for all verifications.
+
+    Rows that repeat a set are one row from here on, so that no pair is made of copies.
+    """
+    wanted = shared(texts.sparkSession, bit_filter(sigs, "sig"))
+    found = texts.mapInArrow(_wanted_sets(k, wanted), "sig long, tokens binary").dropDuplicates(["sig"])
+    out = written(found, "token_lists")
+    wanted.destroy()
+    return out
+
+
 def _linked(percent: int):
     def run(batches):
         for batch in batches:
@@ -251,17 +274,21 @@ def _possible(percent: int):
     return run
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(lists: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) of signatures that are similar enough."""
-    spark = texts.sparkSession
-    needed = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(ids, "sig")
-    needed = written(needed.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), "needed")
-    wanted = shared(spark, bit_filter(needed, "doc_id"))
-    sets = texts.mapInArrow(_wanted_sets(k, wanted), "sig long, tokens binary").where(F.length("tokens") > 0)
-    left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("right"))
+    wanted = shared(lists.sparkSession, bit_filter(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig"))
+
+    @F.pandas_udf("boolean")
+    def met(sigs: pd.Series) -> pd.Series:
+        return pd.Series(passes(wanted.value, sigs.to_numpy(dtype=np.int64)))
+
+    near = lists.where(met("sig"))
+    left = near.select(F.col("sig").alias("a"), F.col("tokens").alias("left"))
+    right = near.select(F.col("sig").alias("b"), F.col("tokens").alias("right"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return written(joined.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    out = written(joined.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    wanted.destroy()
+    return out
 
 
 def _with_partners(held: DataFrame, percent: int) -> DataFrame:
@@ -289,10 +316,13 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
     often = shared(spark, frequent_tokens(texts, k))
     counts = texts.mapInArrow(_key_counts(k, percent, often), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     met = bit_filter(written(counts.where("n > 1").select("key"), "keys"), "key")
-    index = texts.mapInArrow(_index(k, percent, often, shared(spark, met)), INDEX)
+    kept = shared(spark, met)
+    index = texts.mapInArrow(_index(k, percent, often, kept), INDEX)
     held = written(index.groupBy("key", "sig").agg(*[F.max(c).alias(c) for c in ("n", "tail", "rank")]), "postings")
-    ids = written(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits")), "ids")
-    links, placed, leaders = None, None, 1
+    for done in (often, kept):
+        done.destroy()
+    ids = written(sets.where("n > 0").groupBy("sig").agg(F.min("bits").alias("bits")), "ids")
+    links, placed, leaders, lists = None, None, 1, None
 
     def merged(found: DataFrame):
         both = found if links is None else written(links.union(found), "links")
@@ -308,6 +338,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         held = _with_partners(held, percent)
         if leaders == 1:  # without a window, so that a hot key is aggregated before it moves
             held = written(held, "postings")
+            lists = _token_lists(texts, held.select("sig").distinct(), k)
             first = held.groupBy("key").agg(F.min_by("sig", "rank").alias("first"))
             held = written(held.join(first, "key"), "postings")
             held = held.withColumn("place", F.when(F.col("sig") == F.col("first"), 1).otherwise(2))
@@ -335,14 +366,14 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         pairs = written(pairs.mapInArrow(_possible(percent), "a long, b long, rank long"), "pairs")
         # one partner for each set first; after that only what is still apart
         tried = written(pairs.groupBy("b").agg(F.min_by("a", "rank").alias("a")), "pairs")
-        links, placed = merged(_verified(texts, tried, ids, k, percent))
+        links, placed = merged(_verified(lists, tried, percent))
         left = pairs.select("a", "b").join(tried, ["a", "b"], "left_anti")
         for side in ("a", "b"):
             place = placed.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
             left = left.join(place, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
         left = written(left.where("ra <> rb").select("a", "b"), "pairs")
         if not left.isEmpty():
-            links, placed = merged(_verified(texts, left, ids, k, percent))
+            links, placed = merged(_verified(lists, left, percent))
         held = held.where(F.col("place") > leaders).select("key", "sig", "n", "tail", "rank")
         leaders *= 16
     return placed if placed is not None else spark.createDataFrame([], "node long, root long")
@@ -371,3 +402,26 @@ def near_duplicate_components(
     full = sets.where("n > 0").join(named, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(alone)
+
+
+def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one for each component of similar texts.
+
+    The row with the smallest id stays; rows without an id come last, and among rows of
+    one id the one with the smallest hash stays. Rows are told apart by a 64-bit hash of
+    all their columns, not by their id, so different texts under one id are different
+    documents, and rows that are equal in every column are one. Rows without words are
+    similar to nothing: all of them stay, repeated ones too.
+    """
+    keyed = docs.withColumn("_row", row_key(docs.columns))
+    found = near_duplicate_components(keyed, "_row", text, k, percent).where("n_shingles > 0")
+    counted = found.groupBy(F.col("doc_id").alias("_row"), "component_id").agg(F.count("*").alias("copies"))
+    ids = keyed.select(F.col("_row").alias("of"), F.col(doc_id).cast("long").alias("id")).distinct()
+    counted = written(counted.join(ids, F.col("_row") == F.col("of")), "rows")
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("_row").alias("stays")))
+    leaders = counted.groupBy(F.col("component_id").alias("component")).agg(first.alias("first"))
+    placed = counted.join(leaders, F.col("component_id") == F.col("component"))
+    placed = written(placed.select("_row", "copies", (F.col("first.stays") == F.col("_row")).alias("stays")), "rows")
+    gone = placed.where("not stays").select("_row")
+    repeated = placed.where("stays and copies > 1").select("_row")
+    return one_of_each(keyed, gone, repeated, "_row").drop("_row")

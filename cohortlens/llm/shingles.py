@@ -22,6 +22,26 @@ SHINGLE = tuple(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16))
 PIECE = 1 << 21
 
 
+#: Bytes of text that are shingled at a time; what a text needs is about ten times its size.
+SLICE_BYTES = 1 << 21
+
+
+def slices(batch: pa.RecordBatch, column: int | str, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about as many bytes of text, one row at least.
+
+    What is built from a piece can be dropped before the next, so memory does not follow
+    the number of rows that happen to come in one batch.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0)
+    upto = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        before = upto[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(upto, before + most_bytes, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the offsets between them; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -76,6 +76,43 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows)
 
 
+def test_jaccard_join_of_many_copies_makes_no_pairs_of_them(spark, monkeypatch):
+    """Two similar sets, thousands of rows of each, under one id and under many."""
+    met = []
+    linked = jaccard._linked
+
+    def counted(percent):
+        run = linked(percent)
+
+        def counting(batches):
+            for batch in batches:
+                assert batch.num_rows <= 1  # one pair of sets, however many rows hold them
+                yield from run(iter([batch]))
+
+        met.append(percent)
+        return counting
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    one = prose(1, 60)
+    other = near(one, [3])
+    rows = [(7 if i % 2 else i, one if i % 3 else other, "en") for i in range(6000)]
+    got = jaccard.near_duplicate_components(documents(spark, rows)).collect()
+    assert met and len(got) == 6000 and {r["component_id"] for r in got} == {0}
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from cohortlens.llm.shingles import slices
+
+    texts = ["a" * 10, None, "", "é" * 50, "b" * 1000, "c"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = list(slices(batch, "text", 120))
+    assert [t for part in parts for t in part.column(0).to_pylist()] == texts
+    assert all(part.num_rows == 1 or sum(len((t or "").encode()) for t in part.column(0).to_pylist()) <= 120 for part in parts)
+    assert len(parts) == 7 and list(slices(batch.slice(0, 0), 0)) == []
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard.near_duplicate_components(documents(spark, [])).collect() == []
 
@@ -149,6 +186,17 @@ def test_levenshtein_product_equals_distance():
     assert found["lostraxyz"] > 0 > found["lotraxyz"]
 
 
+def test_sample_of_an_id_with_many_texts_stays_bounded(spark, monkeypatch):
+    """One labelled id holds a third of all rows: different texts, and one text over and over."""
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 50)
+    rows = [(1, prose(i, 12), "en") for i in range(400)] + [(1, prose(0, 12), "en")] * 400
+    rows += [(i, prose(i, 12) + " " + BAD[i % 3], "en") for i in range(2, 60)]
+    labels = spark.createDataFrame([(i, 1, int(i > 1)) for i in range(1, 60)] + [(1, 1, 0)], "doc_id long, quality int, toxic int")
+    sample = toxicity._labelled(documents(spark, rows), labels).groupBy("toxic").count().collect()
+    sizes = {r["toxic"]: r["count"] for r in sample}
+    assert 10 <= sizes[0] <= 120 and 20 <= sizes[1] <= 58
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, [(1, "idiot", "en")])
     model = toxicity.learn_toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
@@ -221,14 +269,26 @@ def test_licences(spark):
         assert tuple(got[i])[1:6] == brute_licence(text)
         assert set(filter(None, got[i]["base_labels"].split(","))) <= set(got[i]["labels"].split(","))
         assert 0 <= got[i]["score"] <= 1
-    assert (got[5]["permissive"], got[6]["permissive"], got[7]["permissive"]) == (True, False, None)
+    assert (got[5]["permissive"], got[6]["permissive"], got[7]["permissive"]) == (True, False, True)
     assert got[5]["labels"] == "apache-2.0,gpl-2.0-only,mit"
 
 
 def test_shunting_yard_binds_with_before_and_before_or():
-    assert licences.to_postfix("a OR b AND c WITH d") == ["a", "b", "c", "d", "with", "and", "or"]
-    assert licences.to_postfix("(a or b) and c") == ["a", "b", "or", "c", "and"]
-    assert [licences.to_postfix(x) for x in ("", "a b", "(a", "a)", "and a", "a or")] == [None] * 6
+    assert licences.to_postfix("MIT OR ISC AND GPL-2.0-only WITH GCC-exception-3.1") == ["mit", "isc", "gpl-2.0-only", "gcc-exception-3.1", "with", "and", "or"]
+    assert licences.to_postfix("(mit or isc) and zlib") == ["mit", "isc", "or", "zlib", "and"]
+    assert [licences.to_postfix(x) for x in ("", "(mit", "and mit", "banana", ")")] == [None] * 5
+    value = licences.evaluate(licences.to_postfix("GPL-2.0-only WITH Classpath-exception-2.0"))
+    assert value == ({"gpl-2.0-only", "classpath-exception-2.0"}, False)
+
+
+def test_expression_ends_at_the_first_token_that_cannot_continue_it():
+    ends = {
+        "MIT, see file": ["mit"], "GPL-2.0-only /* x */": ["gpl-2.0-only"], "Apache-2.0 -- text": ["apache-2.0"], "MIT.": ["mit"],
+        "NOT-A-LICENSE AND banana": [], "MIT AND banana": ["mit"], "MIT Apache-2.0": ["mit"], "MIT)": ["mit"], "MIT OR (ISC": ["mit"],
+        "(MIT OR ISC) file": ["(", "mit", "or", "isc", ")"], "MIT WITH nothing": ["mit"], "GPL-2.0+ OR MIT": ["gpl-2.0+", "or", "mit"],
+        "CC-BY-NC-SA-4.0-->": ["cc-by-nc-sa-4.0"], "LicenseRef-our.own AND 0BSD": ["licenseref-our.own", "and", "0bsd"],
+    }
+    assert {text: licences.expression_tokens(text) for text in ends} == ends
 
 
 def test_warc_round_trip(spark):
@@ -401,3 +461,27 @@ def test_mixing_with_gaps(spark):
     assert sample.count() == kept.count() > 0
     assert sample.where("probability > 1 or weight < 1").count() == 0
     assert mixing.keep_mixed(docs.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_drawn_by_their_text(spark):
+    rows = [(None, prose(i, 30), "en") for i in range(400)] + [(i, prose(i, 30), "en") for i in range(400)]
+    docs = documents(spark, rows)
+    got = mixing.mix_sample(docs, drawn=0.5).collect()
+    for part in ([r for r in got if r["doc_id"] is None], [r for r in got if r["doc_id"] is not None]):
+        assert 120 <= len(part) <= 280
+    kept = mixing.keep_mixed(docs, drawn=0.5)
+    assert kept.columns == docs.columns and 120 <= kept.where("doc_id is null").count() <= 280
+
+
+def test_drawn_token_shares_follow_the_probabilities(spark):
+    rows = [(i, prose(i, 40), ["en", "de", "fr"][min(i % 10, 2)]) for i in range(3000)]
+    got = mixing.mix_sample(documents(spark, rows), drawn=0.3).collect()
+    cells = {tuple(r)[:3]: r for r in mixing.mix_probabilities(documents(spark, rows), drawn=0.3).collect()}
+    weighted = {}
+    for r in got:
+        key = (r["source"], r["lang"], r["topic"])
+        assert r["probability"] == cells[key]["probability"]
+        weighted[key] = weighted.get(key, 0) + r["n_tokens"]
+    for key, cell in cells.items():
+        want = cell["tokens"] * cell["probability"]
+        assert abs(weighted.get(key, 0) - want) <= 5 * (40 * want) ** 0.5 + 40
