@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import held_out, mixed, shared, written
-from .shingles import shingle_sets
+from .shingles import shingle_sets, slices
 
 #: Bounds of the labelled sample (documents of either class) and of the lexicon.
 SAMPLE_TOXIC, SAMPLE_CLEAN, TERMS = 5_000, 15_000, 1_000
@@ -31,8 +31,6 @@ STEMS = range(4, 9)
 FUZZY_FROM, FUZZY_STEM = 5, 6
 #: A misspelt term counts by this share of its weight.
 MISSPELT = 0.5
-#: Words one letter off a term that clean labelled texts hold, at most.
-INNOCENT = 50_000
 LONGEST = 64
 WINDOW_WORDS, WINDOW_CHARS = 6, 120
 WORD = re.compile(r"\w+")
@@ -56,9 +54,9 @@ def features_of(text: str) -> set[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in (part for batch in batches for part in slices(batch, "text")):
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, toxic in zip(batch.column("text"), batch.column("toxic")):
+        for text, toxic in zip(part.column("text"), part.column("toxic")):
             found[toxic.as_py()].update(features_of(text.as_py() or ""))
         names = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_arrays(
@@ -224,32 +222,42 @@ def _quoted(before: str, behind: str) -> bool:
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text, toxic`` of a bounded sample of labelled rows that are not held out.
 
-    Drawn by a hash of the id at a rate that gives about the bound of either class;
-    contradicting labels of an id count as toxic.
+    Drawn by a hash of id and text at a rate that gives about the bound of either class,
+    so an id with many texts gives no more rows than others; repeated rows are one row.
+    Contradicting labels of an id count as toxic.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = dict(known.groupBy("toxic").count().collect())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    row = F.xxhash64("doc_id", "text", F.col("text").isNull())
+    # only ids and hashes are shuffled here; texts are read again where a row was drawn
+    different = rows.select("doc_id", row.alias("row")).distinct()
+    found = written(different.join(known, "doc_id").select("row", "toxic"), "labelled")
+    sizes = dict(found.groupBy("toxic").count().collect())
+    draw = F.pmod(F.xxhash64("row", F.lit("toxic")), F.lit(1 << 30))
     rate = F.lit(0)
     for toxic, bound in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC)):
         share = int(min(1.0, bound / max(1, sizes.get(toxic, 0))) * (1 << 30))
         rate = F.when(F.col("toxic") == toxic, F.lit(share)).otherwise(rate)
-    drawn = known.where(draw < rate)  # about SAMPLE_CLEAN + SAMPLE_TOXIC rows at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    drawn = rows.join(F.broadcast(drawn), "doc_id")
-    return _one_of_copies(written(drawn.mapInArrow(_signed, "text string, toxic int, row long, m0 long, m1 long, m2 long"), "sample"))
+    drawn = found.where(draw < rate)  # about SAMPLE_CLEAN + SAMPLE_TOXIC rows at most
+    texts = rows.where("doc_id is not null").where(~held_out()).select(row.alias("row"), "text")
+    picked = texts.join(F.broadcast(drawn), "row")
+    signed = picked.mapInArrow(_signed, "text string, toxic int, row long, m0 long, m1 long, m2 long")
+    return _one_of_copies(written(signed.dropDuplicates(["row"]), "sample"))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Least hashes of the shingles of a text, under three hash functions."""
-    for batch in batches:
-        least = np.zeros((3, batch.num_rows), dtype=np.uint64)
-        for i, tokens in enumerate(shingle_sets(batch.column("text"), 5)):
+    """Least hashes of the shingles of a text, under three hash functions; a task gives a row once."""
+    seen: set[int] = set()
+    for part in (part for batch in batches for part in slices(batch, "text")):
+        new = [i for i, row in enumerate(part.column("row").to_pylist()) if row not in seen and not seen.add(row)]
+        part = part.take(pa.array(new, pa.int64()))
+        least = np.zeros((3, part.num_rows), dtype=np.uint64)
+        for i, tokens in enumerate(shingle_sets(part.column("text"), 5)):
             for k in range(3):
                 least[k, i] = mixed(tokens ^ np.uint64(k)).min(initial=np.uint64(2**64 - 1))
-        columns = [batch.column("text"), batch.column("toxic"), batch.column("doc_id"), *(pa.array(m.view(np.int64)) for m in least)]
+        columns = [part.column("text"), part.column("toxic"), part.column("row"), *(pa.array(m.view(np.int64)) for m in least)]
         yield pa.RecordBatch.from_arrays(columns, ["text", "toxic", "row", "m0", "m1", "m2"])
 
 
@@ -317,21 +325,24 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
     lexicon = shared(docs.sparkSession, model.lexicon)
 
     def near_words(batches):
-        for batch in batches:
-            words = list(set().union(*(WORD.findall((t or "").lower()) for t in batch.column("text").to_pylist())))
+        for part in (part for batch in batches for part in slices(batch, "text")):
+            words = list(set().union(*(WORD.findall((t or "").lower()) for t in part.column("text").to_pylist())))
             yield pa.RecordBatch.from_arrays([pa.array([w for w, k in zip(words, lexicon.value.match(words)) if k < 0], pa.string())], ["word"])
 
-    near = sample.where("toxic = 0").mapInArrow(near_words, "word string").distinct().orderBy("word").limit(INNOCENT)
+    # no more words than the sample holds and than there are one letter off a term
+    near = sample.where("toxic = 0").mapInArrow(near_words, "word string").distinct()
     model.innocent = frozenset(r["word"] for r in near.collect())
     held = shared(docs.sparkSession, model)
 
     def signal_rows(batches):
-        for batch in batches:
-            x = held.value.signals(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(c) for c in x.T)], ["toxic", "a", "b", "c", "d"])
+        for part in (part for batch in batches for part in slices(batch, "text")):
+            x = held.value.signals(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(c) for c in x.T)], ["toxic", "a", "b", "c", "d"])
 
     kinds = "toxic int, a double, b double, c double, d double"
     grouped = sample.mapInArrow(signal_rows, kinds).toPandas()
+    for done in (lexicon, held):
+        done.destroy()
     y = grouped["toxic"].to_numpy(float)
     model.coefficients = fit_logistic(design(grouped[["a", "b", "c", "d"]].to_numpy(float)), y)
     return model
@@ -351,8 +362,7 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(low, TEXTS)
+            for part in slices(batch, 2):
                 x = held.value.signals(part.column(2).to_pylist())
                 score = held.value.probability(x)
                 columns = [score, (score >= 0.5).astype(np.int32), x[:, 0], x[:, 1], x[:, 2]]
