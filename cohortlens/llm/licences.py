@@ -46,53 +46,79 @@ PERMISSIVE = re.compile(
 )
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
+# Forms of published identifiers, by family, and of exceptions.
+IDENTIFIER = re.compile(
+    r"mit(-0|-cmu|-modern-variant|-open-group)?|isc|zlib|unlicense|wtfpl|x11|ntp|curl|postgresql|libpng(-2\.0)?|openssl|vim|beerware"
+    r"|apache-(1\.0|1\.1|2\.0)|0bsd|bsd-(1|2|3|4)-clause(-[a-z]+)*|bsl-1\.0|busl-1\.1|sspl-1\.0|ms-(pl|rl)|psf-2\.0|python-2\.0(\.1)?"
+    r"|(a|l)?gpl-[123]\.[01](-only|-or-later|\+)?|mpl-(1\.0|1\.1|2\.0)(-no-copyleft-exception)?|epl-[12]\.0|eupl-1\.[012]|cddl-1\.[01]|cpl-1\.0"
+    r"|cc0-1\.0|cc-by(-nc)?(-sa|-nd)?-[1234]\.[05]|cc-pddc|ofl-1\.[01]|odbl-1\.0|odc-by-1\.0|pddl-1\.0|gfdl-1\.[123](-only|-or-later)?"
+    r"|artistic-(1\.0(-perl)?|2\.0)|afl-[123]\.[01]|ecl-[12]\.0|osl-[123]\.[01]|mulanpsl-[12]\.0|upl-1\.0|unicode-(3\.0|dfs-201[56])|ruby|php-3\.0[1]?"
+    r"|(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
+)
+EXCEPTION = re.compile(r"[a-z0-9.-]*-exception(-[a-z0-9.-]+)?|linux-syscall-note|additionref-[a-z0-9.-]+")
+TOKEN = re.compile(r"\s*([()]|[a-z0-9]+(?:[.:-]+[a-z0-9]+)*\+?)")
 BINDING = {"or": 1, "and": 2, "with": 3}
 
 
+def expression_tokens(text: str) -> list[str]:
+    """Tokens of the expression that a text begins with.
+
+    It ends before the first token that cannot continue it: a word that is no published
+    identifier, an operator without a left side, a bracket that closes nothing. What is
+    left open there goes too, so the result is a whole expression or empty.
+    """
+    tokens: list[str] = []
+    depth, whole, at, text = 0, 0, 0, text.translate(LOWER)
+    while found := TOKEN.match(text, at):
+        token, before = found[1], tokens[-1] if tokens else ""
+        after_operand = bool(tokens) and before != "(" and before not in BINDING
+        if token == "(":
+            fits = not after_operand and before != "with"
+        elif token == ")":
+            fits = after_operand and depth > 0
+        elif token in BINDING:
+            fits = after_operand and (token != "with" or before != ")")
+        else:
+            fits = not after_operand and bool((EXCEPTION if before == "with" else IDENTIFIER).fullmatch(token))
+        if not fits:
+            break
+        depth += (token == "(") - (token == ")")
+        tokens.append(token)
+        at = found.end()
+        if depth == 0 and token != "(" and token not in BINDING:
+            whole = len(tokens)
+    return tokens[:whole]
+
+
 def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: identifiers and operators in postfix order; None if malformed.
+    """Shunting-yard: identifiers and operators in postfix order; None without an expression.
 
-    ``with`` binds before ``and``, ``and`` before ``or``; case does not matter.
+    ``with`` binds before ``and``, ``and`` before ``or``; case does not matter. Text
+    behind the expression is left alone.
     """
     out: list[str] = []
     waiting: list[str] = []
-    operand_next = True
-    for token in TOKEN.findall(expression.translate(LOWER)):
+    for token in expression_tokens(expression):
         if token == "(":
-            if not operand_next:
-                return None
             waiting.append(token)
         elif token == ")":
-            if operand_next:
-                return None
-            while waiting and waiting[-1] != "(":
+            while waiting[-1] != "(":
                 out.append(waiting.pop())
-            if not waiting:
-                return None
             waiting.pop()
         elif token in BINDING:
-            if operand_next:
-                return None
             while waiting and BINDING.get(waiting[-1], 0) >= BINDING[token]:
                 out.append(waiting.pop())
             waiting.append(token)
-            operand_next = True
         else:
-            if not operand_next:
-                return None
             out.append(token)
-            operand_next = False
-    if operand_next or "(" in waiting:
-        return None
-    return out + waiting[::-1]
+    return out + waiting[::-1] or None
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], bool] | None:
     """Licence identifiers of an expression, and whether a permissive choice satisfies it.
 
     ``or`` is satisfied by either side, ``and`` by both; ``with`` adds an exception,
-    which only widens what its licence allows.
+    which is kept among the identifiers and only widens what its licence allows.
     """
     stack: list[tuple[set[str], bool]] = []
     for token in postfix:
@@ -103,7 +129,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool] | None:
             return None
         right, left = stack.pop(), stack.pop()
         if token == "with":
-            stack.append(left)
+            stack.append((left[0] | right[0], left[1]))
         else:
             free = left[1] or right[1] if token == "or" else left[1] and right[1]
             stack.append((left[0] | right[0], free))
@@ -150,7 +176,7 @@ def scan(text: str | None) -> tuple:
         ends = [m.end() for m in WORD.finditer(lower)]
         for last in tags:
             line = lower[ends[last] : _line_end(lower, ends[last])]
-            postfix = to_postfix(re.split(r"\*/|-->|#|;", line)[0])
+            postfix = to_postfix(line.lstrip(": \t"))
             value = evaluate(postfix) if postfix else None
             if value:
                 expressions.append(" ".join(postfix))
