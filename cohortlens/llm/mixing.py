@@ -40,7 +40,7 @@ def _described(docs: DataFrame, doc_id: str, text: str, source: str, lang: str)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), name(source).alias("source"), name(lang).alias("lang"),
-        topic_of(text).alias("topic"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+")).cast("long").alias("n_tokens"),
+        _seed(doc_id, text).alias("seed"), topic_of(text).alias("topic"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+")).cast("long").alias("n_tokens"),
     )
 
 
@@ -99,20 +99,26 @@ def mix_probabilities(
     )
 
 
-def _drawn(doc_id: Column, probability: Column) -> Column:
-    """A hash of the id decides, so a document is drawn or not whatever else there is."""
-    return F.pmod(F.xxhash64(doc_id, F.lit("mix")), F.lit(1 << 52)) < probability * F.lit(float(1 << 52))
+def _seed(doc_id: str, text: str) -> Column:
+    """What a draw depends on: the id, or the text where there is no id."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.lit("text"), F.col(text)))
+
+
+def _drawn(seed: Column, probability: Column) -> Column:
+    """A hash of the seed decides, so a document is drawn or not whatever else there is."""
+    return F.pmod(F.xxhash64(seed, F.lit("mix")), F.lit(1 << 52)) < probability * F.lit(float(1 << 52))
 
 
 def mix_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", **how) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, probability, weight`` of the drawn rows.
 
     A null source or language is a level ``(none)``; null and empty texts have no
-    tokens. Rows that repeat an id are drawn together. Other columns are ignored.
+    tokens. Rows that repeat an id are drawn together, rows without one by their text.
+    Other columns are ignored.
     """
     cells = mix_probabilities(docs, doc_id, text, source, lang, **how).drop("tokens")
     rows = _described(docs, doc_id, text, source, lang).join(cells, list(MARGINS))
-    rows = rows.where(_drawn(F.col("doc_id"), F.col("probability")))
+    rows = rows.where(_drawn(F.col("seed"), F.col("probability")))
     return rows.select("doc_id", *MARGINS, "n_tokens", "probability", "weight")
 
 
@@ -123,6 +129,6 @@ def keep_mixed(docs: DataFrame, **how) -> DataFrame:
     """
     cells = mix_probabilities(docs, **how)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    keyed = docs.select(F.struct("*").alias("_row"), name("source").alias("source"), name("lang").alias("lang"), topic_of("text").alias("topic"))
+    keyed = docs.select(F.struct("*").alias("_row"), _seed("doc_id", "text").alias("_seed"), name("source").alias("source"), name("lang").alias("lang"), topic_of("text").alias("topic"))
     rows = keyed.join(cells.select(*MARGINS, "probability"), list(MARGINS))
-    return rows.where(_drawn(F.col("_row.doc_id").cast("long"), F.col("probability"))).select("_row.*")
+    return rows.where(_drawn(F.col("_seed"), F.col("probability"))).select("_row.*")
