@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm.common import without_ids, written
-from cohortlens.llm.jaccard import near_duplicate_components
+from cohortlens.llm.common import row_key, without_ids, written
+from cohortlens.llm.jaccard import one_per_component
 from cohortlens.llm.mixing import keep_mixed
 from cohortlens.llm.shards import assign_shards
 from cohortlens.llm.templates import contaminated
@@ -23,15 +23,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without an id stay."""
-    found = near_duplicate_components(docs)
-    return without_ids(docs, written(found.where("doc_id <> component_id").select("doc_id"), "copies"))
+    """One row of each group stays: that with the smallest id, rows without one last.
+
+    Rows are told apart by all their columns, so different texts under one id are
+    different documents and a row that is there twice is a copy of itself. Rows
+    without words are in no group and stay.
+    """
+    return one_per_component(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without_ids(docs, written(found.select("doc_id").where("doc_id is not null").distinct(), "leaks"))
+    """Rows that hold a benchmark item go, whatever their id, and no others."""
+    keyed = docs.withColumn("_row", row_key(docs.columns))
+    texts = keyed.select(F.col("_row").alias("doc_id"), "text")
+    found = contaminated(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_ids(keyed, written(found.select("doc_id").distinct(), "leaks"), "_row").drop("_row")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
