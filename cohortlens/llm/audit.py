@@ -168,7 +168,10 @@ def failure_masks(
     # repeated rows become one, so that no id and no text is hot in what follows
     rows = rows.groupBy("id", "digest", "part", "mask").agg(F.count("*").alias("rows"))
     if copies is not None:
-        least = rows.groupBy("digest").agg(F.min("id").alias("id"), F.count("id").alias("ids")).where("ids > 1")
+        # looking at the counts too, this branch asks for the same rows as the join below,
+        # and texts are read once for both
+        least = rows.groupBy("digest").agg(F.min("id").alias("id"), F.count("id").alias("ids"), F.sum("rows").alias("held"))
+        least = least.where("ids > 1 and held > 1")
         # a text of one id keeps it; of the others only the row of the smallest id is no copy
         kept = least.select(F.col("digest").alias("of"), F.col("id").alias("least"))
         rows = _flag_copies(rows, kept, 1 << len(filters))
