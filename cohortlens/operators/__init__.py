@@ -2,6 +2,7 @@
 
 from .crosstab import crosstab
 from .exposures import (
+    ExposureColumns,
     dominant_value,
     dose_by_unit,
     dose_units_used,
@@ -28,6 +29,7 @@ from .quantiles import quantiles, value_counts
 from .strata import outcomes_by
 
 __all__ = [
+    "ExposureColumns",
     "cap_checks",
     "crosstab",
     "dominant_value",

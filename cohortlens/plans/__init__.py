@@ -3,6 +3,7 @@
 from .cohort import build_cohort, label_cohort, split_cohort
 from .exposures import build_exposures
 from .report import (
+    ReportConfig,
     demographics,
     freeze_report,
     outcomes,
@@ -17,6 +18,7 @@ from .titles import Titles, titled, titles_of
 from .views import create_views, view_checks
 
 __all__ = [
+    "ReportConfig",
     "Titles",
     "build_cohort",
     "build_exposures",

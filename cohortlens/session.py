@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,4 +41,36 @@ def build_session(
         chosen = CLUSTER_SETTINGS | chosen
     for key, value in chosen.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
+    return spark
+
+
+def zipped_package() -> bytes:
+    """This package's modules as a zip that Python can import from."""
+    package = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, str(path.relative_to(package.parent)))
+    return held.getvalue()
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Give the package to the Python workers of all executors; the path of its zip.
+
+    The study runs without Python workers, the corpus operators need them. ``spark-submit
+    --py-files`` does the same.
+    """
+    from .sources.snapshot import run_folder
+
+    path = f"{run_folder(spark)}/cohortlens.zip"
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(location):
+        stream = files.create(location, False)
+        stream.write(zipped_package())
+        stream.close()
+        spark.sparkContext.addPyFile(path)
+    return path

@@ -292,6 +292,21 @@ def test_crosstab_by_a_number(spark):
     assert {r["level"] for r in bare.collect()} == {"x", "y"}
 
 
+def test_exposure_columns_are_arguments(spark):
+    """The same rows under other names give the same figures under those names."""
+    rows = [(1, "d", "5", "mg", 1), (1, "d", "7", "mg", 0), (2, "e", "x", None, 1), (2, "d", "9", "ml", 0), (3, "e", "2", "mg", 0)]
+    given = spark.createDataFrame(rows, "hadm_id int, drug string, dose_val_rx string, dose_unit_rx string, in_icu int")
+    renamed = spark.createDataFrame(rows, "visit int, agent string, amount string, measure string, within int")
+    cols = op.ExposureColumns("agent", "visit", "amount", "measure", "within")
+    names = {"drug": "agent", "dose_unit_rx": "measure"}
+    for function in (op.top_exposures, op.exposure_detail, op.exposures_with_units, op.dose_by_unit, op.dose_units_used):
+        want, got = function(given, 2), function(renamed, 2, cols)
+        assert got.columns == [names.get(c, c) for c in want.columns]
+        assert got.collect() == want.collect()
+    assert op.setting_split(renamed, 2, cols).collect() == op.setting_split(given, 2).collect()
+    assert op.exposure_overview(renamed, cols=cols).collect() == op.exposure_overview(given).collect()
+
+
 def test_unit_totals(spark):
     data = [(1, "d", "5", "mg", 1), (1, "d", "7", "mg", 0), (2, "d", "x", None, 1), (2, "d", "9", "ml", None), (None, "d", "1", "mg", 1), (3, None, "2", "mg", 0)]
     frame = spark.createDataFrame(data, "hadm_id int, drug string, dose_val_rx string, dose_unit_rx string, in_icu int")

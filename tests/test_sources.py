@@ -206,6 +206,24 @@ def test_clearing_a_run(spark):
     assert scratch(spark.range(2)).count() == 2
 
 
+def test_package_can_be_shipped(tmp_path):
+    from cohortlens.session import zipped_package
+
+    (tmp_path / "package.zip").write_bytes(zipped_package())
+    code = f"import sys; sys.path.insert(0, '{tmp_path}/package.zip'); import cohortlens.catalog; print(cohortlens.__file__)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and "package.zip" in done.stdout, done.stderr[-2000:]
+
+
+def test_shipped_package_reaches_the_workers(spark):
+    from cohortlens.session import ship_package
+
+    path = ship_package(spark)
+    assert ship_package(spark) == path
+    found = spark.sparkContext.parallelize([0], 1).map(lambda _: [p for p in __import__("sys").path if p.endswith("cohortlens.zip")]).first()
+    assert found
+
+
 def test_nothing_is_left_when_the_driver_ends(tmp_path):
     code = f"""
 from cohortlens.session import build_session
