@@ -10,6 +10,8 @@ from .common import mixed
 
 #: Parts in which the rows of a shard are numbered; their counts are the only thing broadcast.
 BUCKETS = 1024
+#: Rows that are listed at a time where a row occurs many times.
+STRIDE = 4096
 NO_ID = -(1 << 63)
 
 
@@ -44,26 +46,33 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
     The id and the number of shards decide (law ``key``), so equal ids meet and a
     further shard takes rows only into itself; ``grown_shard`` is the place with one
     more. ``size``: UTF-8 bytes plus 8; a null text has none and checksum 0. Slots
-    count from 0 without gaps by (hashed part, id, checksum); the parts' counts, at most
-    shards * ``BUCKETS`` rows, give where each part starts. Rows without an id share a
-    shard. Repeated rows get a slot each; other columns are ignored.
+    count from 0 without gaps by (part, id, checksum, size). The part of a row is a hash
+    of id and checksum, so an id with many texts is spread; the parts' counts, at most
+    shards * ``BUCKETS`` rows, give where each part starts. Rows that are equal in all
+    of this are counted first and numbered together, so repeated rows make no part
+    large; each gets a slot. Rows without an id share a shard; other columns are ignored.
     """
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(BUCKETS)).cast("int")
-    placed = ids.withColumns({"shard": shard_of(F.col("doc_id"), shards), "bucket": bucket})
-    rows = placed.select(
-        "doc_id", "shard", "bucket",
-        (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"),
-        shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
+    placed = ids.select(
+        "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"),
+        shard_of(F.col("doc_id"), shards).alias("shard"), shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
     )
-    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    starts = starts.select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("place", F.row_number().over(within))
-    joined = numbered.join(F.broadcast(starts), ["shard", "bucket"])
-    slot = (F.col("start") + F.col("place") - 1).cast("long").alias("slot")
-    return joined.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
+    counted = placed.groupBy(*placed.columns).agg(F.count("*").alias("n"))
+    bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), "text_crc32"), F.lit(BUCKETS)).cast("int")
+    counted = counted.withColumn("bucket", bucket)
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = up_to(Window.partitionBy("shard").orderBy("bucket"))
+    starts = counted.groupBy("shard", "bucket").agg(F.sum("n").alias("held"))
+    starts = starts.select("shard", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("start"))
+    within = up_to(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size"))
+    numbered = counted.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    joined = numbered.join(F.broadcast(starts), ["shard", "bucket"]).withColumn("first", F.col("start") + F.col("before"))
+    # in two steps, so that no list of rows is longer than STRIDE however often a row occurs
+    strides = joined.withColumn("stride", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRIDE).cast("long"))))
+    rest = F.least(F.col("n") - F.col("stride"), F.lit(STRIDE).cast("long")) - 1
+    each = strides.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), rest)))
+    slot = (F.col("first") + F.col("stride") + F.col("offset")).cast("long").alias("slot")
+    return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, doc_id: str = "doc_id") -> None:

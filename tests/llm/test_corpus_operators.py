@@ -385,6 +385,62 @@ def test_top_k_equals_sorting(spark, monkeypatch):
 QUESTION = "a train leaves the station at 60 km per hour and after 3 hours the driver Anna has gone how far if the wind is 60 km per hour"
 
 
+def test_products_are_exact_at_every_size():
+    draw = np.random.default_rng(4)
+    for size in (1e3, 1e7, 1e8, 2e9, 1e12, 1e200):
+        q, c = (np.floor(draw.normal(size=(4, 6)) * size) for _ in range(2))
+        want = [[max(-topk.MOST, min(topk.MOST, sum(int(x) * int(y) for x, y in zip(a, b)))) for b in c] for a in q]
+        assert topk._products(q, c).tolist() == want
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(i, [float(2**20 + i), float(i % 3)]) for i in range(120)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:5], 1)]
+    assert sorted(map(tuple, got)) == want
+
+
+def brute_jump(key, shards):
+    key, b, j = int(shards_mixed(key)), -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def shards_mixed(key):
+    x = key % 2**64
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+    return x ^ (x >> 31)
+
+
+def test_jump_equals_its_definition():
+    keys = np.concatenate([np.arange(-50, 50), np.random.default_rng(2).integers(-(2**62), 2**62, 300), [shards.NO_ID]])
+    for n in (1, 2, 7, 24, 25, 1000):
+        assert shards.jump(keys, n).tolist() == [brute_jump(int(k), n) for k in keys]
+
+
+def test_shards_of_hot_ids_repeats_and_nothing(spark):
+    """One id with many texts, one row thousands of times, very long and missing texts."""
+    rows = [(1, f"text {i}", "en") for i in range(500)] + [(2, "again", "en")] * 9000 + [(None, "x", "en")] * 3
+    rows += [(3, None, "en"), (4, "", "en"), (5, "\u00e9" * 300_000, "en")]
+    got = shards.assign_shards(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == sorted((i or 0, len((t or "").encode()) + 8) for i, t, _ in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        key = shards.NO_ID if r["doc_id"] is None else r["doc_id"]
+        assert (r["shard"], r["grown_shard"]) == (brute_jump(key, 24), brute_jump(key, 25))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert shards.assign_shards(documents(spark, [])).collect() == []
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([(1, QUESTION, "s"), (2, "two words", "s"), (3, None, "s"), (1, QUESTION, "s")], "item_id long, text string, shift string")
     other = QUESTION.replace("60", "75").replace("3 hours", "4 hours").replace("Anna", "Bert")
