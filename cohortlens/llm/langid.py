@@ -17,13 +17,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import held_out, shared
 
 #: Bounds of the sample that is learned from: documents and letters per language,
-#: letters per document, letters in all, languages (the most frequent ones).
-SAMPLE_DOCS, SAMPLE_LETTERS, DOC_LETTERS, ALL_LETTERS, LANGUAGES = 400, 50_000, 400, 2_000_000, 256
+#: letters per document, letters in all (shared equally where there are many languages).
+SAMPLE_DOCS, SAMPLE_LETTERS, DOC_LETTERS, ALL_LETTERS = 400, 50_000, 400, 2_000_000
 #: Columns of a language's dense table: its most frequent letters and one for all others, whose transitions are kept as a sorted list.
 ALPHABET = 96
 BLOCK = 512
@@ -177,27 +177,28 @@ def _parser(samples) -> Parser:
 def learn_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"):
     """Bounded samples of text per language, from rows that are not held out.
 
-    Documents are drawn by a hash of their id, at a rate that gives about
-    ``SAMPLE_DOCS`` per language; of each, a window of letters at a hashed place.
+    Rows are drawn by a hash of id and text, at a rate that gives about twice
+    ``SAMPLE_DOCS`` per language; of each, a window of letters at a hashed place. Equal
+    rows count once. Each language is cut to its letters in Spark, so the driver gets
+    ``ALL_LETTERS`` at most.
     """
     spark = docs.sparkSession
     # names of this module's own, so that nothing clashes with the columns of docs
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(1 << 30))
     rates = [(r["lang"], int(min(1.0, 2 * SAMPLE_DOCS / r["n"]) * (1 << 30))) for r in sizes]
     rated = rows.join(F.broadcast(spark.createDataFrame(rates, "lang string, rate long")), "lang")
     drawn = rated.where(draw < F.col("rate")).select("lang", draw.alias("draw"), "text")
-    window = drawn.mapInArrow(_windows, "lang string, draw long, points binary").where(F.length("points") > 0)
+    window = drawn.mapInArrow(_windows, "lang string, draw long, points binary").where(F.length("points") > 0).distinct()
     most = min(SAMPLE_LETTERS, ALL_LETTERS // max(1, len(sizes)))
     texts: dict[str, list[np.ndarray]] = {}
-    held: Counter = Counter()
-    for row in window.orderBy("draw", "lang", "points").limit(4 * SAMPLE_DOCS * max(1, len(sizes))).collect():
-        part = np.frombuffer(row["points"], dtype=np.uint32)
-        if held[row["lang"]] + len(part) <= most:
-            held[row["lang"]] += len(part)
-            texts.setdefault(row["lang"], []).append(part)
+    # some 2 * SAMPLE_DOCS rows of a language; four bytes are a letter
+    so_far = Window.partitionBy("lang").orderBy("draw", "points").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = window.withColumn("upto", F.sum(F.length("points")).over(so_far)).where(F.col("upto") <= 4 * most)
+    for row in cut.select("lang", "draw", "points").orderBy("draw", "lang", "points").collect():
+        texts.setdefault(row["lang"], []).append(np.frombuffer(row["points"], dtype=np.uint32))
     return shared(spark, {"id": uuid.uuid4().hex, "texts": texts})
 
 

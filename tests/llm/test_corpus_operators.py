@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -217,6 +218,21 @@ def test_language(spark):
     assert langid.identify_language(docs, langid.learn_languages(nothing)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """One id holds most rows, equal and different ones; many languages share the letters."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(langid, "ALL_LETTERS", 6_000)
+    rows = [(1, prose(i, 30), "aa") for i in range(600)] + [(1, prose(0, 30), "aa")] * 900 + [(i, prose(i, 30), f"l{i}") for i in range(2, 400)]
+    texts = langid.learn_languages(documents(spark, rows)).value["texts"]
+    labelled = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert set(texts) <= labelled and sum(len(p) for parts in texts.values() for p in parts) <= 6_000
+    monkeypatch.setattr(langid, "ALL_LETTERS", 2_000_000)
+    texts = langid.learn_languages(documents(spark, rows)).value["texts"]
+    assert set(texts) == labelled and len(labelled) > 300
+    if "aa" in texts:
+        assert len(texts["aa"]) <= 80 and len({p.tobytes() for p in texts["aa"]}) == len(texts["aa"])
+
+
 def test_cross_parse_equals_greedy_longest_match():
     sample = "the cat sat on the mat and the rat"
     parser = langid.Parser({"x": [langid.letters_of(sample)]})
