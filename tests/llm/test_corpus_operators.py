@@ -338,6 +338,46 @@ def test_warc_with_a_lost_segment_is_not_valid():
     assert len(rows) == len(records) - 1 and rows[-1]["total"] is None
 
 
+def test_segments_that_do_not_add_up_are_not_valid(spark, tmp_path):
+    """Lost, repeated and wrongly counted segments, dealt over two archives out of order."""
+    body = "".join(chr(97 + i % 26) for i in range(30_000))
+    digest = hashlib.sha1(body.encode()).hexdigest()
+    records = {i: list(warc.records_of(i, "u", body, digest, None)) for i in range(1, 7)}
+    assert all(len(r) >= 3 for r in records.values())
+    records[2].pop()  # the last, which tells the total
+    records[3].pop(1)
+    records[4][-1] = re.sub(r"(WARC-Segment-Total-Length: )(\d+)", lambda m: f"{m[1]}{int(m[2]) + 1}", records[4][-1])
+    records[5].append(records[5][1])  # a segment twice does no harm
+    every = [r for own in records.values() for r in own][::-1]
+    for name, part in (("a", every[::2]), ("b", every[1::2])):
+        with gzip.open(f"{tmp_path}/{name}.warc.gz", "wb") as out:
+            out.write("".join(r + warc.END for r in part).encode())
+    got = {r["page_id"]: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert {i: r["valid"] for i, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: True}
+    for i, r in got.items():
+        if r["valid"]:
+            assert (r["payload_bytes"], r["payload_digest"], bytes(r["payload"])) == (30_000, digest, body.encode())
+        else:
+            assert (r["payload_bytes"], r["payload_digest"], r["payload"]) == (None, None, None)
+
+
+def test_operators_of_empty_tables(spark):
+    """No rows in, no rows out, with the columns that rows would have."""
+    none = documents(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "Anna has 12 apples and gives 5 apples to her brother Ben today.")], "item_id long, text string")
+    assert templates.contaminated(none, items).collect() == []
+    assert templates.contaminated(documents(spark, [(1, "some text", "en")]), items.limit(0)).collect() == []
+    got = toxicity.score_toxicity(none, toxicity.learn_toxicity(none, labels))
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and got.collect() == []
+    assert licences.licence_scan(none).collect() == []
+    folder = snapshot_folder(spark, "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder)
+    assert warc.read_archives(spark, folder).collect() == []
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digest_formatted(chat.format_trees(chat.chains(turns))).collect() == []
+
+
 def test_reply_trees(spark):
     nodes = [
         ("t", "r", None, 1.0), ("t", "a", "r", 2.0), ("t", "b", "r", None), ("t", "c", "b", 2.0), ("t", "d", "c", 0.0), ("t", "e", "c", 0.0),
