@@ -10,6 +10,8 @@ from ..sources import scratch
 
 #: Bits of a bit filter at most: 4 MB, whatever the number of keys.
 MOST_BITS = 1 << 25
+#: Rows in a batch between Spark and Python.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -17,8 +19,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 5 == 0
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python ``BATCH_ROWS`` at a time in this session, if more are set.
+
+    Both sides hold a batch whole, in memory that they are slow to give back, and texts
+    are wide rows.
+    """
+    if int(spark.conf.get(BATCH_SETTING)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: lineage ends here."""
+    small_batches(df.sparkSession)
     return scratch(df, label)
 
 
@@ -52,6 +65,7 @@ def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def shared(spark: SparkSession, value):
     """Broadcast a value whose size the caller has bounded."""
+    small_batches(spark)
     return spark.sparkContext.broadcast(value)
 
 

@@ -87,9 +87,8 @@ def _sets(k: int):
     return run
 
 
-def _distinct_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, int]]:
-    """Each different non-empty set of a batch once."""
-    seen = set()
+def _distinct_sets(batch: pa.RecordBatch, k: int, seen: set[int]) -> Iterator[tuple[np.ndarray, int]]:
+    """Each non-empty set of a batch that was not ``seen`` before."""
     for part in slices(batch, 1):
         for tokens in shingle_sets(part.column(1), k):
             if len(tokens) and (sig := set_signature(tokens)) not in seen:
@@ -99,16 +98,16 @@ def _distinct_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray,
 
 def _common(k: int):
     def run(batches):
+        sets, held, seen = [], 0, set()
         for batch in batches:
-            sets, held = [], 0
-            for tokens, _ in _distinct_sets(batch, k):
+            for tokens, _ in _distinct_sets(batch, k, seen):
                 sets.append(tokens)
                 held += len(tokens)
                 if held > AT_ONCE:
                     yield _counted(sets)
                     sets, held = [], 0
-            if sets:
-                yield _counted(sets)
+        if sets:
+            yield _counted(sets)
 
     return run
 
@@ -165,10 +164,10 @@ def _index(k: int, percent: int, often, wanted=None):
     """Rows of ``INDEX``; with ``wanted``, a bit filter, only keys that pass it."""
 
     def run(batches):
-        marks, only = often.value, wanted.value if wanted else None
+        marks, only, seen = often.value, wanted.value if wanted else None, set()
         for batch in batches:
             parts, held = [], 0
-            for tokens, sig in _distinct_sets(batch, k):
+            for tokens, sig in _distinct_sets(batch, k, seen):
                 frequent = passes(marks, tokens)
                 own, tails = _keys(tokens, frequent, percent)
                 if only is not None:
@@ -211,9 +210,10 @@ def _wanted_sets(k: int, wanted):
     """The different sets whose signature passes a bit filter."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, 1):
-                sets = {set_signature(s): s for s in shingle_sets(part.column(1), k) if len(s)}
+                sets = {sig: tokens for tokens, sig in _distinct_sets(part, k, seen)}
                 sigs = np.fromiter(sets, dtype=np.int64, count=len(sets))
                 sigs = sigs[passes(wanted.value, sigs)].tolist()
                 yield pa.RecordBatch.from_arrays(

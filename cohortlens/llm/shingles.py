@@ -40,6 +40,7 @@ def slices(batch: pa.RecordBatch, column: int | str, most_bytes: int = SLICE_BYT
         high = max(low + 1, int(np.searchsorted(upto, before + most_bytes, side="right")))
         yield batch.slice(low, high - low)
         low = high
+    pa.default_memory_pool().release_unused()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
