@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources import scratch
@@ -89,9 +89,9 @@ def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> Data
     """
     bits = shared(docs.sparkSession, bit_filter(ids, "doc_id"))
 
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        return pd.Series(passes(bits.value, keys.to_numpy(dtype=np.int64)))
+    @F.arrow_udf("boolean")
+    def maybe(keys: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, keys.to_numpy(zero_copy_only=False)))
 
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))
     suspects = docs.where(maybe(key)).alias("d").join(ids.alias("gone"), F.col(f"d.{doc_id}") == F.col("gone.doc_id"), "left_anti")
@@ -106,9 +106,9 @@ def one_of_each(docs: DataFrame, gone: DataFrame, repeated: DataFrame, key: str)
     """
     bits = shared(docs.sparkSession, bit_filter(gone.union(repeated), key))
 
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        return pd.Series(passes(bits.value, keys.to_numpy(dtype=np.int64)))
+    @F.arrow_udf("boolean")
+    def maybe(keys: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, keys.to_numpy(zero_copy_only=False)))
 
     suspects = docs.where(maybe(F.col(key)))
     wide = suspects.join(repeated.withColumnRenamed(key, "_once"), F.col(key) == F.col("_once"), "left")

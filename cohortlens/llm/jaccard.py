@@ -35,7 +35,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -278,9 +277,9 @@ def _verified(lists: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) of signatures that are similar enough."""
     wanted = shared(lists.sparkSession, bit_filter(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig"))
 
-    @F.pandas_udf("boolean")
-    def met(sigs: pd.Series) -> pd.Series:
-        return pd.Series(passes(wanted.value, sigs.to_numpy(dtype=np.int64)))
+    @F.arrow_udf("boolean")
+    def met(sigs: pa.Array) -> pa.Array:
+        return pa.array(passes(wanted.value, sigs.to_numpy(zero_copy_only=False)))
 
     near = lists.where(met("sig"))
     left = near.select(F.col("sig").alias("a"), F.col("tokens").alias("left"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import mixed
@@ -33,9 +33,9 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 def shard_of(column, shards: int):
     """Column with the shard of an id; rows without an id share one shard."""
 
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(jump(ids.to_numpy(), shards).astype(np.int32))
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        return pa.array(jump(ids.to_numpy(zero_copy_only=False), shards).astype(np.int32))
 
     return place(F.coalesce(column.cast("long"), F.lit(NO_ID)))
 

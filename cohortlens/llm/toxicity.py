@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -348,10 +347,6 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-#: Words of this many texts are looked up together.
-TEXTS = 512
-
-
 def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted, exact, misspelt, quoted`` per row of ``docs``.
 
@@ -381,9 +376,10 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score stays below 0.5, with all their columns."""
     held = shared(docs.sparkSession, model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        parts = [held.value.scores(list(texts.iloc[i : i + TEXTS])) for i in range(0, len(texts), TEXTS)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [held.value.scores(part.column(0).to_pylist()) for part in slices(batch, 0)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.where(score(F.col(text)) < 0.5)
