@@ -22,7 +22,7 @@ from cohortlens.sources import clear_run, snapshot_folder, standin_tables
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-ENOUGH = 5.0
+ENOUGH = 3.0
 
 
 def timed(job) -> float:
