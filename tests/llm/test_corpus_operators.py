@@ -564,6 +564,58 @@ def test_raking_meets_its_targets(spark):
     assert all(abs(r["weight"] - weight[r["source"], r["lang"], r["topic"]]) < 1e-3 for r in got)
 
 
+def test_capped_raking_deals_what_full_cells_lack_to_others(spark):
+    """Against a plain bounded raking; one source and one language have too few tokens."""
+    sizes = {("a", "x"): 4000, ("a", "y"): 2500, ("b", "x"): 3000, ("b", "y"): 1500, ("c", "x"): 60, ("c", "y"): 40}
+    rows = [(s, lang, "p", n) for (s, lang), n in sizes.items()]
+    total = sum(sizes.values())
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    cells = cells.withColumn("most", F.col("tokens") / F.lit(0.5 * total))
+    shares = {"source": {"a": 0.4, "b": 0.3, "c": 0.3}, "lang": {"x": 0.2, "y": 0.8}, "topic": {"p": 1.0}}
+    frames = {m: spark.createDataFrame(list(v.items()), f"{m} string, target double") for m, v in shares.items()}
+    reach = {m: mixing.within_reach(t, cells, m) for m, t in frames.items()}
+    goals = {m: {r[0]: r[1] for r in t.collect()} for m, t in reach.items()}
+    most = {k: n / (0.5 * total) for k, n in sizes.items()}
+    full = most["c", "x"] + most["c", "y"]
+    assert goals["source"] == pytest.approx({"c": full, "a": (1 - full) * 4 / 7, "b": (1 - full) * 3 / 7})
+    y = sum(v for (_, lang), v in most.items() if lang == "y")
+    assert goals["lang"] == pytest.approx({"y": min(0.8, y), "x": 1 - min(0.8, y)})
+    weight = {k: n / total for k, n in sizes.items()}
+    for _ in range(2000):
+        for side, m in enumerate(("source", "lang")):
+            sums = Counter()
+            for k, w in weight.items():
+                sums[k[side]] += w
+            weight = {k: min(most[k], w * goals[m][k[side]] / sums[k[side]]) for k, w in weight.items()}
+    got = {(r["source"], r["lang"]): r["weight"] for r in mixing.rake(cells, reach, sweeps=40).collect()}
+    assert all(got[k] <= most[k] + 1e-12 and abs(got[k] - w) < 2e-3 for k, w in weight.items())
+
+
+def test_raking_that_cannot_settle_says_so(spark):
+    rows = [("a", "x", "p", 10), ("b", "y", "p", 10)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    shares = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}}
+    targets = {m: spark.createDataFrame(list(v.items()), f"{m} string, target double") for m, v in shares.items()}
+    with pytest.warns(UserWarning, match="not settled after 2 sweeps"):
+        mixing.rake(cells, targets, sweeps=2)
+
+
+def test_kept_rows_meet_targets_that_one_source_cannot(spark):
+    rows = [(i, prose(i, 40), "en") for i in range(2000)]
+    docs = documents(spark, rows).withColumn("source", F.when(F.col("doc_id") < 40, "small").when(F.col("doc_id") < 1400, "hot").otherwise("mid"))
+    how = {"tempers": {"source": 0.1}, "drawn": 0.5}
+    levels = {r["level"]: r for r in mixing.mix_margins(docs, capped=True, **how).collect()}
+    assert sum(r["target"] for r in levels.values()) == pytest.approx(1)
+    assert all(r["expected"] == pytest.approx(r["target"], abs=1e-3) for r in levels.values())
+    assert levels["small"]["target"] == pytest.approx(levels["small"]["tokens"] / (0.5 * sum(r["tokens"] for r in levels.values())))
+    kept = Counter(r["source"] for r in mixing.keep_mixed(docs, **how).collect())
+    assert kept["small"] == 40 and 850 <= sum(kept.values()) <= 1150
+    # with weights the targets stay as they were
+    free = {r["level"]: r for r in mixing.mix_margins(docs, **how).collect()}
+    assert free["small"]["target"] > 0.25 and free["small"]["expected"] == pytest.approx(free["small"]["target"], abs=1e-3)
+    assert mixing.mix_margins(docs.limit(0)).collect() == []
+
+
 def test_mixing_with_gaps(spark):
     rows = [(i, prose(i, 5 + i % 90), ("en", "fr", None)[i % 3]) for i in range(300)] + [(None, None, None), (3, "", "en")]
     docs = documents(spark, rows).withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).otherwise("web")).withColumn("topic", F.lit(1)).withColumn("weight", F.lit(2))
