@@ -10,8 +10,9 @@ from ..sources import scratch
 
 #: Bits of a bit filter at most: 4 MB, whatever the number of keys.
 MOST_BITS = 1 << 25
-#: Rows in a batch between Spark and Python.
+#: Rows in a batch between Spark and Python, and bytes where rows are wide.
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+BYTES_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -20,13 +21,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand rows to Python ``BATCH_ROWS`` at a time in this session, if more are set.
+    """Hand rows to Python ``BATCH_ROWS`` or ``BATCH_BYTES`` at a time in this session, if more are set.
 
     Both sides hold a batch whole, in memory that they are slow to give back, and texts
-    are wide rows.
+    are wide rows. A row that is longer is a batch of its own.
     """
     if int(spark.conf.get(BATCH_SETTING)) not in range(1, BATCH_ROWS + 1):
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    now = spark.conf.get(BYTES_SETTING).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(BYTES_SETTING, str(BATCH_BYTES))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
