@@ -49,8 +49,8 @@ FREQUENT = 16
 MOST_FREQUENT = 1 << 21
 #: A task reports a token to the frequency count from this number of its own sets on.
 LOCAL = 3
-#: Tokens or postings that a task holds before it hands them on: 4 MB of each column.
-AT_ONCE = 1 << 19
+#: Tokens, and postings, that a task holds before it hands them on: 4 MB, and 1 MB of each column.
+AT_ONCE, POSTINGS_AT_ONCE = 1 << 19, 1 << 17
 #: Bits of the parity bitmap of a set: at least these, and as many as it has tokens.
 LEAST_BITS = 512
 #: Sets above this size index frequent tokens alone.
@@ -174,7 +174,7 @@ def _index(k: int, percent: int, often, wanted=None):
                     own, tails = own[keep], tails[keep]
                 parts.append((own, tails, sig, len(tokens), _rank(int((~frequent).sum()), len(tokens), sig)))
                 held += len(own)
-                if held > AT_ONCE:
+                if held > POSTINGS_AT_ONCE:
                     yield _rows(parts)
                     parts, held = [], 0
             if held:

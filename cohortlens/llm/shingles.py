@@ -19,11 +19,11 @@ from .common import mixed
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SHINGLE = tuple(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16))
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 
 #: Bytes of text that are shingled at a time; what a text needs is about ten times its size.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 
 
 def slices(batch: pa.RecordBatch, column: int | str, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
