@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -39,6 +41,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return scratch(df, label)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Remove the shuffle files of finished steps that nothing refers to any more.
+
+    Spark removes them when the driver collects its garbage, which a driver with little
+    to do may put off until the disks hold the shuffles of all steps. Call it only where
+    large shuffles lie behind: it takes the driver some tenths of a second.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bit_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> np.ndarray:
     """A bitmap with the low bits of every key set; its size is bounded.
 

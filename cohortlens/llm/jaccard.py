@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bit_filter, mixed, one_of_each, passes, row_key, shared, written
+from .common import bit_filter, free_shuffles, mixed, one_of_each, passes, row_key, shared, written
 from .components import components
 from .shingles import SHINGLE, set_signature, shingle_sets, slices
 
@@ -320,6 +320,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
     held = written(index.groupBy("key", "sig").agg(*[F.max(c).alias(c) for c in ("n", "tail", "rank")]), "postings")
     for done in (often, kept):
         done.destroy()
+    free_shuffles(spark)
     ids = written(sets.where("n > 0").groupBy("sig").agg(F.min("bits").alias("bits")), "ids")
     links, placed, leaders, lists = None, None, 1, None
 
@@ -337,7 +338,9 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         held = _with_partners(held, percent)
         if leaders == 1:  # without a window, so that a hot key is aggregated before it moves
             held = written(held, "postings")
+            free_shuffles(spark)
             lists = _token_lists(texts, held.select("sig").distinct(), k)
+            free_shuffles(spark)
             first = held.groupBy("key").agg(F.min_by("sig", "rank").alias("first"))
             held = written(held.join(first, "key"), "postings")
             held = held.withColumn("place", F.when(F.col("sig") == F.col("first"), 1).otherwise(2))
@@ -366,6 +369,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         # one partner for each set first; after that only what is still apart
         tried = written(pairs.groupBy("b").agg(F.min_by("a", "rank").alias("a")), "pairs")
         links, placed = merged(_verified(lists, tried, percent))
+        free_shuffles(spark)
         left = pairs.select("a", "b").join(tried, ["a", "b"], "left_anti")
         for side in ("a", "b"):
             place = placed.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
@@ -373,6 +377,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         left = written(left.where("ra <> rb").select("a", "b"), "pairs")
         if not left.isEmpty():
             links, placed = merged(_verified(lists, left, percent))
+            free_shuffles(spark)
         held = held.where(F.col("place") > leaders).select("key", "sig", "n", "tail", "rank")
         leaders *= 16
     return placed if placed is not None else spark.createDataFrame([], "node long, root long")
