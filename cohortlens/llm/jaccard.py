@@ -128,7 +128,8 @@ def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
         if above > MOST_FREQUENT:
             least = 1 << (int(power) + 1)
             break
-    return bit_filter(counted.where(F.col("n") >= least), "token")
+    bits = bit_filter(counted.where(F.col("n") >= least), "token")
+    return bits
 
 
 def _keys(tokens: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,36 +206,56 @@ def _key_counts(k: int, percent: int, often):
     return run
 
 
-def _wanted_sets(k: int, wanted):
-    """The different sets whose signature passes a bit filter."""
+def _wanted_texts(k: int, wanted):
+    """A text of each set whose signature passes a bit filter."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, 1):
-                sets = {sig: tokens for tokens, sig in _distinct_sets(part, k, seen)}
-                sigs = np.fromiter(sets, dtype=np.int64, count=len(sets))
-                sigs = sigs[passes(wanted.value, sigs)].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sigs, pa.int64()), pa.array([sets[s].tobytes() for s in sigs], pa.binary())],
-                    ["sig", "tokens"],
-                )
+                sets = [(set_signature(s), len(s) > 0) for s in shingle_sets(part.column(1), k)]
+                sigs = np.array([sig for sig, _ in sets], dtype=np.int64)
+                keep = passes(wanted.value, sigs) & [words for _, words in sets]
+                for i in np.flatnonzero(keep):
+                    keep[i] = (sig := int(sigs[i])) not in seen
+                    seen.add(sig)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), part.column(1)], ["sig", "text"]).filter(pa.array(keep))
 
     return run
 
 
-def _token_lists(texts: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
-    """``sig, tokens``, one row for each of ``sigs``, written once for all verifications.
+def _texts_of_sets(texts: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
+    """``sig, text``, one row for each of ``sigs``, written once for all verifications.
 
     Rows that repeat a set are one row from here on, so that no pair is made of copies.
+    Hashes cannot be compressed, so the text goes to disk and not its tokens, which
+    are two to three times its size there and are made again for each pair.
     """
     wanted = shared(texts.sparkSession, bit_filter(sigs, "sig"))
-    found = texts.mapInArrow(_wanted_sets(k, wanted), "sig long, tokens binary").dropDuplicates(["sig"])
-    out = written(found, "token_lists")
+    found = texts.mapInArrow(_wanted_texts(k, wanted), "sig long, text string").dropDuplicates(["sig"])
+    out = written(found, "texts")
     wanted.destroy()
     return out
 
 
+def _tokens_of_pairs(k: int, linked):
+    """Hand pairs of texts to ``linked`` as pairs of token lists, a slice at a time."""
+
+    def tokens(texts: pa.Array) -> pa.Array:
+        found = texts.dictionary_encode()  # one leader has many partners
+        sets = pa.array([s.tobytes() for s in shingle_sets(found.dictionary, k)], pa.binary())
+        return sets.take(found.indices)
+
+    def run(batches):
+        return linked(
+            pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *[tokens(part.column(c)) for c in ("left", "right")]], ["a", "b", "left", "right"])
+            for batch in batches
+            for part in slices(batch, "left")
+        )
+
+    return run
+
+
 def _linked(percent: int):
     def run(batches):
         for batch in batches:
@@ -273,7 +294,7 @@ def _possible(percent: int):
     return run
 
 
-def _verified(lists: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(lists: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) of signatures that are similar enough."""
     wanted = shared(lists.sparkSession, bit_filter(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig"))
 
@@ -282,10 +303,10 @@ def _verified(lists: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         return pa.array(passes(wanted.value, sigs.to_numpy(zero_copy_only=False)))
 
     near = lists.where(met("sig"))
-    left = near.select(F.col("sig").alias("a"), F.col("tokens").alias("left"))
-    right = near.select(F.col("sig").alias("b"), F.col("tokens").alias("right"))
+    left = near.select(F.col("sig").alias("a"), F.col("text").alias("left"))
+    right = near.select(F.col("sig").alias("b"), F.col("text").alias("right"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    out = written(joined.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    out = written(joined.mapInArrow(_tokens_of_pairs(k, _linked(percent)), "a long, b long").distinct(), "links")
     wanted.destroy()
     return out
 
@@ -314,10 +335,11 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
     spark = texts.sparkSession
     often = shared(spark, frequent_tokens(texts, k))
     counts = texts.mapInArrow(_key_counts(k, percent, often), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    met = bit_filter(written(counts.where("n > 1").select("key"), "keys"), "key")
-    kept = shared(spark, met)
+    keys = written(counts.where("n > 1").select("key"), "keys")
+    kept = shared(spark, bit_filter(keys, "key"))
+    free_shuffles(spark)
     index = texts.mapInArrow(_index(k, percent, often, kept), INDEX)
-    held = written(index.groupBy("key", "sig").agg(*[F.max(c).alias(c) for c in ("n", "tail", "rank")]), "postings")
+    held = stored = written(index.groupBy("key", "sig").agg(*[F.max(c).alias(c) for c in ("n", "tail", "rank")]), "postings")
     for done in (often, kept):
         done.destroy()
     free_shuffles(spark)
@@ -325,9 +347,15 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
     links, placed, leaders, lists = None, None, 1, None
 
     def merged(found: DataFrame):
-        both = found if links is None else written(links.union(found), "links")
+        if links is None:
+            return found, components(found)
+        both = written(links.union(found), "links")
         return both, components(both)
 
+    def replaced(older: DataFrame, newer: DataFrame) -> DataFrame:
+        newer = written(newer, "postings")
+        return newer
+
     while True:
         if placed is not None:
             held = held.join(placed, held["sig"] == placed["node"], "left").select(
@@ -337,18 +365,18 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
             held = held.withColumn("root", F.col("sig"))
         held = _with_partners(held, percent)
         if leaders == 1:  # without a window, so that a hot key is aggregated before it moves
-            held = written(held, "postings")
+            held = stored = replaced(stored, held)
             free_shuffles(spark)
-            lists = _token_lists(texts, held.select("sig").distinct(), k)
+            lists = _texts_of_sets(texts, held.select("sig").distinct(), k)
             free_shuffles(spark)
             first = held.groupBy("key").agg(F.min_by("sig", "rank").alias("first"))
-            held = written(held.join(first, "key"), "postings")
+            held = stored = replaced(stored, held.join(first, "key"))
             held = held.withColumn("place", F.when(F.col("sig") == F.col("first"), 1).otherwise(2))
         else:
             # what is left to compare lies between components, so the small ones lead
             held = held.withColumn("of_root", F.count("*").over(Window.partitionBy("key", "root")))
             small_first = Window.partitionBy("key").orderBy("of_root", "rank", "sig")
-            held = written(held.withColumn("place", F.row_number().over(small_first)).drop("of_root"), "postings")
+            held = stored = replaced(stored, held.withColumn("place", F.row_number().over(small_first)).drop("of_root"))
         if held.isEmpty():
             break
         one, other = (
@@ -368,7 +396,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         pairs = written(pairs.mapInArrow(_possible(percent), "a long, b long, rank long"), "pairs")
         # one partner for each set first; after that only what is still apart
         tried = written(pairs.groupBy("b").agg(F.min_by("a", "rank").alias("a")), "pairs")
-        links, placed = merged(_verified(lists, tried, percent))
+        links, placed = merged(_verified(lists, tried, k, percent))
         free_shuffles(spark)
         left = pairs.select("a", "b").join(tried, ["a", "b"], "left_anti")
         for side in ("a", "b"):
@@ -376,8 +404,8 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
             left = left.join(place, side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
         left = written(left.where("ra <> rb").select("a", "b"), "pairs")
         if not left.isEmpty():
-            links, placed = merged(_verified(lists, left, percent))
-            free_shuffles(spark)
+            links, placed = merged(_verified(lists, left, k, percent))
+        free_shuffles(spark)
         held = held.where(F.col("place") > leaders).select("key", "sig", "n", "tail", "rank")
         leaders *= 16
     return placed if placed is not None else spark.createDataFrame([], "node long, root long")

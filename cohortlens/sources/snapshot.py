@@ -175,4 +175,17 @@ def scratch(df: DataFrame, label: str = "scratch") -> DataFrame:
     """
     path = snapshot_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch_folder = path
+    return found
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove the files of frames that ``scratch`` returned; nothing may read them later.
+
+    Only the very frames are meant: one that was derived from them is refused.
+    """
+    for df in frames:
+        if df is not None:
+            files, path_of = _files(df.sparkSession, df.scratch_folder)
+            files.delete(path_of(df.scratch_folder), True)
