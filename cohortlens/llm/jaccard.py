@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources import discard
 from .common import bit_filter, free_shuffles, mixed, one_of_each, passes, row_key, shared, written
 from .components import components
 from .shingles import SHINGLE, set_signature, shingle_sets, slices
@@ -129,6 +130,7 @@ def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
             least = 1 << (int(power) + 1)
             break
     bits = bit_filter(counted.where(F.col("n") >= least), "token")
+    discard(counted)
     return bits
 
 
@@ -337,6 +339,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
     counts = texts.mapInArrow(_key_counts(k, percent, often), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     keys = written(counts.where("n > 1").select("key"), "keys")
     kept = shared(spark, bit_filter(keys, "key"))
+    discard(keys)
     free_shuffles(spark)
     index = texts.mapInArrow(_index(k, percent, often, kept), INDEX)
     held = stored = written(index.groupBy("key", "sig").agg(*[F.max(c).alias(c) for c in ("n", "tail", "rank")]), "postings")
@@ -350,10 +353,12 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         if links is None:
             return found, components(found)
         both = written(links.union(found), "links")
+        discard(links, found, placed)
         return both, components(both)
 
     def replaced(older: DataFrame, newer: DataFrame) -> DataFrame:
         newer = written(newer, "postings")
+        discard(older)
         return newer
 
     while True:
@@ -405,9 +410,11 @@ def similar_links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> Da
         left = written(left.where("ra <> rb").select("a", "b"), "pairs")
         if not left.isEmpty():
             links, placed = merged(_verified(lists, left, k, percent))
+        discard(pairs, tried, left)
         free_shuffles(spark)
         held = held.where(F.col("place") > leaders).select("key", "sig", "n", "tail", "rank")
         leaders *= 16
+    discard(stored, lists, ids, links)
     return placed if placed is not None else spark.createDataFrame([], "node long, root long")
 
 
@@ -454,6 +461,7 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     leaders = counted.groupBy(F.col("component_id").alias("component")).agg(first.alias("first"))
     placed = counted.join(leaders, F.col("component_id") == F.col("component"))
     placed = written(placed.select("_row", "copies", (F.col("first.stays") == F.col("_row")).alias("stays")), "rows")
+    discard(counted)
     gone = placed.where("not stays").select("_row")
     repeated = placed.where("stays and copies > 1").select("_row")
     return one_of_each(keyed, gone, repeated, "_row").drop("_row")
