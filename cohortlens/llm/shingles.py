@@ -8,6 +8,7 @@ over its bytes, taken from running sums; a shingle's hash combines its word hash
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from .common import mixed
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SHINGLE = tuple(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(16))
-PIECE = 1 << 18
+#: Bytes of text that are hashed at a time; what a byte needs stays near the processor.
+PIECE = 1 << 15
 
 
 #: Bytes of text that are shingled at a time; what a text needs is about ten times its size.
@@ -55,11 +57,22 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(n: int, base: int) -> np.ndarray:
+    if n <= PIECE:
+        return _piece_powers(base)[:n]
+    return _all_powers(n, base)
+
+
+def _all_powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+@cache
+def _piece_powers(base: int) -> np.ndarray:
+    return _all_powers(PIECE, base)
+
+
 def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the number of words before each text.
 
@@ -93,6 +106,18 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, np.searchsorted(begin, bounds)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values, in an array of their own; ``values`` is sorted in place.
+
+    ``np.unique`` goes through a hash table, which takes several times as long.
+    """
+    values.sort()
+    fresh = np.empty(len(values), dtype=bool)
+    fresh[:1] = True
+    np.not_equal(values[1:], values[:-1], out=fresh[1:])
+    return values[fresh]
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text, in order.
 
@@ -106,7 +131,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     whole = mixed(whole)
     for low, high in zip(before[:-1], before[1:]):
         if high - low >= k:
-            yield np.unique(whole[low : high - k + 1])
+            yield distinct(whole[low : high - k + 1])
         elif high > low:
             short = sum(int(w) * SHINGLE[j] for j, w in enumerate(words[low:high])) + int(high - low)
             yield mixed(np.array([short % (1 << 64)], dtype=np.uint64))

@@ -1,0 +1,38 @@
+"""What shingling returns, and what it takes in memory."""
+
+from __future__ import annotations
+
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from cohortlens.llm.shingles import SLICE_BYTES, distinct, shingle_sets
+
+MASK = (1 << 64) - 1
+
+
+def prose(seed, n):
+    return " ".join(f"word{i}" for i in np.random.default_rng(seed).integers(4000, size=n))
+
+
+def test_distinct_values_hold_no_larger_array():
+    values = np.array([3, 1, 2**64 - 1, 1, 3], dtype=np.uint64)
+    found = distinct(values[1:4])
+    assert found.tolist() == [1, 2**64 - 1] and found.base is None
+    assert all(s.base is None for s in shingle_sets(pa.array([prose(2, 50), prose(3, 60)]), 5))
+
+
+def test_a_slice_takes_little_memory():
+    texts = pa.array([prose(seed, 400) for seed in range(80)])
+    size = sum(len(text) for text in texts.to_pylist())
+    assert SLICE_BYTES * 0.8 < size < SLICE_BYTES * 1.2
+    list(shingle_sets(texts, 5))  # what is made once does not count
+    tracemalloc.start()
+    try:
+        for _ in shingle_sets(texts, 5):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 * size
