@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..sources import discard
 from .common import bit_filter, free_shuffles, mixed, one_of_each, passes, row_key, shared, written
 from .components import components
-from .shingles import SHINGLE, set_signature, shingle_sets, slices
+from .shingles import SHINGLE, shingle_sets, signed_sets, slices
 
 SETS = "doc_id long, n int, sig long, bits binary"
 INDEX = "key long, sig long, n int, tail int, rank long"
@@ -73,13 +73,13 @@ def _parities(tokens: np.ndarray) -> bytes:
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (part for batch in batches for part in slices(batch, 1)):
-            found = [(len(s), set_signature(s), _parities(s)) for s in shingle_sets(part.column(1), k)]
+            found, sigs = signed_sets(part.column(1), k)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    pa.array([f[0] for f in found], pa.int32()),
-                    pa.array([f[1] for f in found], pa.int64()),
-                    pa.array([f[2] for f in found], pa.binary()),
+                    pa.array([len(s) for s in found], pa.int32()),
+                    pa.array(sigs),
+                    pa.array([_parities(s) for s in found], pa.binary()),
                 ],
                 ["doc_id", "n", "sig", "bits"],
             )
@@ -90,8 +90,9 @@ def _sets(k: int):
 def _distinct_sets(batch: pa.RecordBatch, k: int, seen: set[int]) -> Iterator[tuple[np.ndarray, int]]:
     """Each non-empty set of a batch that was not ``seen`` before."""
     for part in slices(batch, 1):
-        for tokens in shingle_sets(part.column(1), k):
-            if len(tokens) and (sig := set_signature(tokens)) not in seen:
+        sets, sigs = signed_sets(part.column(1), k)
+        for tokens, sig in zip(sets, sigs.tolist()):
+            if len(tokens) and sig not in seen:
                 seen.add(sig)
                 yield tokens, sig
 
@@ -215,9 +216,8 @@ def _wanted_texts(k: int, wanted):
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, 1):
-                sets = [(set_signature(s), len(s) > 0) for s in shingle_sets(part.column(1), k)]
-                sigs = np.array([sig for sig, _ in sets], dtype=np.int64)
-                keep = passes(wanted.value, sigs) & [words for _, words in sets]
+                sets, sigs = signed_sets(part.column(1), k)
+                keep = passes(wanted.value, sigs) & np.array([len(s) > 0 for s in sets], dtype=bool)
                 for i in np.flatnonzero(keep):
                     keep[i] = (sig := int(sigs[i])) not in seen
                     seen.add(sig)

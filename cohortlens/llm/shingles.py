@@ -139,9 +139,14 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def set_signature(hashes: np.ndarray) -> int:
-    """One signed 64-bit number per set; independent of order."""
-    if not len(hashes):
-        return 0
-    total = np.add.reduce(mixed(hashes ^ np.uint64(SHINGLE[3])), dtype=np.uint64)
-    return int(mixed(np.array([total + np.uint64(len(hashes))], dtype=np.uint64)).view(np.int64)[0])
+def signed_sets(texts: pa.Array, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets of all texts, and one signed 64-bit number per set, independent of order; 0 for an empty set."""
+    sets = list(shingle_sets(texts, k))
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    upto = np.zeros(int(sizes.sum()) + 1, dtype=np.uint64)
+    if sets:
+        np.cumsum(mixed(np.concatenate(sets) ^ np.uint64(SHINGLE[3])), out=upto[1:])
+    ends = np.cumsum(sizes)
+    sigs = mixed(upto[ends] - upto[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
+    sigs[sizes == 0] = 0
+    return sets, sigs

@@ -1,13 +1,15 @@
-"""What shingling returns, and what it takes in memory."""
+"""What shingling returns, and what it takes in memory and time."""
 
 from __future__ import annotations
 
+import time
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
-from cohortlens.llm.shingles import SLICE_BYTES, distinct, shingle_sets
+from cohortlens.llm import jaccard
+from cohortlens.llm.shingles import BASE, PIECE, SHINGLE, SLICE_BYTES, distinct, shingle_sets, signed_sets
 
 MASK = (1 << 64) - 1
 
@@ -16,6 +18,43 @@ def prose(seed, n):
     return " ".join(f"word{i}" for i in np.random.default_rng(seed).integers(4000, size=n))
 
 
+def spread(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def word(text):
+    raw = text.encode().lower()
+    return spread((sum((c + 1) * pow(BASE, i, 1 << 64) for i, c in enumerate(raw)) + len(raw) * BASE) & MASK)
+
+
+def set_of(text):
+    words = [word(w) for w in (text or "").split()]
+    if len(words) < 5:
+        short = sum(w * SHINGLE[j] for j, w in enumerate(words)) + len(words)
+        return [spread(short & MASK)] if words else []
+    runs = (words[i : i + 5] for i in range(len(words) - 4))
+    return sorted({spread(sum(w * SHINGLE[j] for j, w in enumerate(run)) & MASK) for run in runs})
+
+
+def signature(hashes):
+    total = sum(spread(h ^ SHINGLE[3]) for h in hashes) + len(hashes)
+    number = spread(total & MASK) if hashes else 0
+    return number - (1 << 64) if number >> 63 else number
+
+
+def test_sets_and_signatures_of_a_slice():
+    long = "x" * (PIECE + 7)
+    texts = [None, "", " \t ", "One", "a b c d", "a b a b a b a b a b", f"p {long} q r s t {long}", prose(1, 9000), "é ü a b c d e", ""]
+    wanted = [set_of(text) for text in texts]
+    for array in (pa.array(texts), pa.array(["left out", *texts]).slice(1)):
+        sets, sigs = signed_sets(array, 5)
+        assert [s.tolist() for s in sets] == wanted
+        assert sigs.tolist() == [signature(s) for s in wanted]
+    assert [len(x) for x in signed_sets(pa.array([], pa.string()), 5)] == [0, 0]
+
+
 def test_distinct_values_hold_no_larger_array():
     values = np.array([3, 1, 2**64 - 1, 1, 3], dtype=np.uint64)
     found = distinct(values[1:4])
@@ -36,3 +75,26 @@ def test_a_slice_takes_little_memory():
     finally:
         tracemalloc.stop()
     assert peak < 24 * size
+
+
+def test_sets_take_less_time_than_one_by_one_through_hash_tables():
+    """A pass over texts against what hash tables and signatures set by set took alone."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": [prose(seed, 500) for seed in range(500)]})
+    raw = [np.random.default_rng(seed).integers(1 << 63, size=496).astype(np.uint64) for seed in range(500)]
+
+    def one_by_one():
+        for tokens in raw:
+            found = set(tokens.tolist())
+            x = np.sort(np.fromiter(found, np.uint64, len(found))) ^ np.uint64(SHINGLE[3])
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            np.add.reduce(x ^ (x >> np.uint64(31)), dtype=np.uint64)
+
+    def seconds(job):
+        begun = time.process_time()
+        job()
+        return time.process_time() - begun
+
+    ours = lambda: list(jaccard._wanted_texts(5, type("All", (), {"value": np.zeros(1024, np.uint64)}))(iter([batch])))
+    taken = [(seconds(ours), seconds(one_by_one)) for _ in range(5)]
+    assert min(t[0] for t in taken) < 1.7 * min(t[1] for t in taken)
