@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources import scratch
@@ -52,13 +51,8 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bit_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> np.ndarray:
-    """A bitmap with the low bits of every key set; its size is bounded.
-
-    A filter may let other keys pass, so what it lets pass is joined exactly
-    afterwards. Bits are merged in Spark; the driver gets at most
-    ``most_bits / 64`` words.
-    """
+def _bits_of(keys: DataFrame, column: str, most_bits: int) -> tuple[DataFrame, int]:
+    """``word, bits``: a bitmap with the low bits of every key set, and its size in bits."""
     n = keys.count()
     bits = min(most_bits, max(1 << 16, 1 << (8 * n).bit_length()))
     place = F.col(column).bitwiseAND(F.lit(bits - 1))
@@ -67,13 +61,38 @@ def bit_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> np.n
         .select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-        .toArrow()
     )
+    return words, bits
+
+
+def bit_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A bitmap with the low bits of every key set; its size is bounded.
+
+    A filter may let other keys pass, so what it lets pass is joined exactly
+    afterwards. Bits are merged in Spark; the driver gets at most
+    ``most_bits / 64`` words.
+    """
+    found, bits = _bits_of(keys, column, most_bits)
+    words = found.toArrow()
     bitmap = np.zeros(bits // 64, dtype=np.uint64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return bitmap
 
 
+def marked(rows: DataFrame, column: str, keys: DataFrame, key: str, most_bits: int = MOST_BITS) -> DataFrame:
+    """``rows`` with ``_maybe``: whether a bit filter of the keys lets the row's ``column`` pass.
+
+    The filter as a join with its words (16 MB or so at most), which are broadcast: no
+    row moves and no row goes to Python. A null passes no filter.
+    """
+    words, bits = _bits_of(keys, key, most_bits)
+    place = F.col(column).cast("long").bitwiseAND(F.lit(bits - 1))
+    words = F.broadcast(words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+    wide = rows.join(words, F.shiftright(place, 6) == F.col("_word"), "left")
+    bit = F.getbit("_bits", place.bitwiseAND(F.lit(63)).cast("int"))
+    return wide.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(bit == 1, F.lit(False)).alias("_maybe"))
+
+
 def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the 64-bit keys the filter lets pass."""
     place = keys.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
@@ -107,15 +126,9 @@ def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> Data
     Only rows that a bit filter of the ids lets pass are shuffled for the exact join;
     all others are kept where they are. Rows without an id are kept.
     """
-    bits = shared(docs.sparkSession, bit_filter(ids, "doc_id"))
-
-    @F.arrow_udf("boolean")
-    def maybe(keys: pa.Array) -> pa.Array:
-        return pa.array(passes(bits.value, keys.to_numpy(zero_copy_only=False)))
-
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))
-    suspects = docs.where(maybe(key)).alias("d").join(ids.alias("gone"), F.col(f"d.{doc_id}") == F.col("gone.doc_id"), "left_anti")
-    return docs.where(~maybe(key)).union(suspects)
+    rows = marked(docs, doc_id, ids, "doc_id")
+    suspects = rows.where("_maybe").drop("_maybe").alias("d").join(ids.alias("gone"), F.col(f"d.{doc_id}") == F.col("gone.doc_id"), "left_anti")
+    return rows.where("not _maybe").drop("_maybe").union(suspects)
 
 
 def one_of_each(docs: DataFrame, gone: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
@@ -124,15 +137,10 @@ def one_of_each(docs: DataFrame, gone: DataFrame, repeated: DataFrame, key: str)
     ``gone`` and ``repeated`` have one column, ``key``; no key is in both. All rows of a
     repeated key are the same row. Only rows that a bit filter lets pass are shuffled.
     """
-    bits = shared(docs.sparkSession, bit_filter(gone.union(repeated), key))
-
-    @F.arrow_udf("boolean")
-    def maybe(keys: pa.Array) -> pa.Array:
-        return pa.array(passes(bits.value, keys.to_numpy(zero_copy_only=False)))
-
-    suspects = docs.where(maybe(F.col(key)))
+    rows = marked(docs, key, gone.union(repeated), key)
+    suspects = rows.where("_maybe").drop("_maybe")
     wide = suspects.join(repeated.withColumnRenamed(key, "_once"), F.col(key) == F.col("_once"), "left")
     wide = wide.join(gone.withColumnRenamed(key, "_gone"), F.col(key) == F.col("_gone"), "left").where("_gone is null")
     many = wide.where("_once is null").select(*docs.columns)
     once = wide.where("_once is not null").select(*docs.columns).dropDuplicates([key])
-    return docs.where(~maybe(F.col(key))).union(many).union(once)
+    return rows.where("not _maybe").drop("_maybe").union(many).union(once)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources import discard
-from .common import bit_filter, free_shuffles, mixed, one_of_each, passes, row_key, shared, written
+from .common import bit_filter, free_shuffles, marked, mixed, one_of_each, passes, row_key, shared, written
 from .components import components
 from .shingles import SHINGLE, shingle_sets, signed_sets, slices
 
@@ -298,19 +298,13 @@ def _possible(percent: int):
 
 def _verified(lists: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) of signatures that are similar enough."""
-    wanted = shared(lists.sparkSession, bit_filter(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig"))
-
-    @F.arrow_udf("boolean")
-    def met(sigs: pa.Array) -> pa.Array:
-        return pa.array(passes(wanted.value, sigs.to_numpy(zero_copy_only=False)))
-
-    near = lists.where(met("sig"))
+    sigs = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    # not an Arrow function: its workers would stand beside those that compare the pairs
+    near = marked(lists, "sig", sigs, "sig").where("_maybe")
     left = near.select(F.col("sig").alias("a"), F.col("text").alias("left"))
     right = near.select(F.col("sig").alias("b"), F.col("text").alias("right"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    out = written(joined.mapInArrow(_tokens_of_pairs(k, _linked(percent)), "a long, b long").distinct(), "links")
-    wanted.destroy()
-    return out
+    return written(joined.mapInArrow(_tokens_of_pairs(k, _linked(percent)), "a long, b long").distinct(), "links")
 
 
 def _with_partners(held: DataFrame, percent: int) -> DataFrame:

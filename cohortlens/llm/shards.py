@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import mixed
@@ -40,6 +43,22 @@ def shard_of(column, shards: int):
     return place(F.coalesce(column.cast("long"), F.lit(NO_ID)))
 
 
+def _placed(shards: int):
+    """Adds ``shard`` and ``grown_shard``, the place with one shard more.
+
+    Not as Arrow functions: the join below asks for shards that are not null, and for that
+    filter Spark would work them out once more, in a second worker beside the first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pc.fill_null(batch.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)
+            found = [pa.array(jump(keys, n).astype(np.int32)) for n in (shards, shards + 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "shard", "grown_shard"])
+
+    return run
+
+
 def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row of ``docs``.
 
@@ -54,9 +73,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
     """
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     placed = ids.select(
-        "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"),
-        shard_of(F.col("doc_id"), shards).alias("shard"), shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
-    )
+        "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32")
+    )
+    placed = placed.mapInArrow(_placed(shards), "doc_id long, size long, text_crc32 long, shard int, grown_shard int")
     counted = placed.groupBy(*placed.columns).agg(F.count("*").alias("n"))
     bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), "text_crc32"), F.lit(BUCKETS)).cast("int")
     counted = counted.withColumn("bucket", bucket)
