@@ -5,21 +5,24 @@ exchanged keeps its template. Windows of template tokens are hash-joined with th
 the benchmark, and so are windows with names as lower-case words, for copies in another
 case. Slots of a match must be consistent: where an item repeats a value, the document
 must repeat the value that it has in its place. Every capitalised word has a slot, but
-one that is no name in its item has to be the same in the document.
+one that is no name in its item has to be the same in the document. Long texts are taken
+in pieces that overlap, so no row grows with the length of a text once it is in tokens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import marked, written
 
 WINDOW = 8
+#: Windows of each width that begin in a piece of a text; it has the tokens that they end in too.
+PIECE = 1024
 #: Share of an item's windows that a document must hold, or tokens in a row, whatever the item's length.
 COVERAGE, RUN = 0.3, 13
 #: Items from this many tokens on are looked for inside longer texts; shorter ones are a document or nothing.
 SHORT = 3
-#: Benchmark windows up to this number are broadcast (16 MB or so); more are shuffled.
+#: Benchmark windows up to this number are broadcast (16 MB or so); more are shuffled, with what a bit filter of them lets pass.
 BROADCAST_WINDOWS = 200_000
 # Units that follow a number.
 UNITS = (
@@ -70,51 +73,102 @@ def _hashes(tokens: str, names: bool) -> Column:
 
 
 def _tokens(df: DataFrame, row: str, text: str, prefix: str) -> DataFrame:
-    """Id, tokens and, for both kinds, hashes of the tokens and of ``WINDOW`` from each on.
+    """Id, tokens of the text, their number and the place of the first: the text in one piece."""
+    tokens = f"{prefix}_tokens"
+    rows = df.select(F.col(row).cast("long").alias(f"{prefix}_id"), template_tokens(text).alias(tokens))
+    return rows.select("*", F.size(tokens).alias(f"{prefix}_n"), F.lit(0).alias(f"{prefix}_begin"))
+
+
+def _pieces(rows: DataFrame, prefix: str) -> DataFrame:
+    """The same rows with ``PIECE`` tokens of a text in each, and those of the next piece that windows end in.
+
+    Windows take some hundred bytes a token, so a long text as a whole would take as much
+    of a task's memory as it likes. The outer form of explode keeps Spark from testing
+    the places below, which would make the tokens twice.
+    """
+    tokens, n, begin = f"{prefix}_tokens", f"{prefix}_n", f"{prefix}_begin"
+    places = F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0)), F.lit(PIECE))
+    rows = rows.select(f"{prefix}_id", tokens, n, F.explode_outer(places).alias(begin))
+    return rows.withColumn(tokens, F.slice(tokens, F.col(begin) + 1, PIECE + WINDOW - 1))
+
+
+def _hashed(rows: DataFrame, prefix: str) -> DataFrame:
+    """``rows`` with, for both kinds, hashes of the tokens and of ``WINDOW`` from each on.
 
     Hashes of two, four and eight tokens are made of each other; the last ones, which
     lack tokens, are not read.
     """
-    tokens = f"{prefix}_tokens"
-    rows = df.select(F.col(row).cast("long").alias(f"{prefix}_id"), template_tokens(text).alias(tokens))
+    given, tokens = rows.columns, f"{prefix}_tokens"
     rows = rows.select("*", _hashes(tokens, True).alias("typed1"), _hashes(tokens, False).alias("plain1"))
     half = 1
     while half < WINDOW:
         wider = lambda c: F.transform(c, lambda x, i: F.xxhash64(x, F.get(c, i + half)))  # noqa: B023, E731
         made = [wider(f"{k}{half}").alias(f"{k}{2 * half}") for k in KINDS]
-        rows = rows.select(f"{prefix}_id", tokens, *(f"{k}1" for k in KINDS), *made)
+        rows = rows.select(*given, *(f"{k}1" for k in KINDS), *made)
         half *= 2
     return rows
 
 
-def _windows(kind: str, width: int) -> Column:
-    """Hashes of all windows of ``width`` tokens, in order; 0 stands for a whole text of under ``SHORT``."""
-    one, n = f"{kind}1", F.size(f"{kind}1")
+def _whole_short(prefix: str) -> Column:
+    return F.col(f"{prefix}_n").between(1, SHORT - 1)
+
+
+def _n_windows(prefix: str, width: int, most: int | None) -> Column:
+    """How many windows of ``width`` tokens begin in a row, ``most`` at most; 0 stands for a whole text of under ``SHORT``."""
+    if width == 0:
+        return _whole_short(prefix).cast("int")
+    n = F.greatest(F.size(f"{prefix}_tokens") - width + 1, F.lit(0))
+    return n if most is None else F.least(n, F.lit(most))
+
+
+def _windows(prefix: str, kind: str, width: int, most: int | None) -> Column:
+    """Hashes of all windows of ``width`` tokens that begin in a row, in order."""
+    one, n = f"{kind}1", _n_windows(prefix, width, most)
     none = F.array().cast("array<bigint>")
     if width == 0:
-        return F.when((n > 0) & (n < SHORT), F.array(F.xxhash64(one))).otherwise(none)
+        return F.when(_whole_short(prefix), F.array(F.xxhash64(one))).otherwise(none)
     if width == WINDOW:
-        return F.slice(f"{kind}{WINDOW}", F.lit(1), F.greatest(n - WINDOW + 1, F.lit(0)))
-    at = F.sequence(F.lit(0), F.greatest(n - width, F.lit(0)))
-    return F.when(n >= width, F.transform(at, lambda i: F.xxhash64(*(F.get(one, i + k) for k in range(width))))).otherwise(none)
+        return F.slice(f"{kind}{WINDOW}", F.lit(1), n)
+    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    return F.when(n > 0, F.transform(at, lambda i: F.xxhash64(*(F.get(one, i + k) for k in range(width))))).otherwise(none)
 
 
-def _exploded(rows: DataFrame, prefix: str, widths: list[int]) -> DataFrame:
-    """One row per window and kind: id, tokens of the text, place, hash and width.
+def _exploded(rows: DataFrame, prefix: str, widths: list[int], most: int | None = None) -> DataFrame:
+    """One row per window and kind: id, tokens of the piece and its place, place in the text, hash and width.
 
     The outer form of explode keeps Spark from testing the windows for emptiness below,
     which would work them out twice; a text without any gives a null that joins nothing.
     """
     parts = [(k, w) for w in (WINDOW, 0, *widths) for k in KINDS]
-    tokens, n = f"{prefix}_tokens", F.size(f"{prefix}_tokens")
-    rows = rows.select(f"{prefix}_id", tokens, F.posexplode_outer(F.concat(*(_windows(*p) for p in parts))).alias("pos", "window"))
+    given, n = rows.columns, F.col(f"{prefix}_n")
+    rows = _hashed(rows, prefix)
+    rows = rows.select(*given, F.posexplode_outer(F.concat(*(_windows(prefix, *p, most) for p in parts))).alias("pos", "window"))
     begin, at, width = F.lit(0), F.lit(None), F.lit(None)
     for _, w in parts:
-        size = F.greatest(n - w + 1, F.lit(0)) if w else ((n > 0) & (n < SHORT)).cast("int")
         at = F.when(F.col("pos") >= begin, F.col("pos") - begin).otherwise(at)
         width = F.when(F.col("pos") >= begin, F.lit(w) if w else n).otherwise(width)
-        begin = begin + size
-    return rows.select(f"{prefix}_id", tokens, at.alias(f"{prefix}_at"), "window", width.alias(f"{prefix}_width"))
+        begin = begin + _n_windows(prefix, w, most)
+    at = F.col(f"{prefix}_begin") + at
+    return rows.select(*(c for c in given if c != f"{prefix}_n"), at.alias(f"{prefix}_at"), "window", width.alias(f"{prefix}_width"))
+
+
+def _part(width: Column) -> Column:
+    """``width`` tokens of a document from a window's place on."""
+    return F.slice("doc_tokens", F.col("doc_at") - F.col("doc_begin") + 1, width)
+
+
+def _found(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows of documents with those of items that have the same hash, and ``doc_part``, the document's tokens.
+
+    Where the items' windows are too many to broadcast, a bit filter of them is: only
+    windows that pass it are shuffled, and with their own tokens only.
+    """
+    if items.count() <= BROADCAST_WINDOWS:
+        return windows.join(F.broadcast(items), "window").withColumn("doc_part", _part(F.col("width")))
+    items = written(items, "items")
+    windows = marked(windows, "window", items, "window").where("_maybe")
+    found = windows.select("doc_id", "doc_at", "window", _part(F.lit(WINDOW)).alias("doc_part")).join(items, "window")
+    return found.withColumn("doc_part", F.slice("doc_part", F.lit(1), F.col("width")))
 
 
 def _run_starts(at: Column) -> Column:
@@ -159,6 +213,16 @@ def _names_only(hits: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return hits.where(F.size("doubt") == 0).union(doubtful)
 
 
+def _classes(benchmark: DataFrame, item_id: str) -> DataFrame:
+    """``own_id, item_id, texts``: every item with its different texts, and the least item that has just these.
+
+    Items of the same texts are found in the same documents, so one of them is looked for.
+    """
+    rows = benchmark.select(F.col(item_id).cast("long").alias("own_id"), "text")
+    texts = rows.groupBy("own_id").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    return texts.withColumn("item_id", F.min("own_id").over(Window.partitionBy("texts")))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id"
 ) -> DataFrame:
@@ -173,10 +237,12 @@ def contaminated(
     nothing. Rows that repeat an id count as one document or item; a null id is one more
     id. Other columns are ignored.
     """
-    texts = _tokens(benchmark, item_id, "text", "item").withColumn("n", F.size("item_tokens"))
-    short = texts.where(F.col("n").between(SHORT, WINDOW - 1)).select("n").distinct()
-    widths = sorted(r["n"] for r in short.collect())
-    items = _exploded(texts.drop("n"), "item", widths).where("window is not null")
+    classes = written(_classes(benchmark, item_id), "classes")
+    texts = classes.where(F.col("own_id").eqNullSafe(F.col("item_id"))).select("item_id", F.explode("texts").alias("text"))
+    texts = _tokens(texts, "item_id", "text", "item")
+    short = texts.where(F.col("item_n").between(SHORT, WINDOW - 1)).select("item_n").distinct()
+    widths = sorted(r["item_n"] for r in short.collect())
+    items = _exploded(texts, "item", widths).where("window is not null")
     # an item has windows of one width only: its own where it is short
     n = F.size("item_tokens")
     items = items.where(F.col("item_width") == F.least(n, F.lit(WINDOW))).withColumn("item_tokens", _marked("item_tokens"))
@@ -188,11 +254,9 @@ def contaminated(
     items = items.groupBy("item_id", "window", "item_at").agg(
         F.max("item_windows").alias("item_windows"), F.max("width").alias("width"), F.max("item_part").alias("item_part")
     )
-    if items.count() <= BROADCAST_WINDOWS:
-        items = F.broadcast(items)
-    found = _exploded(_tokens(docs, doc_id, text, "doc"), "doc", widths).join(items, "window")
-    part = F.slice("doc_tokens", F.col("doc_at") + 1, F.col("width"))
-    pairs = F.filter(F.arrays_zip(F.col("item_part").alias("item"), part.alias("doc")), lambda x: _is_slot(x["item"]))
+    windows = _exploded(_pieces(_tokens(docs, doc_id, text, "doc"), "doc"), "doc", widths, PIECE)
+    found = _found(windows, items)
+    pairs = F.filter(F.arrays_zip(F.col("item_part").alias("item"), F.col("doc_part").alias("doc")), lambda x: _is_slot(x["item"]))
     slots = F.transform(pairs, lambda x: F.struct(x["item"].alias("item"), _word(x["doc"]).alias("doc"), _word(x["item"]).alias("own")))
     other = F.filter("slots", lambda x: x["own"] != x["doc"])
     doubt = F.transform(F.filter(other, lambda x: F.substring(x["item"], 1, 2) == f"{SLOT}q"), lambda x: x["own"])
@@ -240,6 +304,6 @@ def contaminated(
         F.max("run").alias("run"),
     )
     coverage = F.col("windows") / F.col("item_windows")
-    return out.where((coverage >= COVERAGE) | F.col("run")).select(
-        "doc_id", "item_id", "windows", "item_windows", coverage.alias("coverage"), "exchanged"
-    )
+    out = out.where((coverage >= COVERAGE) | F.col("run")).withColumn("coverage", coverage)
+    out = out.alias("f").join(classes.select("item_id", "own_id").alias("c"), F.col("f.item_id").eqNullSafe(F.col("c.item_id")))
+    return out.select("doc_id", F.col("own_id").alias("item_id"), "windows", "item_windows", "coverage", "exchanged")
