@@ -22,6 +22,8 @@ PIECE = 1024
 COVERAGE, RUN = 0.3, 13
 #: Items from this many tokens on are looked for inside longer texts; shorter ones are a document or nothing.
 SHORT = 3
+#: Items whose windows one task makes.
+ITEMS_PART = 500
 #: Benchmark windows up to this number are broadcast (16 MB or so); more are shuffled, with what a bit filter of them lets pass.
 BROADCAST_WINDOWS = 200_000
 # Units that follow a number.
@@ -165,7 +167,6 @@ def _found(windows: DataFrame, items: DataFrame) -> DataFrame:
     """
     if items.count() <= BROADCAST_WINDOWS:
         return windows.join(F.broadcast(items), "window").withColumn("doc_part", _part(F.col("width")))
-    items = written(items, "items")
     windows = marked(windows, "window", items, "window").where("_maybe")
     found = windows.select("doc_id", "doc_at", "window", _part(F.lit(WINDOW)).alias("doc_part")).join(items, "window")
     return found.withColumn("doc_part", F.slice("doc_part", F.lit(1), F.col("width")))
@@ -239,6 +240,8 @@ def contaminated(
     """
     classes = written(_classes(benchmark, item_id), "classes")
     texts = classes.where(F.col("own_id").eqNullSafe(F.col("item_id"))).select("item_id", F.explode("texts").alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(min(parts, 1 + classes.count() // ITEMS_PART))  # the benchmark may be one file
     texts = _tokens(texts, "item_id", "text", "item")
     short = texts.where(F.col("item_n").between(SHORT, WINDOW - 1)).select("item_n").distinct()
     widths = sorted(r["item_n"] for r in short.collect())
@@ -254,6 +257,7 @@ def contaminated(
     items = items.groupBy("item_id", "window", "item_at").agg(
         F.max("item_windows").alias("item_windows"), F.max("width").alias("width"), F.max("item_part").alias("item_part")
     )
+    items = written(items, "items")
     windows = _exploded(_pieces(_tokens(docs, doc_id, text, "doc"), "doc"), "doc", widths, PIECE)
     found = _found(windows, items)
     pairs = F.filter(F.arrays_zip(F.col("item_part").alias("item"), F.col("doc_part").alias("doc")), lambda x: _is_slot(x["item"]))
